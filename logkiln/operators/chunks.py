@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 LIFETIME_SECONDS = 5
 MIN_COUNT = 2
-COMPLETE, EXPIRED = "complete", "expired"
+COMPLETE, EXPIRED, IGNORED = "complete", "expired", "ignored"
 #: Blocks per level when the maps of a hot id are composed.
 FAN_IN = 64
 
@@ -36,12 +36,16 @@ _ORDER = ("t", "seqno", "count", "src_ip", "src_port", "h")
 _PIECES = (
     "k string, scope bigint, n bigint, status string, opened bigint, size int, present int, "
     "closed bigint, closed_ip string, closed_port int, "
-    "slot int, t bigint, count int, src_ip string, src_port int, h bigint"
+    "slot int, t bigint, count int, src_ip string, src_port int, h bigint, copies bigint"
 )
 
 
 def _scan(lifetime_us: int):
-    """Scan arrivals sorted by (k, scope, arrival order); one output row per filled slot."""
+    """Scan arrivals sorted by (k, scope, arrival order).
+
+    One output row per filled slot of a complete group, one per expired group, and one per
+    arrival whose number lies past the slots of its group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in _PIECES.split(", ")]
@@ -59,15 +63,15 @@ def _scan(lifetime_us: int):
             t, ip, port = (arrival[0], arrival[2], arrival[3]) if arrival else (None, None, None)
             head = (*here, n, status, opened, size, len(slots), t, ip, port)
             if status == EXPIRED:
-                out.append((*head, None, None, None, None, None, None))
+                out.append((*head, None, None, None, None, None, None, 1))
             else:
                 out.extend((*head, slot, *piece) for slot, piece in slots.items())
             group = None
             n += 1
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("k", "scope", "entry", "own", *_ORDER)]
-            for k, scope, entry, own, t, seqno, count, ip, port, h in zip(*cols):
+            cols = [batch.column(c).to_pylist() for c in ("k", "scope", "entry", "own", *_ORDER, "copies")]
+            for k, scope, entry, own, t, seqno, count, ip, port, h, copies in zip(*cols):
                 if (k, scope) != here:
                     if group is not None:
                         close(EXPIRED, None)
@@ -83,9 +87,12 @@ def _scan(lifetime_us: int):
                         continue
                     group = [t, count, {}]
                 if seqno < group[1]:
-                    group[2][seqno] = (t, count, ip, port, h)
+                    group[2][seqno] = (t, count, ip, port, h, copies)
                     if len(group[2]) == group[1]:
                         close(COMPLETE, group[2][seqno])
+                else:
+                    facts = (group[0], group[1], len(group[2]), None, None, None)
+                    out.append((*here, n, IGNORED, *facts, seqno, t, count, ip, port, h, copies))
             if len(out) >= 5000:
                 yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out)))), schema=schema)
                 out = []
@@ -166,10 +173,14 @@ def _hot_rows(arrivals: DataFrame, lifetime_us: int, block_us: int) -> DataFrame
     # Equal arrivals at one instant: only the first and the last can matter, so one instant
     # never holds more than a bounded number of rows.
     tie = F.struct("src_ip", "src_port", "h")
-    ends = arrivals.groupBy("k", "t", "seqno", "count").agg(F.min(tie).alias("a"), F.max(tie).alias("z"))
-    rows = ends.select("k", "t", "seqno", "count", F.explode(F.array_distinct(F.array("a", "z"))).alias("tie")).select(
-        "k", "t", "seqno", "count", "tie.*"
+    ends = arrivals.groupBy("k", "t", "seqno", "count").agg(
+        F.min(tie).alias("a"), F.max(tie).alias("z"), F.count("*").alias("m")
     )
+    first = F.struct("a.*", F.greatest(F.col("m") - 1, F.lit(1)).alias("copies"))
+    last = F.struct("z.*", F.lit(1).cast("bigint").alias("copies"))
+    rows = ends.select(
+        "k", "t", "seqno", "count", F.explode(F.when(F.col("m") == 1, F.array(first)).otherwise(F.array(first, last))).alias("end")
+    ).select("k", "t", "seqno", "count", "end.*")
     block = _floor_div(F.col("t"), block_us)
     early = F.pmod(F.col("t"), F.lit(block_us)) <= lifetime_us
     blocks = rows.withColumn(
@@ -194,7 +205,9 @@ def _hot_rows(arrivals: DataFrame, lifetime_us: int, block_us: int) -> DataFrame
         .groupBy("k", "span")
         .applyInPandas(_entries, "k string, block bigint, entry bigint")
     )
-    return blocks.join(entries, ["k", "block"]).select("k", F.col("block").alias("scope"), "entry", "own", *_ORDER)
+    return blocks.join(entries, ["k", "block"]).select(
+        "k", F.col("block").alias("scope"), "entry", "own", *_ORDER, "copies"
+    )
 
 
 def chunk_key(key: tuple[str, ...]) -> Column:
@@ -217,7 +230,7 @@ def assign_chunks(
 ) -> DataFrame:
     """Decide which arrival fills which slot of which group.
 
-    One row per filled slot of a complete group and one per expired group. Ids with more than
+    One row per filled slot of a complete group, per expired group and per ignored arrival. Ids with more than
     ``hot_rows`` arrivals are handled in blocks of ``block_seconds``.
     """
     lifetime_us, block_us = int(lifetime_seconds * 1e6), int(block_seconds * 1e6)
@@ -227,7 +240,8 @@ def assign_chunks(
     # At most (all arrivals / hot_rows) ids are hot, so this side is small whatever the input.
     hot = F.broadcast(arrivals.groupBy("k").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > hot_rows).select("k"))
     ordinary = arrivals.join(hot, "k", "left_anti").select(
-        "k", F.lit(0).cast("bigint").alias("scope"), F.lit(0).cast("bigint").alias("entry"), F.lit(True).alias("own"), *_ORDER
+        "k", F.lit(0).cast("bigint").alias("scope"), F.lit(0).cast("bigint").alias("entry"), F.lit(True).alias("own"), *_ORDER,
+        F.lit(1).cast("bigint").alias("copies"),
     )
     rows = ordinary.unionByName(_hot_rows(arrivals.join(hot, "k", "left_semi"), lifetime_us, block_us))
     return (
@@ -240,8 +254,8 @@ def assign_chunks(
 def reassemble_chunks(chunks: DataFrame, key: tuple[str, ...] = ("chunk_id",), **options) -> DataFrame:
     """Join chunks to messages.
 
-    Takes classified chunk rows (``count`` below 2 is ignored here). Gives one row per group:
-    ``status`` complete or expired, ``chunk_id``, ``size``, ``present``, ``opened_ts``, and for
+    Takes classified chunk rows (``count`` below 2 is ignored here). Gives one row per group or
+    ignored arrival: ``status`` complete, expired or ignored, ``chunk_id``, ``size``, ``present``, ``opened_ts``, and for
     complete groups ``payload`` with the ``src_ip``, ``src_port``, ``recv_ts`` of the chunk that
     completed it. Stage ``chunks`` as a table first where it is costly to compute: it is read for
     the ids, for the arrival facts and for the contents.
@@ -266,10 +280,15 @@ def reassemble_chunks(chunks: DataFrame, key: tuple[str, ...] = ("chunk_id",), *
         wins.join(contents, same_arrival).groupBy(*group).agg(payload.alias("payload"))
         .select(F.lit(COMPLETE).alias("status"), *group, "payload")
     )
-    expired = pieces.where(F.col("status") == EXPIRED).select(
-        F.lit(EXPIRED).alias("status"), *group, F.lit(None).cast("binary").alias("payload")
+    none = F.lit(None).cast("binary").alias("payload")
+    expired = pieces.where(F.col("status") == EXPIRED).select("status", *group, none)
+    arrival = {"closed": "t", "closed_ip": "src_ip", "closed_port": "src_port"}
+    ignored = (
+        pieces.where(F.col("status") == IGNORED)
+        .withColumn("_", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
+        .select("status", *[F.col(arrival.get(c, c)).alias(c) for c in group], none)
     )
-    return complete.unionByName(expired).select(
+    return complete.unionByName(expired).unionByName(ignored).select(
         "status",
         F.unhex(F.substring("k", 1, 16)).alias("chunk_id"),
         "size",

@@ -58,6 +58,8 @@ def simulate(rows):
         if len(g[2]) == g[1]:
             out.append((cid, g[0], "complete", g[1], g[1], us(r), r[1], b"".join(g[2][i] for i in range(g[1]))))
             del open_groups[cid]
+        elif seqno >= g[1]:
+            out.append((cid, g[0], "ignored", g[1], len(g[2]), us(r), r[1], None))
     out += [(cid, g[0], "expired", g[1], len(g[2]), None, None, None) for cid, g in open_groups.items()]
     return sorted(out, key=str)
 
@@ -88,11 +90,11 @@ def test_rules(spark):
         by_id.setdefault(r[0], []).append((r[2], r[3], r[4], r[6], r[7]))
     assert by_id == {
         1: [("complete", 2, 2, "10.0.0.2", b"AB")],
-        2: [("complete", 2, 2, "10.0.0.1", b"XY")],
+        2: [("complete", 2, 2, "10.0.0.1", b"XY"), ("ignored", 2, 1, "10.0.0.1", None)],
         3: [("complete", 2, 2, "10.0.0.1", b"pq")],
         4: [("expired", 3, 2, None, None), ("expired", 3, 1, None, None)],
         5: [("complete", 2, 2, "10.0.0.1", b"12"), ("complete", 2, 2, "10.0.0.1", b"34")],
-        6: [("expired", 2, 0, None, None)],
+        6: [("expired", 2, 0, None, None), ("ignored", 2, 0, "10.0.0.1", None)],
         8: [("complete", 2, 2, "10.0.0.1", b"z")],
         9: [("complete", 2, 2, "10.0.0.1", b"st")],
     }
