@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from logkiln import catalog as C
 from logkiln import fixtures as X
+from logkiln.deploy import ship_package
 from logkiln.functions import text as P
 from logkiln.operators import search as S
 from logkiln.operators.chunks import expired_chunks, reassemble_chunks
@@ -98,9 +99,10 @@ def gelf_inflate_errors(spark, d):
 
 def gelf_chunks(spark, d):
     groups = reassemble_chunks(chunk_rows(classify_packets(X.gelf_chunks(spark, d))))
-    messages = decode_gelf_json(inflate(classify_packets(groups.where(F.col("status") == "complete"))))
-    return normalize_gelf(messages, ("chunk_id", "size", "src_ip", "recv_ts")).select(
-        _chunk_number(), F.col("size").cast("bigint").alias("size"), "src_ip", "hostname", _us(), _us("recv_ts"),
+    whole = groups.where(F.col("status") == "complete").withColumn("doc_id", _chunk_number())
+    messages = decode_gelf_json(inflate(classify_packets(whole)))
+    return normalize_gelf(messages, ("doc_id", "size", "src_ip", "recv_ts")).select(
+        "doc_id", F.col("size").cast("bigint").alias("size"), "src_ip", "hostname", _us(), _us("recv_ts"),
         F.md5("full_message").alias("text_md5"),
     )
 
@@ -265,11 +267,20 @@ def newest_errors(spark, d):
 
 def entry(spark: SparkSession) -> DataFrame:
     """The newest 1000 error lines of the last day of data, from raw lines."""
+    ship_package(spark)
     return newest_errors(spark, "/root/testdata/sf0.001")
 
 
+def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    named = {
         "syslog_normalize": syslog_normalize,
         "syslog_pri_decode": syslog_pri_decode,
         "syslog_quirks": syslog_quirks,
@@ -306,6 +317,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "retention": retention,
         "batch_stats": batch_stats_query,
     }
+    return {name: _shipping(query) for name, query in named.items()}
 
 
 # --- the same in SQL ------------------------------------------------------------------------

@@ -260,7 +260,8 @@ def gelf_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i, n = F.col("doc_id"), F.col("i"), F.col("n")
     pieces = _chunked(spark, sf_dir, _pack(_bytes(_document_json()), d * 3 + F.when(d % 2 == 0, 2).otherwise(0)))
     order = F.when(d % 2 == 1, n - 1 - i).otherwise(i) * 1000 + 500
-    extra = F.when((d % 5 == 0) & (i == 0), "wrong").when((d % 7 == 0) & (i == 0), "past").when((d % 11 == 0) & (i == 0), "lone")
+    first = i == F.when(d % 2 == 1, n - 1).otherwise(0)
+    extra = F.when(first & (d % 5 == 0), "wrong").when(first & (d % 7 == 0), "past").when(first & (d % 11 == 0), "lone")
     copies = pieces.withColumn("as", F.explode(F.array_compact(F.array(F.lit("good"), extra))))
     kind = F.col("as")
     number = F.when(kind == "past", n + 1).otherwise(i)

@@ -1,66 +1,129 @@
-"""GELF payloads: the JSON body to one VARIANT per known key, and to the general message form."""
+"""GELF bodies: the JSON text to one text column per known key, and to the general message form.
+
+The JSON step runs in Arrow batches: Spark's JSON readers lose what the rules turn on (12 and
+12.0, a number and its text, null and absent, text after the object), and asking a VARIANT for
+the type of each of over ninety keys takes several times as long. The step only takes apart and
+checks JSON types; every conversion of a value is a column expression.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logkiln import catalog as C
-
-CORRUPT = "_corrupt"
-_STRICT = {
-    "allowSingleQuotes": "false",
-    "allowNonNumericNumbers": "false",
-    "columnNameOfCorruptRecord": CORRUPT,
+from logkiln.functions.columns import settle
+
+_KEYS = C.gelf_keys()
+_SOURCES = {s.key: (f, s) for f in C.FIELDS for s in f.gelf}
+#: What a value of the wrong JSON type is called, by key; text-only keys take no numbers.
+_WRONG_TYPE = {
+    k: {"float_sec_to_usec": "not_seconds", "hex_to_uint": "not_hex", "syslog_timestamp": "not_stamp"}.get(
+        s.conversion, {C.STRING: "not_string", C.TEXT: "not_string", C.I64: "not_i64"}.get(f.storage, "not_u64")
+    )
+    for k, (f, s) in _SOURCES.items()
 }
-
-
-def _keys_ddl() -> str:
-    keys = dict.fromkeys((*C.REQUIRED_GELF_KEYS, *C.gelf_keys()))
-    return ", ".join([f"`{k}` VARIANT" for k in keys] + [f"`{CORRUPT}` STRING"])
-
-
-def is_one_object(text: Column) -> Column:
-    """Whether a text is one JSON object and nothing else.
-
-    Spark's JSON readers stop after the first value. Wrapping the text once in an array and
-    once in an object makes any remainder show: what closes the one breaks the other.
-    """
-    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    closed = F.size(F.json_object_keys(F.concat(F.lit('{"a":'), text, F.lit("}")))) == 1
-    starts = F.ltrim(text, F.lit(" \t\r\n")).startswith("{")
-    return F.coalesce(starts & alone & closed, F.lit(False))
+_TEXT_ONLY = {k for k, reason in _WRONG_TYPE.items() if reason in ("not_string", "not_stamp")}
+_RESULT = T.StructType([T.StructField(k, T.StringType()) for k in (*_KEYS, "json_reason", "type_reason")])
+
+
+class _Number(str):
+    """A JSON number as written."""
+
+
+class _Object(list):
+    """Members of a JSON object, repeats included."""
+
+
+def _refuse(name: str):
+    raise ValueError(name)
+
+
+_decoder = json.JSONDecoder(
+    object_pairs_hook=_Object, parse_float=_Number, parse_int=_Number, parse_constant=_refuse
+)
+
+
+def _take_apart(body: bytes) -> tuple[dict[str, str], str | None, str | None]:
+    """Texts of the known keys, what is wrong with the JSON, and the first value of a wrong type."""
+    try:
+        text = body.decode("utf-8")
+    except UnicodeDecodeError:
+        return {}, "bad_utf8", None
+    try:
+        members = _decoder.decode(text)
+        if not isinstance(members, _Object):
+            return {}, "bad_json", None
+        if "\\u" in text:
+            # Half of a surrogate pair is not a character.
+            for key, value in members:
+                key.encode(), isinstance(value, str) and value.encode()
+    except (ValueError, RecursionError):
+        return {}, "bad_json", None
+    values = dict(members)
+    if len(values) < len(members):
+        names = [k for k, _ in members if k in C.REQUIRED_GELF_KEYS]
+        if len(names) > len(set(names)):
+            return {}, "required:repeated", None
+    for key in C.REQUIRED_GELF_KEYS:
+        if type(values.get(key)) is not str:
+            return {}, f"required:{key}", None
+    texts, wrong = {}, None
+    for key, value in values.items():
+        if key not in _WRONG_TYPE:
+            continue
+        kind = type(value)
+        if kind is str:
+            texts[key] = value
+        elif kind is _Number and key not in _TEXT_ONLY:
+            # A number is no hexadecimal text but a value of its own.
+            is_hex = _WRONG_TYPE[key] == "not_hex"
+            texts[key] = (format(int(value), "x") if value.isdigit() else "-") if is_hex else value
+        elif wrong is None:
+            wrong = f"{_SOURCES[key][0].name}:{key}:{_WRONG_TYPE[key]}"
+    return texts, None, wrong
+
+
+@F.arrow_udf(_RESULT)
+def _take_apart_batch(bodies: pa.Array) -> pa.Array:
+    n = len(bodies)
+    columns: dict[str, list] = {}
+    for i, body in enumerate(bodies.to_pylist()):
+        if body is None:
+            continue
+        texts, json_reason, type_reason = _take_apart(body)
+        if json_reason is not None:
+            columns.setdefault("json_reason", [None] * n)[i] = json_reason
+        if type_reason is not None:
+            columns.setdefault("type_reason", [None] * n)[i] = type_reason
+        for key, text in texts.items():
+            if key not in columns:
+                columns[key] = [None] * n
+            columns[key][i] = text
+    absent = pa.nulls(n, pa.string())
+    arrays = [pa.array(columns[f.name], pa.string()) if f.name in columns else absent for f in _RESULT]
+    return pa.StructArray.from_arrays(arrays, names=_RESULT.fieldNames())
 
 
 def decode_gelf_json(df: DataFrame, body: str = "body") -> DataFrame:
     """Decode a binary JSON body.
 
-    Adds ``gelf`` (a struct with one VARIANT per known key, null where the key is absent) and
-    ``json_reason`` (null where the body is a usable message). The body is parsed once; keys no
-    column reads are never materialised.
+    Adds ``gelf`` (a struct with the text of each known key, null where absent), ``json_reason``
+    (null where the body is a usable message) and ``type_reason`` (a known key of a JSON type
+    that its column never takes). The body must be UTF-8 and exactly one JSON object.
     """
-    raw = F.col(body).cast("string")
-    valid = F.is_valid_utf8(raw)
-    text = F.when(valid, raw)
-    parsed = df.withColumn("_text", text).withColumn("gelf", F.from_json("_text", _keys_ddl(), _STRICT))
-
-    names = F.json_object_keys("_text")
-    wrong = F.coalesce(
-        *[
-            F.when(F.coalesce(F.schema_of_variant(F.col("gelf")[k]) != "STRING", F.lit(True)), f"required:{k}")
-            for k in C.REQUIRED_GELF_KEYS
-        ],
-        F.when(
-            F.size(F.filter(names, lambda n: n.isin(*C.REQUIRED_GELF_KEYS))) > len(C.REQUIRED_GELF_KEYS),
-            "required:repeated",
-        ),
-    )
-    reason = (
-        F.when(F.col("_text").isNull(), "bad_utf8")
-        .when(F.col(f"gelf.{CORRUPT}").isNotNull() | ~is_one_object(F.col("_text")), "bad_json")
-        .otherwise(wrong)
+    # Marked as not repeatable so that no filter or projection above runs it a second time.
+    parsed = df.withColumn("gelf", _take_apart_batch.asNondeterministic()(F.col(body)))
+    return parsed.select(
+        *[c for c in df.columns if c not in ("json_reason", "type_reason")],
+        "gelf",
+        F.coalesce("gelf.json_reason", F.when(F.col(body).isNull(), "no_body")).alias("json_reason"),
+        "gelf.type_reason",
     )
-    return parsed.withColumn("json_reason", reason).drop("_text")
 
 
 def gelf_messages(df: DataFrame, body: str = "body") -> DataFrame:
@@ -68,7 +131,8 @@ def gelf_messages(df: DataFrame, body: str = "body") -> DataFrame:
 
     Takes rows with a good body; ``other`` holds every additional key, known or not.
     """
-    v = F.try_parse_json(F.col(body).cast("string"))
+    parsed = settle(df.withColumn("_v", F.try_parse_json(F.col(body).cast("string"))), "_v")
+    v = F.col("_v")
     entries = F.map_filter(v.cast("map<string,variant>"), lambda k, _: ~k.isin(*C.REQUIRED_GELF_KEYS))
-    text = {k: F.try_variant_get(v, f"$.{k}", "string").alias(k) for k in C.REQUIRED_GELF_KEYS}
-    return df.withColumn("message", F.struct(*text.values(), entries.alias("other")))
+    text = [F.try_variant_get(v, f"$.{k}", "string").alias(k) for k in C.REQUIRED_GELF_KEYS]
+    return parsed.withColumn("message", F.struct(*text, entries.alias("other"))).drop("_v")

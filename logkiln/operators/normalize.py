@@ -16,19 +16,19 @@ def conversion_errors() -> Column:
 
     Every listed key counts, also one that a key before it would win over.
     """
-    checks = []
+    checks = ["type_reason"]
     for field in C.FIELDS:
         for source in field.gelf:
-            _, reason = convert(F.col("gelf")[source.key], field, source, F.col("recv_ts"))
-            label = F.lit(f"{field.name}:{source.key}:")
-            checks.append(F.when(F.col("gelf")[source.key].isNotNull(), F.concat(label, reason)))
-    return F.coalesce(*checks)
+            _, reason = convert(f"gelf.`{source.key}`", field, source)
+            if reason is not None:
+                checks.append(f"'{field.name}:{source.key}:' || ({reason})")
+    return F.expr(f"coalesce({', '.join(checks)})")
 
 
 def gelf_column(field: C.Field) -> Column:
     """First present key of a column, converted."""
-    values = [convert(F.col("gelf")[s.key], field, s, F.col("recv_ts"))[0] for s in field.gelf]
-    return F.coalesce(*values).cast(field.spark_type).alias(field.name)
+    values = [convert(f"gelf.`{s.key}`", field, s)[0] for s in field.gelf]
+    return F.expr(f"CAST(coalesce({', '.join(values)}) AS {field.spark_type.simpleString()})").alias(field.name)
 
 
 def normalize_gelf(df: DataFrame, keep: tuple[str, ...] = ("src_ip", "recv_ts")) -> DataFrame:
@@ -46,7 +46,7 @@ def normalize_syslog(df: DataFrame, keep: tuple[str, ...] = ("src_ip", "recv_ts"
     """
     def column(field: C.Field) -> Column:
         if field.syslog is None:
-            return F.lit(None).cast(field.spark_type).alias(field.name)
+            return F.expr(f"CAST(null AS {field.spark_type.simpleString()})").alias(field.name)
         return F.col(field.syslog).try_cast(field.spark_type).alias(field.name)
 
     reason = F.when(F.col("pid") > Decimal(2**63 - 1), "syslog_pid:pid:over_long").when(

@@ -75,7 +75,8 @@ def inflate(df: DataFrame, payload: str = "payload") -> DataFrame:
     truncated or corrupt stream gives no body; what follows the first member is ignored.
     """
     packed = F.col("kind").isin(GZIP, ZLIB)
-    opened = df.withColumn("_opened", inflate_bytes(F.when(packed, F.col(payload))))
+    # Marked as not repeatable so that no filter or projection above runs it a second time.
+    opened = df.withColumn("_opened", inflate_bytes.asNondeterministic()(F.when(packed, F.col(payload))))
     return opened.withColumns(
         {
             "body": F.when(packed, F.col("_opened")).when(F.col("kind") == PLAIN, F.col(payload)),

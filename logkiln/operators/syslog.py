@@ -6,11 +6,13 @@ fails; a part that does not fit stays in the text and the next part gets a try a
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logkiln.functions.columns import settle
 from logkiln.functions.convert import MAX_U64, wall_clock_year
 
 # Facility names 0-15 in number order; 16-31 are local0-local15.
@@ -21,6 +23,8 @@ FACILITIES = (
 DEFAULT_SEVERITY, DEFAULT_FACILITY = 5, "user"
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
+PARTS = ("priority", "facility", "source_timestamp", "hostname", "identifier", "pid", "message", "full_message")
+
 # The texts of the header parts.
 PRI = r"^<0*([0-9]{1,3})>"
 VERSION = r"^[0-9]+ "
@@ -83,7 +87,7 @@ def parse_syslog_table(df: DataFrame, zone: str = "UTC") -> DataFrame:
     found = F.col("_stamp5").isNotNull() | F.col("_stamp3").isNotNull()
     pid_text = F.regexp_extract("_rest3", TAG, 2)
     pid = pid_text.try_cast("decimal(38,0)")
-    tag_fits = (pid_text == "") | F.coalesce(pid <= MAX_U64, F.lit(False))
+    tag_fits = (pid_text == "") | F.coalesce(pid <= F.lit(Decimal(MAX_U64)), F.lit(False))
     tagged = F.regexp_extract("_rest3", TAG, 0)
     bare = ~found & F.col("hostname").isNull() & F.col("identifier").isNull() & F.col("_rest4").startswith(" ")
     pri = F.regexp_extract("full_message", PRI, 1).try_cast("int")
@@ -130,7 +134,7 @@ def parse_syslog_table(df: DataFrame, zone: str = "UTC") -> DataFrame:
         },
     )
     pri_col = F.col("_pri")
-    return parsed.select(
+    parts = parsed.select(
         *df.columns,
         F.coalesce(severity_of(pri_col), F.lit(DEFAULT_SEVERITY)).alias("priority"),
         F.coalesce(facility_of(pri_col), F.lit(DEFAULT_FACILITY)).alias("facility"),
@@ -141,3 +145,4 @@ def parse_syslog_table(df: DataFrame, zone: str = "UTC") -> DataFrame:
         F.when(bare, _after(F.col("_rest4"), 1)).otherwise(F.col("_rest4")).alias("message"),
         "full_message",
     )
+    return settle(parts, *PARTS)

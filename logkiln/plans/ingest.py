@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logkiln import catalog as C
+from logkiln.functions.columns import settle
 from logkiln.operators import chunks as K
 from logkiln.operators.enrich import merge_logs, resolve_hostnames
 from logkiln.operators.gelf import decode_gelf_json
@@ -105,9 +106,10 @@ def with_reasons(df: DataFrame) -> DataFrame:
         .when(F.col("convert_reason").isNotNull(), "convert")
         .when(invalid.isNotNull(), "valid")
     )
-    return df.withColumns(
+    marked = df.withColumns(
         {"stage": found, "reason": F.coalesce("_reason1", "convert_reason", invalid)}
     ).drop("_stage1", "_reason1", "convert_reason")
+    return settle(marked, "stage", "reason")
 
 
 def decode_packets(packets: DataFrame, hosts: DataFrame | None = None, zone: str = "UTC") -> DataFrame:
