@@ -84,16 +84,17 @@ def reassemble_chunks_stream(
     chunks: DataFrame,
     key: tuple[str, ...] = ("chunk_id",),
     lifetime_seconds: float = LIFETIME_SECONDS,
-    delay: str = "1 second",
+    delay: str | None = "1 second",
 ) -> DataFrame:
     """Streaming form: classified chunk rows in, the columns of the batch form out.
 
     Groups that stay open are given up once the watermark on ``recv_ts`` passes their end. One
     task holds what one micro-batch brings for one id, so the source's intake limit bounds it.
+    With ``delay`` None the watermark is already set upstream.
     """
+    clocked = chunks if delay is None else chunks.withWatermark("recv_ts", delay)
     return (
-        chunks.where(F.col("count") >= MIN_COUNT)
-        .withWatermark("recv_ts", delay)
+        clocked.where(F.col("count") >= MIN_COUNT)
         .select(
             chunk_key(key).alias("k"), "recv_ts", F.unix_micros("recv_ts").alias("t"), "seqno", "count",
             "src_ip", "src_port", "chunk_id", "content",
