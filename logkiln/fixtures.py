@@ -124,32 +124,33 @@ def syslog_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", *_datagram("syslog", _text("10.0.1.", d % 7), _bytes(line)))
 
 
-def _seconds() -> Column:
-    """Epoch seconds with six decimals, as text."""
-    us = F.unix_micros("ts")
-    return _text(F.floor(us / 1_000_000), ".", F.lpad((us % 1_000_000).cast("string"), 6, "0"))
+# Epoch seconds with six decimals.
+_SECONDS = "(unix_micros(ts) div 1000000) || '.' || lpad(CAST(unix_micros(ts) % 1000000 AS string), 6, '0')"
 
 
-def _gelf_json(**changes: Column | str | None) -> Column:
-    """A GELF message of an event; keyword arguments replace, add or (None) remove members."""
-    e = F.col("event_id")
-    members: dict[str, Column | str | None] = {
-        "version": '"1.1"',
-        "host": _text('"h', F.col("user_id") % 5, '"'),
-        "short_message": _text('"', F.col("event_type"), '"'),
-        "timestamp": _seconds(),
-        "level": e % 8,
-        "_PID": F.when(e % 2 == 0, e.cast("string")).otherwise(_text('"', e, '"')),
-        "_CAP_EFFECTIVE": _text('"', F.lower(F.hex(e)), '"'),
-        "_SYSTEMD_UNIT": _text('"unit', F.col("user_id") % 5, '.service"'),
-        "_x": e,
+def _quoted(sql: str) -> str:
+    return f"""'"' || {sql} || '"'"""
+
+
+def _gelf_json(**changes: str | None) -> Column:
+    """A GELF message of an event; keyword arguments replace, add or (None) remove members.
+
+    Values are SQL for the JSON text of a member.
+    """
+    members: dict[str, str | None] = {
+        "version": _quoted("'1.1'"),
+        "host": _quoted("'h' || (user_id % 5)"),
+        "short_message": _quoted("event_type"),
+        "timestamp": _SECONDS,
+        "level": "(event_id % 8)",
+        "_PID": f"if(event_id % 2 = 0, CAST(event_id AS string), {_quoted('event_id')})",
+        "_CAP_EFFECTIVE": _quoted("lower(hex(event_id))"),
+        "_SYSTEMD_UNIT": _quoted("'unit' || (user_id % 5) || '.service'"),
+        "_x": "event_id",
     }
     members.update(changes)
-    parts: list[Column | str] = []
-    for key, value in members.items():
-        if value is not None:
-            parts += ["," if parts else "{", f'"{key}":', value]
-    return _text(*parts, "}")
+    parts = [f"""'"{key}":' || {value}""" for key, value in members.items() if value is not None]
+    return F.expr("'{' || " + " || ',' || ".join(parts) + " || '}'")
 
 
 def gelf_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,16 +178,16 @@ def gelf_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     texts = [
         _gelf_json(host=None),
-        _gelf_json(_PID="null"),
-        _gelf_json(_PRIORITY='"high"'),
-        _gelf_json(facility="3"),
-        _gelf_json(_UID="12.0"),
+        _gelf_json(_PID="'null'"),
+        _gelf_json(_PRIORITY=_quoted("'high'")),
+        _gelf_json(facility="'3'"),
+        _gelf_json(_UID="'12.0'"),
         _gelf_json(timestamp=None),
-        _gelf_json(short_message='""'),
+        _gelf_json(short_message=_quoted("''")),
         _text(_gelf_json(), " x"),
         _gelf_json(),
-        _gelf_json(_CAP_EFFECTIVE='"0x1f"'),
-        _gelf_json(timestamp="-1.5"),
+        _gelf_json(_CAP_EFFECTIVE=_quoted("'0x1f'")),
+        _gelf_json(timestamp="'-1.5'"),
         _gelf_json(),
     ]
     payload = _bytes(_pick(e % 12, texts))
