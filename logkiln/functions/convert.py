@@ -89,9 +89,10 @@ def syslog_timestamp(v: str, field: C.Field, recv_ts: str) -> Sql:
         f"WHEN {text} RLIKE '{RFC3164_TEXT}' THEN "
         f"try_to_timestamp(concat_ws(' ', {year}, {text}, '+0000'), 'yyyy MMM d HH:mm:ss Z') END"
     )
+    # One use of the value: -1 before 1970, 2 where no form fits.
     reason = (
-        f"CASE WHEN {v} IS NOT NULL AND ({value}) IS NULL THEN 'not_stamp' "
-        f"WHEN unix_micros({value}) < 0 THEN 'negative_time' END"
+        f"CASE if({v} IS NULL, 0D, coalesce(signum(unix_micros({value})), 2D)) "
+        "WHEN 2D THEN 'not_stamp' WHEN -1D THEN 'negative_time' END"
     )
     return value, reason
 

@@ -112,12 +112,7 @@ def with_reasons(df: DataFrame) -> DataFrame:
     return settle(marked, "stage", "reason")
 
 
-def decode_packets(packets: DataFrame, hosts: DataFrame | None = None, zone: str = "UTC") -> DataFrame:
-    """Packets of both kinds to log columns, ``src_ip``, ``recv_ts``, ``payload``, ``stage``,
-    ``reason`` (null for records) and ``event_date``. Only refused rows keep their payload."""
-    gelf = decode_gelf(packets.where(F.col("proto") == "gelf"))
-    syslog = decode_syslog(packets.where(F.col("proto") == "syslog"), zone)
-    rows = merge_logs(gelf, syslog)
+def _finished(rows: DataFrame, hosts: DataFrame | None) -> DataFrame:
     if hosts is not None:
         rows = resolve_hostnames(rows, hosts)
     else:
@@ -131,10 +126,20 @@ def decode_packets(packets: DataFrame, hosts: DataFrame | None = None, zone: str
     )
 
 
+def decode_packets(packets: DataFrame, hosts: DataFrame | None = None, zone: str = "UTC") -> DataFrame:
+    """Packets of both kinds to log columns, ``src_ip``, ``recv_ts``, ``payload``, ``stage``,
+    ``reason`` (null for records) and ``event_date``. Only refused rows keep their payload."""
+    gelf = decode_gelf(packets.where(F.col("proto") == "gelf"))
+    syslog = decode_syslog(packets.where(F.col("proto") == "syslog"), zone)
+    return _finished(merge_logs(gelf, syslog), hosts)
+
+
 def decode_datagrams(datagrams: DataFrame, hosts: DataFrame | None = None, zone: str = "UTC", passes: int = 2, **options) -> DataFrame:
-    gelf = assemble(datagrams.where(F.col("proto") == "gelf"), passes, **options)
-    syslog = _packets(datagrams.where(F.col("proto") == "syslog"))
-    return decode_packets(gelf.unionByName(syslog), hosts, zone)
+    """A datagram table to the columns of ``decode_packets``. Syslog is read once; GELF twice,
+    for chunks and for the rest."""
+    gelf = decode_gelf(assemble(datagrams.where(F.col("proto") == "gelf"), passes, **options))
+    syslog = decode_syslog(datagrams.where(F.col("proto") == "syslog"), zone)
+    return _finished(merge_logs(gelf, syslog), hosts)
 
 
 def accepted(decoded: DataFrame) -> DataFrame:

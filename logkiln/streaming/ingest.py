@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -49,11 +50,14 @@ def start_ingest(
     ``on_stats`` gets the size figures of each batch, observed while it is written.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
+        # Both decoders read the batch: kept, so that the chunk state is not worked through twice.
+        batch.persist(StorageLevel.MEMORY_AND_DISK)
         decoded = decode_packets(batch, hosts, zone)
         seen = Observation(f"batch-{batch_id}")
         if on_stats is not None:
             decoded = decoded.observe(seen, *_stats())
         write_ingested(decoded, dst, batch_id)
+        batch.unpersist()
         if on_stats is not None:
             on_stats(batch_id, seen.get)
 
