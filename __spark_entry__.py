@@ -31,6 +31,15 @@ from logkiln.plans.ingest import batch_stats, chunk_rows, decode_datagrams, deco
 from logkiln.sources.log_table import apply_retention
 from logkiln.sources.ndjson import from_ndjson, to_ndjson
 
+# The corpus operators and their pipeline may be left out of an installation.
+try:
+    import corpus_pipeline
+    from logkiln.llm import queries as corpus
+except ModuleNotFoundError as e:
+    if e.name not in ("corpus_pipeline", "logkiln.llm", "logkiln.llm.queries"):
+        raise
+    corpus = corpus_pipeline = None
+
 NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
 DAY10, DAY12 = 1_704_844_800, 1_705_017_600  # 2024-01-10 and 2024-01-12
 
@@ -317,6 +326,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "retention": retention,
         "batch_stats": batch_stats_query,
     }
+    if corpus is not None:
+        named |= corpus.QUERIES | {"pipeline": corpus_pipeline.run}
     return {name: _shipping(query) for name, query in named.items()}
 
 
@@ -428,7 +439,7 @@ _EXTRA = (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    found = {
         "syslog_normalize": f"SELECT source_timestamp_us, hostname, message, priority, full_message, facility, syslog_identifier, syslog_pid FROM ({_EVENT_LOGS})",
         "syslog_pri_decode": f"""
             SELECT event_id,
@@ -525,3 +536,8 @@ def oracle_sql() -> dict[str, str]:
               CAST(sum(strlen(line) + 1) // count(*) AS BIGINT) AS bytes_per_message
             FROM (SELECT {_LINE.replace('{host}', 'hostname')} AS line FROM ({_RESOLVED}))""",
     }
+    if corpus is not None:
+        found |= corpus.ORACLE_SQL
+        if corpus_pipeline.ORACLE_SQL is not None:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
