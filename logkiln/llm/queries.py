@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from logkiln.llm import language, pii, rules, simhash, warc
+from logkiln.llm import language, packing, pii, rules, simhash, warc
 from logkiln.llm.common import crc_mod, documents
 from logkiln.staging import shared_folder
 
@@ -39,6 +39,12 @@ def op6_language_id(spark, d):
     return language.predict(rows, model, keep=("doc_id", "held_out"))
 
 
+def op7_packing(spark, d):
+    import public_tokenizers
+
+    return packing.pack(documents(spark, d), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_simhash(spark, d):
     found = simhash.near_duplicates(documents(spark, d))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -53,6 +59,7 @@ def op10_quality_rules(spark, d):
 QUERIES = {
     "op5_personal_data": op5_personal_data,
     "op6_language_id": op6_language_id,
+    "op7_packing": op7_packing,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
     "op2_arc_to_warc": op2_arc_to_warc,
