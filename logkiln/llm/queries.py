@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from logkiln.llm import language, packing, pii, rules, simhash, warc
+from logkiln.llm import language, packing, pii, repeats, rules, simhash, warc
 from logkiln.llm.common import crc_mod, documents
 from logkiln.staging import shared_folder
 
@@ -24,6 +24,10 @@ def op2_arc_to_warc(spark, d):
     )
 
 
+def op4_repeats(spark, d):
+    return repeats.digest(repeats.remove_repeats(documents(spark, d)))
+
+
 def op5_personal_data(spark, d):
     found = pii.find_pii(documents(spark, d))
     spans = F.col("spans")
@@ -57,6 +61,7 @@ def op10_quality_rules(spark, d):
 
 
 QUERIES = {
+    "op4_repeats": op4_repeats,
     "op5_personal_data": op5_personal_data,
     "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
