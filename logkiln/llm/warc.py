@@ -7,7 +7,7 @@ alone. The converter makes the WARC fields that ARC lacks: an identifier from fi
 instant from the 14 digits, the type from scheme and content, and digests of block and payload.
 
 Files are written by Spark's text sink, a record a row, so a lost task is written again by the
-usual commit protocol on any file system. Archives hold at most about ``FILE_BYTES`` of content.
+usual commit protocol on any file system. Files hold at most ``FILE_ROWS`` records.
 
 Defined results: a null payload is empty; a null url is ``urn:unknown``, spaces in one become
 ``%20``; a null key stays null; rows with the same key are records of their own; an empty table
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from logkiln.llm.common import bound_batches
 
-FILE_BYTES = 16 << 20
-GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+#: Records of a file: at some KB a page, some MB.
+FILE_ROWS = 2000
+GZIP = {"compression": "gzip", "zlib.compress.level": "FOUR"}
 #: Fixed values of the two ARC versions.
 ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
@@ -63,32 +64,32 @@ def version_block(version: int, name: str, date14: str) -> bytes:
     return head + b"\n" + body
 
 
-def files_for(df: DataFrame, size: F.Column | str, per_file: int = FILE_BYTES) -> int:
-    total = df.agg(F.sum(size)).first()[0] or 0
-    return max(1, -(-int(total) // per_file))
-
-
 def write_arc(contents: DataFrame, path: str, version: int) -> None:
-    """Rows (url, content, archive_date of 14 digits) as ARC files of one version."""
-    n = files_for(contents, F.octet_length("content"))
+    """Rows (url, content, archive_date of 14 digits) as ARC files of one version.
+
+    The sink begins a file every ``FILE_ROWS`` rows, and so often a version block is written.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        name, schema = f"part-{TaskContext.get().partitionId()}.arc", pa.schema([("value", pa.binary())])
-        yield _table([(version_block(version, name, "20240101000000"),)], schema)
+        part, schema, written = TaskContext.get().partitionId(), pa.schema([("value", pa.binary())]), 0
         for batch in batches:
             out = []
             for row in batch.to_pylist():
+                name = f"part-{part}-{written // FILE_ROWS}.arc"
+                if written % FILE_ROWS == 0:
+                    out.append((version_block(version, name, "20240101000000"),))
+                    written += 1
                 content = row["content"] or b""
-                url = "%20".join((row["url"] or "urn:unknown").split()) or "urn:unknown"
+                url = "%20".join((row["url"] or "").split()) or "urn:unknown"
                 line = arc_line(version, url, "0.0.0.0", row["archive_date"] or "19700101000000", "text/html", len(content), hashlib.md5(content).hexdigest(), 0, name)
                 out.append((line + b"\n" + content,))
+                written += 1
             yield _table(out, schema)
 
-    rows = contents.select("url", "content", "archive_date").repartition(n, F.xxhash64("url", "content"))
-    lines = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.mode("overwrite").option("lineSep", "\n").options(**GZIP).text(path)
+    lines = contents.select("url", "content", "archive_date").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines.write.mode("overwrite").option("lineSep", "\n").option("maxRecordsPerFile", FILE_ROWS).options(**GZIP).text(path)
 
 
 # --- reading ARC ----------------------------------------------------------------------------
@@ -270,7 +271,7 @@ def warc_record(r: dict, key_header: str = "x-record-key") -> bytes:
 def write_warc(records: DataFrame, path: str) -> None:
     """Rows ``value`` as WARC files; the sink's line end is the blank lines that close a record."""
     lines = records.select(F.col("value").cast("string").alias("value"))
-    lines.write.mode("overwrite").option("lineSep", "\r\n\r\n").options(**GZIP).option("maxRecordsPerFile", 4000).text(path)
+    lines.write.mode("overwrite").option("lineSep", "\r\n\r\n").options(**GZIP).option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
 def parse_warc(data: bytes, archive: str = "") -> Iterator[tuple]:
