@@ -6,11 +6,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from logkiln.llm import language, packing, pii, repeats, rules, simhash, warc
+from logkiln.llm import language, lm, packing, pii, repeats, rules, simhash, warc
 from logkiln.llm.common import crc_mod, documents
 from logkiln.staging import shared_folder
 
 
+def op1_lm_scores(spark, d):
+    scored = lm.score_corpus(documents(spark, d), crc_mod(7) != 2)
+    return scored.select("doc_id", (~F.col("learning")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_arc_to_warc(spark, d):
     folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
     records = warc.archive_pages(spark, spark.read.parquet(f"{d}/pages.parquet"), folder)
@@ -67,6 +72,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "op1_lm_scores": op1_lm_scores,
     "op2_arc_to_warc": op2_arc_to_warc,
 }
 
