@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from logkiln.llm import language, lm, packing, pii, repeats, rules, simhash, warc
+from logkiln.llm import decontaminate, language, lm, packing, pii, repeats, rules, simhash, templates, warc
 from logkiln.llm.common import crc_mod, documents
 from logkiln.staging import shared_folder
 
@@ -29,6 +29,11 @@ def op2_arc_to_warc(spark, d):
     )
 
 
+def op3_line_templates(spark, d):
+    done = templates.drop_repeated_lines(documents(spark, d))
+    return done.select("doc_id", "n_dropped_lines", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_repeats(spark, d):
     return repeats.digest(repeats.remove_repeats(documents(spark, d)))
 
@@ -54,6 +59,10 @@ def op7_packing(spark, d):
     return packing.pack(documents(spark, d), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_decontamination(spark, d):
+    return decontaminate.find_matches(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
 def op9_simhash(spark, d):
     found = simhash.near_duplicates(documents(spark, d))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -66,10 +75,12 @@ def op10_quality_rules(spark, d):
 
 
 QUERIES = {
+    "op3_line_templates": op3_line_templates,
     "op4_repeats": op4_repeats,
     "op5_personal_data": op5_personal_data,
     "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
+    "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
     "op1_lm_scores": op1_lm_scores,
