@@ -10,10 +10,12 @@ the same document. Buckets are named, not numbered, so that they are the same on
    can reach (60 bytes before and behind). Equal ones repeat each other in every window: all but the first are
    settled. If a bucket holds one such name only, so is the first. The others are undecided.
 3. Undecided anchors are refined again, window by window: windows get the name of their 40-grams at
-   offsets 0, 40 and 60, and all but the first of a bucket are repeats.
+   offsets 0, 40 and 60, and all but the first of a bucket are repeats. Surroundings are dealt out by anchor and
+   their windows named there, as equal windows have equal anchors.
 
 What a task finds is collapsed there before it is dealt out: a string with a million copies costs a row per
-task, and an anchor with many different surroundings goes to step 3 straight away, whose names spread.
+task. An anchor with many different surroundings in some task is marked; all its surroundings are dealt out window
+by window instead, by the windows' own names, which spread.
 Names have 64 bits of a mixing function; two different strings share one with the odds of 1 in 2**64 a pair.
 
 Defined results: a null or empty text has no bytes; a text shorter than a window loses none; rows that share an id are one
@@ -41,6 +43,8 @@ _NULL = (1 << 63) - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _ANCHOR = np.dtype([("h", "<u8"), ("sig", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("left", "u1"), ("right", "u1")])
 _WINDOW = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<i4")])
+_CONTEXT = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", GRAM + 2 * _SIDE)])
+_MARK = 0x80  # in "left": an anchor whose windows are dealt out one by one
 _RUN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
 
@@ -192,9 +196,11 @@ def _map_anchors(buckets: int):
             rank = np.arange(len(first)) - np.maximum.accumulate(np.where(np.concatenate([[True], first["h"][1:] != first["h"][:-1]]), np.arange(len(first)), 0))
             many = _kinds(first) > _FEW
             undecided = first[many]
-            yield _deal(first[~many | (rank < 2)], "anchor", buckets)
+            few = first[~many | (rank < 2)]
+            few["left"][many[~many | (rank < 2)]] |= _MARK
+            yield _deal(few, "anchor", buckets)
             yield _deal(_around(repeats), "repeat", buckets)
-            yield _deal(_runs(undecided["doc"], undecided["pos"] - undecided["left"].astype(np.int32), undecided["pos"] + GRAM + undecided["right"].astype(np.int32)), "open", buckets)
+            yield _deal(_around(undecided), "spread", buckets)
 
     return run
 
@@ -208,45 +214,98 @@ def _reduce_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             else:
                 yield _by_doc(np.frombuffer(data, _RUN), kind)
     if held:
-        first, repeats = _collapse(np.concatenate(held))
+        all_ = np.concatenate(held)
+        marked = np.unique(all_["h"][all_["left"] >= _MARK])
+        all_["left"] &= _MARK - 1
+        first, repeats = _collapse(all_)
         yield _by_doc(_around(repeats), "repeat")
-        yield _by_doc(_around(first[_kinds(first) > 1]), "open")
+        undecided = first[_kinds(first) > 1]
+        spread = np.isin(undecided["h"], marked)
+        yield _by_doc(_around(undecided[spread]), "spread")
+        out = np.zeros(int((~spread).sum()), _RUN)
+        out["doc"], out["start"] = undecided["doc"][~spread], undecided["pos"][~spread]
+        out["end"] = undecided["left"][~spread].astype(np.int32) << 8 | undecided["right"][~spread]
+        yield _by_doc(out, "open")
+
+
+def _window_names(names: np.ndarray) -> np.ndarray:
+    """Names of windows from those of 40-grams at all offsets."""
+    n = max(0, len(names) - _SIDE)
+    return _join(_join(names[:n], names[GRAM : GRAM + n]), names[_SIDE : _SIDE + n])
 
 
 def _map_windows(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
-            made = []
+            windows, contexts = [], []
             for b in chunk:
-                for doc, text, parts in zip(*(b.column(i).to_pylist() for i in range(3))):
-                    open_ = np.concatenate([np.frombuffer(p, "<i4").reshape(-1, 2) for p in parts])
-                    open_ = _runs(np.zeros(len(open_), np.int64), open_[:, 0], open_[:, 1])
-                    for s, e in zip(open_["start"].tolist(), open_["end"].tolist()):
-                        names = gram_names(np.frombuffer(text, np.uint8)[s:e])
-                        n = len(names) - _SIDE
-                        if n > 0:
-                            w = np.zeros(n, _WINDOW)
-                            w["h"] = _join(_join(names[:n], names[GRAM : GRAM + n]), names[_SIDE : _SIDE + n])
-                            w["doc"], w["pos"] = doc, np.arange(s, s + n)
-                            made.append(w)
-            if made:
-                first, repeats = _first_windows(np.concatenate(made))
+                for doc, text, spread, open_ in zip(*(b.column(i).to_pylist() for i in range(4))):
+                    data = np.frombuffer(text, np.uint8)
+                    if spread:
+                        runs = np.concatenate([np.frombuffer(p, "<i4").reshape(-1, 2) for p in spread])
+                        runs = _runs(np.zeros(len(runs), np.int64), runs[:, 0], runs[:, 1])
+                        for s, e in zip(runs["start"].tolist(), runs["end"].tolist()):
+                            names = _window_names(gram_names(data[s:e]))
+                            w = np.zeros(len(names), _WINDOW)
+                            w["h"], w["doc"], w["pos"] = names, doc, np.arange(s, s + len(names))
+                            windows.append(w)
+                    if open_:
+                        at = np.concatenate([np.frombuffer(p, "<i4").reshape(-1, 2) for p in open_])
+                        at = at[at[:, 0] + GRAM + (at[:, 1] & 255) <= len(data)]
+                        c = np.zeros(len(at), _CONTEXT)
+                        c["doc"], c["pos"], c["left"], c["right"] = doc, at[:, 0], at[:, 1] >> 8, at[:, 1] & 255
+                        padded = np.concatenate([np.zeros(_SIDE, np.uint8), data, np.zeros(_SIDE, np.uint8)])
+                        c["bytes"] = padded[at[:, :1] + np.arange(GRAM + 2 * _SIDE)]
+                        contexts.append(c)
+            if windows:
+                first, repeats = _first_windows(np.concatenate(windows))
                 yield _deal(first, "window", buckets)
                 yield _deal(_runs(repeats["doc"], repeats["pos"], repeats["pos"] + WINDOW), "repeat", buckets)
+            if contexts:
+                c = np.concatenate(contexts)
+                grams = np.ascontiguousarray(c["bytes"][:, _SIDE : _SIDE + GRAM])
+                c["h"] = gram_names(grams.reshape(-1))[:: GRAM]
+                yield _deal(c, "context", buckets)
 
     return run
 
 
+def _context_windows(c: np.ndarray) -> np.ndarray:
+    """All windows around anchors that lie in their documents."""
+    if not len(c):
+        return np.zeros(0, _WINDOW)
+    width = GRAM + 2 * _SIDE
+    names = _window_names(gram_names(np.ascontiguousarray(c["bytes"]).reshape(-1)))
+    offsets = np.arange(_SIDE + 1)
+    row, at = np.nonzero((offsets >= _SIDE - c["left"].astype(np.int32)[:, None]) & (offsets <= c["right"].astype(np.int32)[:, None]))
+    w = np.zeros(len(row), _WINDOW)
+    w["h"], w["doc"], w["pos"] = names[row * width + at], c["doc"][row], c["pos"][row] - _SIDE + at
+    return w
+
+
 def _reduce_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = []
+    windows, contexts = [], []
     for b in batches:
         for kind, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             if kind == "window":
-                held.append(np.frombuffer(data, _WINDOW))
+                windows.append(np.frombuffer(data, _WINDOW))
+            elif kind == "context":
+                contexts.append(np.frombuffer(data, _CONTEXT))
             else:
                 yield _by_doc(np.frombuffer(data, _RUN), kind)
-    if held:
-        _, repeats = _first_windows(np.concatenate(held))
+    if contexts:
+        # Anchor by anchor, some thousands at once: equal windows have equal anchors.
+        c = np.concatenate(contexts)
+        c = c[np.argsort(c["h"], kind="stable")]
+        edges = np.flatnonzero(np.concatenate([[True], c["h"][1:] != c["h"][:-1], [True]]))
+        start = 0
+        while start < len(edges) - 1:
+            stop = max(start + 1, int(np.searchsorted(edges, edges[start] + 5000, side="right")) - 1)
+            _, repeats = _first_windows(_context_windows(c[edges[start] : edges[stop]]))
+            yield _by_doc(_runs(repeats["doc"], repeats["pos"], repeats["pos"] + WINDOW), "repeat")
+            start = stop
+    if windows:
+        _, repeats = _first_windows(np.concatenate(windows))
         yield _by_doc(_runs(repeats["doc"], repeats["pos"], repeats["pos"] + WINDOW), "repeat")
 
 
@@ -259,8 +318,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     parts = max(shuffle_width(spark), -(-size // _PART))
     dealt = texts.mapInArrow(_map_anchors(4 * parts), "bucket int, kind string, data binary").repartition(parts, "bucket")
     found = stage(dealt.mapInArrow(_reduce_anchors, "doc bigint, kind string, data binary"))
-    open_ = found.where("kind = 'open'").groupBy("doc").agg(F.collect_list("data").alias("parts"))
-    again = texts.join(open_, "doc").select("doc", "b", "parts").mapInArrow(_map_windows(4 * parts), "bucket int, kind string, data binary")
+    left = [F.collect_list(F.when(F.col("kind") == k, F.col("data"))).alias(k) for k in ("spread", "open")]
+    open_ = found.where("kind <> 'repeat'").groupBy("doc").agg(*left)
+    again = texts.join(open_, "doc").select("doc", "b", "spread", "open").mapInArrow(_map_windows(4 * parts), "bucket int, kind string, data binary")
     settled = again.repartition(parts, "bucket").mapInArrow(_reduce_windows, "doc bigint, kind string, data binary")
     return found.where("kind = 'repeat'").unionByName(settled).select("doc", "data")
 
