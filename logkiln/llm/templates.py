@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logkiln.functions.columns import settle
 from logkiln.staging import stage
 
 MIN_DOCS, MIN_WORDS, DEPTH, ALIKE = 3, 3, 3, 0.7
@@ -29,7 +30,10 @@ _SPACE = "[\x20\x09-\x0d]+"
 
 def masked(line: Column) -> Column:
     """The line with single blanks and its words with digits as ``<*>``."""
-    plain = F.btrim(F.regexp_replace(line, _SPACE, " "))
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\r\x0b\x0c":
+        odd = odd | F.contains(line, F.lit(c))
+    plain = F.btrim(F.when(odd, F.regexp_replace(line, _SPACE, " ")).otherwise(line))
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", _ANY)).otherwise(plain)
 
 
@@ -38,24 +42,33 @@ def _row_key(doc: str = "doc_id", text: str = "text") -> Column:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """Rows (key, doc, place, leaf, line): every line that may be dropped; ``line`` is masked."""
+    """Rows (key, doc, place, leaf, line_hash): every line that may be dropped, with the hash of its masked form."""
     lines = docs.where("text IS NOT NULL").select(
         _row_key().alias("key"), F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("place", "raw")
     )
-    cut = lines.select("key", "doc", "place", masked(F.col("raw")).alias("line"))
+    # Settled, so that filters below do not repeat the masking.
+    cut = settle(lines.select("key", "doc", "place", masked(F.col("raw")).alias("line")), "line")
     words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    counted = cut.where(F.col("line") != "").withColumn("words", words).where(F.col("words") >= MIN_WORDS)
-    return counted.select("key", "doc", "place", F.xxhash64("words", F.substring_index("line", " ", DEPTH)).alias("leaf"), "line")
+    counted = settle(cut.where(F.col("line") != "").withColumn("words", words), "words").where(F.col("words") >= MIN_WORDS)
+    leaf = F.xxhash64("words", F.substring_index("line", " ", DEPTH))
+    return counted.select("key", "doc", "place", leaf.alias("leaf"), F.xxhash64("line").alias("line_hash"))
 
 
-def line_templates(lines: DataFrame, min_docs: int = MIN_DOCS, alike: float = ALIKE) -> DataFrame:
-    """Rows (leaf, line_hash, template): the template, as a hash, of each different line of a busy leaf."""
-    busy = lines.select("leaf", "key").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
-    busy = stage(busy)
-    each = lines.join(busy, "leaf").groupBy("leaf", F.xxhash64("line").alias("line_hash"), "key").agg(F.first("line").alias("line"))
-    different = stage(each.groupBy("leaf", "line_hash").agg(F.first("line").alias("line"), F.count("*").alias("docs")))
+def line_templates(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, alike: float = ALIKE) -> DataFrame:
+    """Rows (leaf, line_hash, template): the template, as a hash, of each different line of a busy leaf.
+
+    Words are looked at for one line of each kind only; those are fetched from their documents.
+    """
+    busy = stage(lines.select("leaf", "key").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"))
+    each = lines.join(busy, "leaf").groupBy("leaf", "line_hash", "key").agg(F.min("place").alias("place"))
+    different = stage(each.groupBy("leaf", "line_hash").agg(F.min(F.struct("key", "place")).alias("one"), F.count("*").alias("docs")))
     several = different.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
-    words = different.join(several, "leaf").select("leaf", "line_hash", "docs", F.posexplode(F.split("line", " ")).alias("at", "word"))
+    wanted = different.join(several, "leaf").select("leaf", "line_hash", "docs", "one.*")
+    by_text = wanted.groupBy("key").agg(F.collect_list(F.struct("leaf", "line_hash", "docs", "place")).alias("wanted"))
+    texts = docs.where("text IS NOT NULL").select(_row_key().alias("key"), "text").join(by_text, "key").dropDuplicates(["key"])
+    raw = texts.select(F.split("text", "\n").alias("raw"), F.explode("wanted").alias("w")).select("w.leaf", "w.line_hash", "w.docs", F.col("raw")[F.col("w.place")].alias("raw"))
+    words = raw.select("leaf", "line_hash", "docs", F.posexplode(F.split(masked(F.col("raw")), " ")).alias("at", "word"))
+    words = stage(words)
     common = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("held")).where(F.col("held") >= min_docs).select("leaf", "at", "word")
     fixed = common.where(F.col("word") != _ANY)
     marked = words.join(fixed.withColumn("fixed", F.lit(True)), ["leaf", "at", "word"], "left")
@@ -71,14 +84,15 @@ def line_templates(lines: DataFrame, min_docs: int = MIN_DOCS, alike: float = AL
 
 def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, alike: float = ALIKE) -> DataFrame:
     """Rows (key, place) of lines to be dropped."""
-    lines = line_table(docs)
-    templates = stage(line_templates(lines, min_docs, alike))
-    short = lines.select("key", "doc", "place", "leaf", F.xxhash64("line").alias("line_hash"))
-    placed = stage(short.join(templates, ["leaf", "line_hash"]).select("key", "doc", "place", "template"))
+    lines = stage(line_table(docs))
+    templates = stage(line_templates(docs, lines, min_docs, alike))
+    placed = stage(lines.join(templates, ["leaf", "line_hash"]).select("key", "doc", "place", "template"))
     order = F.struct(F.col("doc").isNull().alias("none"), "doc", "key", "place")
     spread = placed.select("template", "key").distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     first = placed.groupBy("template").agg(F.min(order).alias("first"))
-    gone = placed.join(spread.join(first, "template"), "template")
+    # Staged, so that the join below deals out both sides anew and a hot template may be split.
+    recurring = stage(spread.join(first, "template").select("template", "first"))
+    gone = placed.join(recurring, "template")
     same = (F.col("first.key") == F.col("key")) & (F.col("first.place") == F.col("place"))
     return gone.where(~same).select("key", "place").distinct()
 
