@@ -77,7 +77,9 @@ def classify(spark, d):
 
 
 def _normalized(df: DataFrame) -> DataFrame:
-    return normalize_gelf(decode_gelf_json(inflate(classify_packets(df))))
+    """Records that are not refused for their text or the form of their values."""
+    bodies = decode_gelf_json(inflate(classify_packets(df)))
+    return normalize_gelf(bodies.where(F.col("json_reason").isNull())).where(F.col("convert_reason").isNull())
 
 
 def gelf_normalize(spark, d):
@@ -274,10 +276,10 @@ def newest_errors(spark, d):
     return _hits(S.search(X.event_logs(spark, d), P.term("error"), *S.relative_range(NOW, 1440)))
 
 
-def entry(spark: SparkSession) -> DataFrame:
+def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """The newest 1000 error lines of the last day of data, from raw lines."""
     ship_package(spark)
-    return newest_errors(spark, "/root/testdata/sf0.001")
+    return newest_errors(spark, sf_dir)
 
 
 def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

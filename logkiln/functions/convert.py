@@ -20,17 +20,19 @@ from logkiln import catalog as C
 
 MAX_U64 = "18446744073709551615"
 
+# The end of the text: a dollar sign would also match before a last line end.
+_END = "(?!(?s:.))"
 # The texts each kind of number may be written in.
-U64_TEXT = "^[+]?[0-9]+$"
-I64_TEXT = "^[+-]?[0-9]+$"
-DOUBLE_TEXT = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-NON_FINITE_TEXT = "(?i)^[+-]?(inf|infinity|nan)$"
-HEX_TEXT = "^[+]?0*[0-9a-fA-F]{1,16}$"
-RFC3339_TEXT = "^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$"
+U64_TEXT = "^[+]?[0-9]+" + _END
+I64_TEXT = "^[+-]?[0-9]+" + _END
+DOUBLE_TEXT = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?" + _END
+NON_FINITE_TEXT = "(?i)^[+-]?(inf|infinity|nan)" + _END
+HEX_TEXT = "^[+]?0*[0-9a-fA-F]{1,16}" + _END
+RFC3339_TEXT = "^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})" + _END
 RFC2822_TEXT = (
-    "^([A-Za-z]{3},[ ]?)?[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2} ([+-][0-9]{4}|GMT|UT)$"
+    "^([A-Za-z]{3},[ ]?)?[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2} ([+-][0-9]{4}|GMT|UT)" + _END
 )
-RFC3164_TEXT = "^[A-Z][a-z]{2} [0-9]{1,2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"
+RFC3164_TEXT = "^[A-Z][a-z]{2} [0-9]{1,2} [0-9]{2}:[0-9]{2}:[0-9]{2}" + _END
 
 Sql = tuple[str, str | None]
 

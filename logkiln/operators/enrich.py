@@ -27,9 +27,10 @@ def resolve_hostnames(
         spread = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         salt = F.pmod(F.xxhash64("src_ip", "source_timestamp", "message"), F.lit(salts)).cast("int")
         wanted = wanted.withColumn("_salted", salt)
-        joined = wanted.join(
-            spread, (F.col("_wanted") == F.col("_ip")) & (F.col("_salted") == F.col("_salt")), "left"
-        )
+        # Rows that have a name stay out of the join, where they would share one null key.
+        nameless, named = wanted.where(F.col("_wanted").isNotNull()), wanted.where(F.col("_wanted").isNull())
+        found = nameless.join(spread, (F.col("_wanted") == F.col("_ip")) & (F.col("_salted") == F.col("_salt")), "left")
+        joined = found.unionByName(named, allowMissingColumns=True)
     return joined.withColumn("hostname", F.coalesce("hostname", "_name", "src_ip")).select(*logs.columns)
 
 

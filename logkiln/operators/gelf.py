@@ -80,9 +80,9 @@ def _take_apart(body: bytes) -> tuple[dict[str, str], str | None, str | None]:
         if kind is str:
             texts[key] = value
         elif kind is _Number and key not in _TEXT_ONLY:
-            # A number is no hexadecimal text but a value of its own.
+            # A number is no hexadecimal text but a value of its own; past 20 digits it fits no field.
             is_hex = _WRONG_TYPE[key] == "not_hex"
-            texts[key] = (format(int(value), "x") if value.isdigit() else "-") if is_hex else value
+            texts[key] = (format(int(value), "x") if value.isdigit() and len(value) <= 20 else "-") if is_hex else value
         elif wrong is None:
             wrong = f"{_SOURCES[key][0].name}:{key}:{_WRONG_TYPE[key]}"
     return texts, None, wrong

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,6 +169,9 @@ def _stats() -> list[Column]:
     ]
 
 
-def ingest(datagrams: DataFrame, path: str, hosts: DataFrame | None = None, batch_id: int = 0, **options) -> None:
-    """Decode a datagram table and write records and refused rows in one pass."""
-    write_ingested(decode_datagrams(datagrams, hosts, **options), path, batch_id)
+def ingest(datagrams: DataFrame, path: str, hosts: DataFrame | None = None, run: str | None = None, **options) -> None:
+    """Decode a datagram table and write records and refused rows in one pass.
+
+    Every call adds to the path; one with the name of an earlier ``run`` replaces what that wrote.
+    """
+    write_ingested(decode_datagrams(datagrams, hosts, **options), path, run or uuid.uuid4().hex)

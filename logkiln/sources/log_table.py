@@ -32,30 +32,34 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(C.log_schema().add(C.DATE_FIELD, "date")).parquet(path)
 
 
-def write_ingested(df: DataFrame, path: str, batch_id: int = 0) -> None:
+def write_ingested(df: DataFrame, path: str, run: str) -> None:
     """Write records and refused rows in one pass, apart by ``outcome``.
 
-    The partitions of a batch are replaced, not added to, so a batch that is run again after a
-    failure leaves no second copy.
+    The partitions of a run are replaced, not added to, so a run that is repeated after a
+    failure leaves no second copy; other runs' partitions are not touched.
     """
-    columns = [c for c in df.columns if c not in ("outcome", "batch_id")]
+    columns = [c for c in df.columns if c not in ("outcome", "run")]
     # Refused rows have their own day column, the day they came in.
     marked = df.select(
         *columns,
         F.when(F.col("reason").isNull(), LOG).otherwise(QUARANTINE).alias("outcome"),
-        F.lit(batch_id).cast("bigint").alias("batch_id"),
+        F.lit(run).alias("run"),
     )
     (
         _laid_out(marked, "outcome", C.DATE_FIELD)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("outcome", C.DATE_FIELD, "batch_id")
+        .partitionBy("outcome", C.DATE_FIELD, "run")
         .parquet(path)
     )
 
 
 def _outcome(spark: SparkSession, path: str, outcome: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(f"{path}/outcome={outcome}")
+    schema = C.log_schema()
+    for name, kind in (("src_ip", "string"), ("recv_ts", "timestamp"), ("payload", "binary"), ("stage", "string"), ("reason", "string"), ("outcome", "string"), (C.DATE_FIELD, "date"), ("run", "string")):
+        schema = schema.add(name, kind)
+    # With the schema given, an outcome that never came up is an empty table.
+    return spark.read.schema(schema).parquet(path).where(F.col("outcome") == outcome)
 
 
 def read_ingested_logs(spark: SparkSession, path: str) -> DataFrame:

@@ -48,7 +48,7 @@ def _fold(lifetime_us: int):
             return
         rows = []
         # Rows of a micro-batch come in no order; arrival order decides.
-        arrived = pd.concat(list(batches)).sort_values(["t", "seqno", "count", "src_ip", "src_port"], na_position="first")
+        arrived = pd.concat(list(batches)).sort_values(["t", "seqno", "count", "src_ip", "src_port", "h"], na_position="first")
         for t, seqno, count, ip, port, chunk_id, content in zip(
             *[arrived[c] for c in ("t", "seqno", "count", "src_ip", "src_port", "chunk_id", "content")]
         ):
@@ -97,7 +97,7 @@ def reassemble_chunks_stream(
         clocked.where(F.col("count") >= MIN_COUNT)
         .select(
             chunk_key(key).alias("k"), "recv_ts", F.unix_micros("recv_ts").alias("t"), "seqno", "count",
-            "src_ip", "src_port", "chunk_id", "content",
+            "src_ip", "src_port", "chunk_id", "content", F.xxhash64("content").alias("h"),
         )
         .groupBy("k")
         .applyInPandasWithState(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -49,19 +50,29 @@ def start_ingest(
     bad row never stops the stream, and a batch that is replayed replaces what it wrote.
     ``on_stats`` gets the size figures of each batch, observed while it is written.
     """
+    # The id of the query is kept in its checkpoint: streams with other checkpoints write beside this one.
+    query_id: list[str] = []
+    started = threading.Event()
+
     def write(batch: DataFrame, batch_id: int) -> None:
         # Both decoders read the batch: kept, so that the chunk state is not worked through twice.
         batch.persist(StorageLevel.MEMORY_AND_DISK)
-        decoded = decode_packets(batch, hosts, zone)
-        seen = Observation(f"batch-{batch_id}")
-        if on_stats is not None:
-            decoded = decoded.observe(seen, *_stats())
-        write_ingested(decoded, dst, batch_id)
-        batch.unpersist()
+        try:
+            decoded = decode_packets(batch, hosts, zone)
+            seen = Observation(f"batch-{batch_id}")
+            if on_stats is not None:
+                decoded = decoded.observe(seen, *_stats())
+            started.wait()
+            write_ingested(decoded, dst, f"{query_id[0]}-{batch_id}")
+        finally:
+            batch.unpersist()
         if on_stats is not None:
             on_stats(batch_id, seen.get)
 
     packets = stream_packets(stream_datagrams(spark, src, max_files), **options)
     writer = packets.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return writer.trigger(**trigger).start()
+    query = writer.trigger(**trigger).start()
+    query_id.append(str(query.id))
+    started.set()
+    return query

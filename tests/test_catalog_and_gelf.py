@@ -1,4 +1,6 @@
 import datetime as dt
+from datetime import datetime
+
 import gzip
 import json
 import zlib
@@ -118,3 +120,16 @@ def test_bodies_and_packets(spark):
     reason = F.coalesce("packet_reason", "inflate_reason", "json_reason")
     got = {r.src_port: r.r for r in out.select("src_port", reason.alias("r")).collect()}
     assert [(c[0], got[i]) for i, c in enumerate(cases)] == cases
+
+
+def test_numbers_with_a_line_end_or_too_many_digits_are_refused(spark):
+    from logkiln.plans.ingest import decode_datagrams
+
+    def body(field):
+        return ('{"version":"1.1","host":"h","short_message":"m","timestamp":1,' + field + "}").encode()
+
+    fields = ['"_PID":"12\\n"', '"_CAP_EFFECTIVE":"1f\\n"', '"_CAP_EFFECTIVE":' + "9" * 5000, '"_PID":"12"']
+    now = datetime(2024, 1, 1)
+    data = spark.createDataFrame([("gelf", "1.1.1.1", 1, now, bytearray(body(f))) for f in fields], C.DATAGRAM)
+    got = sorted(str(r.reason).rsplit(":", 1)[-1] for r in decode_datagrams(data).collect())
+    assert got == ["None", "not_hex", "not_hex", "not_u64"]

@@ -70,9 +70,19 @@ def test_stream_gives_what_the_batch_gives(spark):
     ]
     assert sum(s["records"] for _, s in seen) == 7
 
-    # A batch that is written again leaves one copy.
-    ingest(data, f"{folder}/batch")
-    assert read_ingested_logs(spark, f"{folder}/batch").count() == 7
+    # A run that is repeated leaves one copy; another run adds.
+    for run, n in (("a", 14), ("a", 14), ("b", 21)):
+        ingest(data, f"{folder}/batch", run=run)
+        assert read_ingested_logs(spark, f"{folder}/batch").count() == n
+
+
+def test_reading_when_nothing_was_refused_or_nothing_kept(spark):
+    folder = tempfile.mkdtemp(prefix="run-stream-")
+    data = spark.createDataFrame([r for rows in FILES for r in rows], C.DATAGRAM).where("proto = 'syslog'")
+    ingest(data, f"{folder}/good")
+    assert read_ingested_logs(spark, f"{folder}/good").count() + read_quarantine(spark, f"{folder}/good").count() == data.count()
+    ingest(data.where("false"), f"{folder}/none")
+    assert read_ingested_logs(spark, f"{folder}/none").count() == read_quarantine(spark, f"{folder}/none").count() == 0
 
 
 def test_chunks_inside_a_chunked_message(spark):
