@@ -45,9 +45,9 @@ def whole_packets(classified: DataFrame) -> DataFrame:
     return _packets(classified.where((F.col("kind") != CHUNK) | lone), F.when(lone, "chunk_count"))
 
 
-def chunk_rows(classified: DataFrame) -> DataFrame:
+def chunk_rows(classified: DataFrame, *more: str) -> DataFrame:
     return classified.where((F.col("kind") == CHUNK) & (F.col("count") >= K.MIN_COUNT)).select(
-        "src_ip", "src_port", "recv_ts", "chunk_id", "seqno", "count", "content"
+        "src_ip", "src_port", "recv_ts", "chunk_id", "seqno", "count", "content", *more
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from logkiln.functions.columns import settle
 from logkiln.operators.chunks import COMPLETE, EXPIRED, IGNORED, LIFETIME_SECONDS, MIN_COUNT, chunk_key
 
 _OUT = (
@@ -47,39 +48,64 @@ def _fold(lifetime_us: int):
             yield frame([close(EXPIRED, group, slots)])
             return
         rows = []
+
+        def work(arrived, group, slots):
+            for t, seqno, count, ip, port, chunk_id, content in zip(
+                *[arrived[c] for c in ("t", "seqno", "count", "src_ip", "src_port", "chunk_id", "content")]
+            ):
+                port = None if pd.isna(port) else int(port)
+                if group is not None and t > group[0] + lifetime_us:
+                    rows.append(close(EXPIRED, group, slots))
+                    group = None
+                if group is None:
+                    group, slots = (int(t), int(count), bytes(chunk_id)), {}
+                if seqno < group[1]:
+                    slots[int(seqno)] = bytes(content)
+                    if len(slots) == group[1]:
+                        rows.append(close(COMPLETE, group, slots, (int(t), ip, port)))
+                        group = None
+                else:
+                    ignored = close(IGNORED, group, slots)
+                    rows.append((*ignored[:5], ip, port, _instant(int(t)), None))
+            return group, slots
+
         # Rows of a micro-batch come in no order; arrival order decides.
         arrived = pd.concat(list(batches)).sort_values(["t", "seqno", "count", "src_ip", "src_port", "h"], na_position="first")
-        for t, seqno, count, ip, port, chunk_id, content in zip(
-            *[arrived[c] for c in ("t", "seqno", "count", "src_ip", "src_port", "chunk_id", "content")]
-        ):
-            port = None if pd.isna(port) else int(port)
-            if group is not None and t > group[0] + lifetime_us:
-                rows.append(close(EXPIRED, group, slots))
-                group = None
-            if group is None:
-                group, slots = (int(t), int(count), bytes(chunk_id)), {}
-            if seqno < group[1]:
-                slots[int(seqno)] = bytes(content)
-                if len(slots) == group[1]:
-                    rows.append(close(COMPLETE, group, slots, (int(t), ip, port)))
-                    group = None
-            else:
-                ignored = close(IGNORED, group, slots)
-                rows.append((*ignored[:5], ip, port, _instant(int(t)), None))
+        if group is not None:
+            # What came more than a lifetime before the open group is no part of it.
+            older = arrived["t"] < group[0] - lifetime_us
+            left, filled = work(arrived[older], None, {})
+            if left is not None:
+                rows.append(close(EXPIRED, left, filled))
+            arrived = arrived[~older]
+        group, slots = work(arrived, group, slots)
         if group is None:
             if state.exists:
                 state.remove()
         else:
             state.update((*group, list(slots), list(slots.values())))
-            # The timer is in whole milliseconds and must lie past the watermark.
-            due = (group[0] + lifetime_us) // 1000 + 1
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            # Late groups have their lifetime from the present clock. The timer is in whole milliseconds.
+            begun = max(group[0], state.getCurrentWatermarkMs() * 1000)
+            state.setTimeoutTimestamp((begun + lifetime_us) // 1000 + 1)
         if rows:
             yield frame(rows)
 
     return run
 
 
+def with_clock(rows: DataFrame, delay: str = "1 second", settled: tuple[str, ...] = ()) -> DataFrame:
+    """The rows with a watermark that drops none of them, however late.
+
+    Spark drops late rows before the state sees them, by the column that the watermark is on. So each row
+    comes as two: its time alone moves ``clock``, and the row itself, with ``taken``, has no time there. Rows that later filters on ``settled`` columns leave out move the clock too.
+    """
+    tick = F.struct(F.col("recv_ts").alias("clock"), F.lit(False).alias("taken"))
+    row = F.struct(F.lit(None).cast("timestamp").alias("clock"), F.lit(True).alias("taken"))
+    both = rows.select("*", F.inline(F.array(tick, row)))
+    # Settled, so that filters stay above the watermark.
+    return settle(both.withWatermark("clock", delay), "taken", *settled).where("taken").drop("taken")
+
+
 def reassemble_chunks_stream(
     chunks: DataFrame,
     key: tuple[str, ...] = ("chunk_id",),
@@ -88,15 +114,16 @@ def reassemble_chunks_stream(
 ) -> DataFrame:
     """Streaming form: classified chunk rows in, the columns of the batch form out.
 
-    Groups that stay open are given up once the watermark on ``recv_ts`` passes their end. One
-    task holds what one micro-batch brings for one id, so the source's intake limit bounds it.
-    With ``delay`` None the watermark is already set upstream.
+    Groups that stay open are given up once the watermark on ``recv_ts`` passes their end. Chunks behind the
+    watermark are worked like others: they join the open group of their id if they came within a lifetime
+    of its start, else they make groups of their own. One task holds what one micro-batch brings for one id, so the
+    source's intake limit bounds it. With ``delay`` None the rows have been through ``with_clock``.
     """
-    clocked = chunks if delay is None else chunks.withWatermark("recv_ts", delay)
+    clocked = chunks if delay is None else with_clock(chunks, delay)
     return (
         clocked.where(F.col("count") >= MIN_COUNT)
         .select(
-            chunk_key(key).alias("k"), "recv_ts", F.unix_micros("recv_ts").alias("t"), "seqno", "count",
+            chunk_key(key).alias("k"), "clock", F.unix_micros("recv_ts").alias("t"), "seqno", "count",
             "src_ip", "src_port", "chunk_id", "content", F.xxhash64("content").alias("h"),
         )
         .groupBy("k")

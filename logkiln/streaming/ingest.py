@@ -10,24 +10,22 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logkiln.functions.columns import settle
 from logkiln.operators.packets import classify_packets
 from logkiln.plans.ingest import _packets, _stats, chunk_rows, decode_packets, group_packets, whole_packets
 from logkiln.sources.datagrams import stream_datagrams
 from logkiln.sources.log_table import write_ingested
-from logkiln.streaming.chunks import reassemble_chunks_stream
+from logkiln.streaming.chunks import reassemble_chunks_stream, with_clock
 
 
 def stream_packets(datagrams: DataFrame, delay: str = "1 second", **options) -> DataFrame:
     """Both inputs merged, chunked messages joined.
 
-    All GELF traffic moves the clock that open groups expire by, not chunks alone: the packet
-    kind is settled above the watermark, so the filter on it stays there too.
+    All GELF traffic moves the clock that open groups expire by, not chunks alone; nothing is too late.
     """
     raw = datagrams.where(F.col("proto") == "gelf")
     gelf = classify_packets(raw)
-    clocked = settle(classify_packets(raw.withWatermark("recv_ts", delay)), "kind", "count")
-    joined = group_packets(reassemble_chunks_stream(chunk_rows(clocked), delay=None, **options))
+    chunks = chunk_rows(with_clock(gelf, delay, ("kind", "count")), "clock")
+    joined = group_packets(reassemble_chunks_stream(chunks, delay=None, **options))
     syslog = _packets(datagrams.where(F.col("proto") == "syslog"))
     return whole_packets(gelf).unionByName(joined).unionByName(syslog)
 

@@ -76,6 +76,27 @@ def test_stream_gives_what_the_batch_gives(spark):
         assert read_ingested_logs(spark, f"{folder}/batch").count() == n
 
 
+def test_late_chunks_are_worked(spark):
+    """Messages that are read minutes after later ones, also a piece at a time, and before a newer use of their id."""
+    first, second = halves(8, b"parted", 2, 1)
+    newer = halves(6, b"newer", 103, 1)
+    files = [
+        *[[plain(b"now", 100 + i)] for i in range(3)], halves(7, b"whole", 0, 1), [first], [second], halves(9, b"half", 3, 1)[:1],
+        newer[:1], halves(6, b"older", 4, 1), newer[1:], [plain(b"then", 200)], [plain(b"end", 300)],
+    ]
+    folder = tempfile.mkdtemp(prefix="run-stream-")
+    for rows in files:
+        spark.createDataFrame(rows, C.DATAGRAM).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    query = start_ingest(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", interval=None, max_files=1)
+    query.awaitTermination(240)
+    assert query.exception() is None
+    streamed = both(read_ingested_logs(spark, f"{folder}/out"), read_quarantine(spark, f"{folder}/out"))
+    ingest(read_datagrams(spark, f"{folder}/in"), f"{folder}/batch")
+    assert streamed == both(read_ingested_logs(spark, f"{folder}/batch"), read_quarantine(spark, f"{folder}/batch"))
+    assert [m for _, m in streamed[0]] == ["end", "newer", "now", "now", "now", "older", "parted", "then", "whole"]
+    assert [r[:2] for r in streamed[1]] == [("chunk", "expired")]
+
+
 def test_reading_when_nothing_was_refused_or_nothing_kept(spark):
     folder = tempfile.mkdtemp(prefix="run-stream-")
     data = spark.createDataFrame([r for rows in FILES for r in rows], C.DATAGRAM).where("proto = 'syslog'")
