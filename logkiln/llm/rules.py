@@ -3,12 +3,13 @@
 ``statistics`` gives the figures of each whole text. ``learn`` grows rules by sequential covering on a
 bounded sample of labelled rows: conditions (a statistic at most or at least a threshold) are
 added while they raise the information gain, pruned from the end on held-back rows, and a rule is kept
-if it is precise there; what it covers is taken away and the next rule is sought. The list becomes
+if it is precise there; what it covers is taken away (laid aside while growing, if it is not kept) and the next rule is sought. The list becomes
 one ordered Spark conditional expression, so applying it costs no Python.
 
 A row counts as bad if its quality label is 0 or its toxic label is 1. Since toxic words are in no
-list, ``marked_words`` learns them: words that occur in enough labelled bad rows and in hardly
-any good one. Their share is a statistic like the others.
+list, ``marked_words`` learns them: words and beginnings of words that occur in enough labelled bad rows and in hardly
+any good one. How many a text has, their share of its words, and the largest share of bad rows that one of them was found in, are
+statistics like the others; each half of the sample is counted with words learned from the other half, so rules know how far to trust them.
 
 Defined results: a null or empty text has zero statistics and fails the base; labels that are null count as
 unknown and are not learned from, as are ids with contradicting labels; without labels the list is empty
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logkiln.llm.common import bound_batches, utf8
+from logkiln.staging import stage
 
 #: Labelled rows that rules and marked words are learned from, at most; those with the smallest hashes of their ids.
 SAMPLE_ROWS = 12_000
@@ -35,10 +37,12 @@ MAX_WORDS, MAX_RULES, MAX_CONDITIONS, THRESHOLDS = 400, 16, 4, 48
 PRECISION = 0.95
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _SPLIT = re.compile("[\x20\x09-\x0d]+")
+#: Lengths of the beginnings of words that may be marked; a whole word is marked as itself and a blank.
+STARTS = range(4, 9)
 _EDGES = ".,;:!?\"'()[]#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: What rules are made of: ratios per word or character, so that length matters only where it is meant.
-FEATURES = ("n_words", "mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "mark_ratio", "digit_ratio", "distinct_ratio", "end_ratio", "marked_words")
+FEATURES = ("n_words", "mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "mark_ratio", "digit_ratio", "distinct_ratio", "end_ratio", "marked_words", "mark_support", "mark_density")
 
 
 def repeat_words(ids: np.ndarray, kinds: int) -> int:
@@ -60,7 +64,15 @@ def repeat_words(ids: np.ndarray, kinds: int) -> int:
     return int(covered.sum())
 
 
-def text_statistics(text: str, marked: frozenset[str] = frozenset()) -> tuple:
+def _mark(word: str, marked: Mapping[str, float]) -> float:
+    """The share that goes with a word or one of its beginnings, or 0."""
+    for k in STARTS:
+        if len(word) > k and (share := marked.get(word[:k])):
+            return share
+    return marked.get(word + " ", 0.0)
+
+
+def text_statistics(text: str, marked: Mapping[str, float] = {}) -> tuple:
     """The counts of ``COUNTS``, then the figures of ``FEATURES``."""
     words = [w for w in _SPLIT.split(text) if w]
     n = len(words)
@@ -76,16 +88,18 @@ def text_statistics(text: str, marked: frozenset[str] = frozenset()) -> tuple:
     symbols = len(_SYMBOLS.findall(text))
     repeats = repeat_words(ids, len(seen))
     per, perc = max(n, 1), max(chars, 1)
-    flagged = sum(w.lower().strip(_EDGES) in marked for w in seen) if marked else 0
+    hits = [_mark(w.lower().strip(_EDGES), marked) for w in seen] if marked else []
+    flagged = [x for x in hits if x]
+    among = sum(map(bool, map(hits.__getitem__, ids.tolist()))) if flagged else 0
     head = (n, chars, symbols, dup, repeats)
     return head + (
         float(n), chars / per, symbols / per, dup / max(lines, 1), repeats / per, sum(map(str.isupper, words)) / per,
         (text.count("!") + text.count("?")) / per, sum(map(str.isdigit, words)) / per, len(seen) / math.sqrt(per),
-        text.count(".") / per, float(flagged),
+        text.count(".") / per, float(len(flagged)), max(flagged, default=0.0), among / per,
     )
 
 
-def statistics(docs: DataFrame, marked: frozenset[str] = frozenset()) -> DataFrame:
+def statistics(docs: DataFrame, marked: Mapping[str, float] = {}) -> DataFrame:
     """Rows (doc_id, COUNTS as bigint, features as a struct ``f`` of doubles)."""
     bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -117,13 +131,23 @@ def labelled_sample(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     return clear.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def marked_words(texts: DataFrame, least: int = 5, purity: float = 0.97, most: int = MAX_WORDS) -> frozenset[str]:
-    """Words that ``least`` or more bad rows of (text, bad) hold, and hardly any good row."""
+def marked_words(texts: DataFrame, least: int = 5, purity: float = 0.93, most: int = MAX_WORDS) -> dict[str, float]:
+    """Words and beginnings of words that ``least`` or more bad rows of (text, bad) hold, and hardly any good row.
+
+    With each the share of bad rows that hold it. A beginning stands for the longer terms that start with it.
+    """
     words = F.array_distinct(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), "[\x20\x09-\x0d]+"), lambda w: F.btrim(w, F.lit(_EDGES))))
-    each = texts.select("bad", F.explode(words).alias("w")).where("w <> ''")
-    counted = each.groupBy("w").agg(F.sum("bad").alias("b"), F.count("*").alias("n"))
+    starts = F.array(*[F.when(F.length("w") > k, F.substring("w", 1, k)) for k in STARTS], F.concat("w", F.lit(" ")))
+    each = texts.select("bad", F.monotonically_increasing_id().alias("row"), F.explode(words).alias("w")).where("w <> ''")
+    terms = each.select("bad", "row", F.explode(starts).alias("t")).where("t IS NOT NULL").distinct()
+    counted = terms.groupBy("t").agg(F.sum("bad").alias("b"), F.count("*").alias("n"))
     pure = counted.where((F.col("b") >= least) & (F.col("b") >= purity * F.col("n")))
-    return frozenset(r["w"] for r in pure.orderBy(F.desc("b"), "w").limit(most).collect())
+    outer = pure.select(F.col("t").alias("o"))
+    part = F.explode(F.array(*[F.when(F.length("t") > k, F.substring("t", 1, k)) for k in STARTS]))
+    inner = pure.select("t", part.alias("o")).join(outer, "o", "left_semi").select("t").distinct()
+    found = pure.join(inner, "t", "left_anti").orderBy(F.desc("b"), "t").limit(most).collect()
+    rows = texts.agg(F.sum("bad")).first()[0] if found else 0
+    return {r["t"]: r["b"] / rows for r in found}
 
 
 @dataclass(frozen=True)
@@ -178,10 +202,10 @@ def learn(x: np.ndarray, bad: np.ndarray, seed: int = 7, precision: float = PREC
     order = np.random.default_rng(seed).random(len(x))
     held = order < 1 / 3
     rules: list[tuple[Condition, ...]] = []
-    left = np.ones(len(x), bool)
-    while len(rules) < MAX_RULES:
-        grow, prune = left & ~held, left & held
-        if bad[grow].sum() < 5:
+    left, aside = np.ones(len(x), bool), np.zeros(len(x), bool)
+    for _ in range(2 * MAX_RULES):
+        grow, prune = left & ~held & ~aside, left & held
+        if bad[grow].sum() < 5 or len(rules) == MAX_RULES:
             break
         rule = _grow(x[grow], bad[grow])
 
@@ -193,8 +217,11 @@ def learn(x: np.ndarray, bad: np.ndarray, seed: int = 7, precision: float = PREC
         while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
             rule = rule[:-1]
         c = _covered(rule, x[prune])
-        if not rule or not c.any() or bad[prune][c].mean() < precision:
+        if not rule:
             break
+        if not c.any() or bad[prune][c].mean() < precision:
+            aside |= _covered(rule, x)
+            continue
         rules.append(rule)
         left &= ~_covered(rule, x)
     return rules
@@ -215,20 +242,25 @@ def describe(rules: list[tuple[Condition, ...]]) -> list[str]:
     return [" and ".join(f"{c.feature} {'>=' if c.above else '<='} {c.threshold:g}" for c in r) for r in rules]
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[frozenset[str], list[tuple[Condition, ...]]]:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[dict[str, float], list[tuple[Condition, ...]]]:
     """Marked words and rules from a bounded sample of labelled rows."""
     sample = labelled_sample(labels, rows)
     # At most ``rows`` ids and flags, so broadcasting is bounded.
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # Written once, so that what follows reads the sample and not the documents.
+    texts = stage(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
     marked = marked_words(texts)
-    figures = statistics(texts, marked).join(F.broadcast(sample), "doc_id").select("bad", "f.*").toPandas()
+    # Each half is counted with the words of the other, so that rules trust marked words as far as new texts bear them out.
+    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))
+    halves = [texts.where(half == i) for i in (0, 1)]
+    counted = [statistics(halves[i], marked_words(halves[1 - i])) for i in (0, 1)]
+    figures = counted[0].unionByName(counted[1]).join(F.broadcast(texts.select("doc_id", "bad").distinct()), "doc_id").select("bad", "f.*").toPandas()
     if not len(figures):
         return marked, []
     figures = figures.sort_values(list(figures.columns))
     return marked, learn(figures[list(FEATURES)].to_numpy(float), figures["bad"].to_numpy() == 1)
 
 
-def judge(docs: DataFrame, marked: frozenset[str], rules: list[tuple[Condition, ...]]) -> DataFrame:
+def judge(docs: DataFrame, marked: Mapping[str, float], rules: list[tuple[Condition, ...]]) -> DataFrame:
     """(doc_id, COUNTS, base_failed, kept)."""
     figures = statistics(docs, marked)
     return figures.select("doc_id", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
