@@ -131,22 +131,34 @@ def labelled_sample(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     return clear.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def marked_words(texts: DataFrame, least: int = 5, purity: float = 0.93, most: int = MAX_WORDS) -> dict[str, float]:
-    """Words and beginnings of words that ``least`` or more bad rows of (text, bad) hold, and hardly any good row.
+def term_counts(texts: DataFrame, least: int = 5) -> DataFrame:
+    """Rows (t, b0, n0, b1, n1): bad rows and all rows of (text, bad, half) with a word or beginning of one, by half.
 
-    With each the share of bad rows that hold it. A beginning stands for the longer terms that start with it.
+    Only terms of ``least`` or more bad rows. Written once, as all sets of marked words come from it.
     """
     words = F.array_distinct(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), "[\x20\x09-\x0d]+"), lambda w: F.btrim(w, F.lit(_EDGES))))
-    starts = F.array(*[F.when(F.length("w") > k, F.substring("w", 1, k)) for k in STARTS], F.concat("w", F.lit(" ")))
-    each = texts.select("bad", F.monotonically_increasing_id().alias("row"), F.explode(words).alias("w")).where("w <> ''")
-    terms = each.select("bad", "row", F.explode(starts).alias("t")).where("t IS NOT NULL").distinct()
-    counted = terms.groupBy("t").agg(F.sum("bad").alias("b"), F.count("*").alias("n"))
-    pure = counted.where((F.col("b") >= least) & (F.col("b") >= purity * F.col("n")))
-    outer = pure.select(F.col("t").alias("o"))
+
+    def terms(w: Column) -> Column:
+        return F.array(*[F.when(F.length(w) > k, F.substring(w, 1, k)) for k in STARTS], F.when(w != "", F.concat(w, F.lit(" "))))
+
+    each = texts.select("bad", "half", F.explode(F.array_distinct(F.flatten(F.transform(words, terms)))).alias("t")).where("t IS NOT NULL")
+    by_half = [f(F.when(F.col("half") == h, F.col("bad"))).alias(f"{c}{h}") for h in (0, 1) for c, f in (("b", F.sum), ("n", F.count))]
+    counted = each.groupBy("t").agg(*by_half).fillna(0)
+    return stage(counted.where(F.col("b0") + F.col("b1") >= least))
+
+
+def marked_words(counts: DataFrame, bad: list[int], halves: tuple[int, ...] = (0, 1), least: int = 5, purity: float = 0.93, most: int = MAX_WORDS) -> dict[str, float]:
+    """Words and beginnings of words that ``least`` or more bad rows of these halves hold, and hardly any good row.
+
+    ``counts`` are those of ``term_counts``, ``bad`` the numbers of bad rows by half. With each term goes the share of
+    bad rows that hold it. A beginning stands for the longer terms that start with it.
+    """
+    b, n = (sum((F.col(f"{c}{h}") for h in halves), F.lit(0)) for c in "bn")
+    pure = counts.select("t", b.alias("b"), n.alias("n")).where((F.col("b") >= least) & (F.col("b") >= purity * F.col("n")))
     part = F.explode(F.array(*[F.when(F.length("t") > k, F.substring("t", 1, k)) for k in STARTS]))
-    inner = pure.select("t", part.alias("o")).join(outer, "o", "left_semi").select("t").distinct()
+    inner = pure.select("t", part.alias("o")).join(pure.select(F.col("t").alias("o")), "o", "left_semi").select("t").distinct()
     found = pure.join(inner, "t", "left_anti").orderBy(F.desc("b"), "t").limit(most).collect()
-    rows = texts.agg(F.sum("bad")).first()[0] if found else 0
+    rows = sum(bad[h] for h in halves)
     return {r["t"]: r["b"] / rows for r in found}
 
 
@@ -245,14 +257,16 @@ def describe(rules: list[tuple[Condition, ...]]) -> list[str]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[dict[str, float], list[tuple[Condition, ...]]]:
     """Marked words and rules from a bounded sample of labelled rows."""
     sample = labelled_sample(labels, rows)
-    # At most ``rows`` ids and flags, so broadcasting is bounded.
-    # Written once, so that what follows reads the sample and not the documents.
-    texts = stage(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
-    marked = marked_words(texts)
+    # At most ``rows`` ids and flags are broadcast. Their texts are
+    # written once, so that what follows reads the sample and not the documents.
+    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("half")
+    texts = stage(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("*", half))
+    terms, bad = term_counts(texts), [0, 0]
+    for r in texts.groupBy("half").agg(F.sum("bad").alias("bad")).collect():
+        bad[r["half"]] = r["bad"]
+    marked = marked_words(terms, bad)
     # Each half is counted with the words of the other, so that rules trust marked words as far as new texts bear them out.
-    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))
-    halves = [texts.where(half == i) for i in (0, 1)]
-    counted = [statistics(halves[i], marked_words(halves[1 - i])) for i in (0, 1)]
+    counted = [statistics(texts.where(F.col("half") == h), marked_words(terms, bad, (1 - h,))) for h in (0, 1)]
     figures = counted[0].unionByName(counted[1]).join(F.broadcast(texts.select("doc_id", "bad").distinct()), "doc_id").select("bad", "f.*").toPandas()
     if not len(figures):
         return marked, []
