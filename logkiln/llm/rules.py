@@ -155,7 +155,7 @@ def marked_words(counts: DataFrame, bad: list[int], halves: tuple[int, ...] = (0
     """
     b, n = (sum((F.col(f"{c}{h}") for h in halves), F.lit(0)) for c in "bn")
     pure = counts.select("t", b.alias("b"), n.alias("n")).where((F.col("b") >= least) & (F.col("b") >= purity * F.col("n")))
-    part = F.explode(F.array(*[F.when(F.length("t") > k, F.substring("t", 1, k)) for k in STARTS]))
+    part = F.explode(F.array(*[F.when(F.length(F.rtrim("t")) > k, F.substring("t", 1, k)) for k in STARTS]))
     inner = pure.select("t", part.alias("o")).join(pure.select(F.col("t").alias("o")), "o", "left_semi").select("t").distinct()
     found = pure.join(inner, "t", "left_anti").orderBy(F.desc("b"), "t").limit(most).collect()
     rows = sum(bad[h] for h in halves)

@@ -411,3 +411,21 @@ def test_rules(spark, docs, rows, none):
     judged = rules.judge(docs, marked, list_)
     assert judged.count() == docs.count() and judged.where("kept and base_failed").count() == 0
     assert rules.fit(docs, labels.where("false"))[1] == [] and rules.judge(none, marked, list_).count() == 0
+
+
+def test_marked_words(spark):
+    texts = [("Vile vilest day", 1, 0), ("vile, vile day", 1, 1), ("a vilely day", 1, 0), ("day of rest", 0, 1), ("", 0, 0), (None, 1, 1), ("vile day", 1, 1), ("VILE!", 1, 0)]
+    want: dict[str, list[int]] = {}
+    for text, bad, half in texts:
+        words = {w.lower().strip(rules._EDGES) for w in (text or "").split()}
+        for t in {w[:k] for w in words for k in rules.STARTS if len(w) > k} | {w + " " for w in words}:
+            row = want.setdefault(t, [0, 0, 0, 0])
+            row[2 * half] += bad
+            row[2 * half + 1] += 1
+    counts = rules.term_counts(spark.createDataFrame(texts, "text string, bad int, half int"), 1)
+    got = {r.t: [r.b0, r.n0, r.b1, r.n1] for r in counts.collect()}
+    assert got == {t: c for t, c in want.items() if c[0] + c[2] >= 1}
+    marked = rules.marked_words(counts, [3, 3], least=2)
+    # The beginning "vile" stands for "viles" and "vilel"; not for "vile" itself; "day" is in a good row.
+    assert marked == {"vile": 2 / 6, "vile ": 4 / 6}
+    assert rules._mark("vilest", marked) == marked["vile"] and rules._mark("day", marked) == 0
