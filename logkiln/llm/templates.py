@@ -1,7 +1,7 @@
 """Line deduplication by a log-template tree, in DataFrame operations only.
 
-Equal lines, words with digits counting as ``<*>``, are one kind. A kind of ``MIN_WORDS`` words or more is dropped from the third
-document on; shorter ones stay.
+Equal lines, words with digits counting as ``<*>``, are one kind. A kind of ``MIN_WORDS`` words or more is dropped from the second
+document on; a shorter one with a letter in it, once it stands in ``SHORT_DOCS`` documents.
 
 Kinds that differ go down a tree: first by their number of words, then by their leading ``DEPTH`` words. A leaf is
 refined top-down, a round for all leaves at a time. At a place of a group the word that at least half of its documents
@@ -14,7 +14,7 @@ Leaves that too few documents reach are left out before any word is looked at, a
 their number of documents, so a line with a million copies costs a row per task. All joins are by
 hash of group, template or document and may be split by Spark.
 
-Defined results: null texts stay null; an empty text stays empty; lines of fewer than ``MIN_WORDS`` words stay; rows that
+Defined results: null texts stay null; an empty text stays empty; lines without letters of fewer than ``MIN_WORDS`` words stay; rows that
 are equal in id and text get the same result, and count as one document; a null id comes last; an empty table
 gives an empty one; all other columns are kept as they are.
 """
@@ -29,7 +29,7 @@ from logkiln.staging import stage
 
 MIN_DOCS, MIN_WORDS, DEPTH, ALIKE = 3, 3, 3, 0.7
 #: Documents from which on equal lines go: of MIN_WORDS words and more, and shorter ones.
-EQUAL_DOCS, SHORT_DOCS = 3, 10
+EQUAL_DOCS, SHORT_DOCS = 2, 10
 #: A split gives a group of its own to words with at least this share of the most frequent one's documents.
 NEXT_TO = 0.25
 _ANY = "<*>"
@@ -59,7 +59,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     counted = settle(cut.where(F.col("line") != "").withColumn("words", words), "words")
     short = F.col("words") < MIN_WORDS
-    counted = counted.where(~short)
+    counted = counted.where(~short | F.col("line").rlike(r"\p{L}"))
     leaf = F.xxhash64("words", F.substring_index("line", " ", DEPTH))
     return counted.select("key", "doc", "place", leaf.alias("leaf"), F.xxhash64("line").alias("line_hash"), short.alias("short"))
 

@@ -36,3 +36,11 @@ def test_two_templates_of_one_leaf(spark):
     lone = [(100 + i, "we are sorry " + " ".join(f"u{x}" for x in "abcdefghij"[i:] + "klmnopqrst"[:i])) for i in range(2)]
     got = left(spark, rows + lone)
     assert sorted(i for i, t in got.items() if t) == [0, 1, 2, 100, 101]
+
+
+def test_equal_and_short_lines(spark):
+    passage = " ".join(f"word{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'xyz'[i // 26]}" for i in range(60))
+    rows = [(i, f"Read more\n7\n{'Share this' if i < 9 else 'Rare one'}\n" + (passage if i in (3, 8) else "")) for i in range(12)]
+    got = left(spark, rows)
+    assert [i for i, t in got.items() if passage in t] == [3] and [i for i, t in got.items() if "Read more" in t] == [0]
+    assert all("7" in t for t in got.values()) and sum("Share this" in t for t in got.values()) == 9
