@@ -31,6 +31,8 @@ MIN_COUNT = 2
 COMPLETE, EXPIRED, IGNORED = "complete", "expired", "ignored"
 #: Blocks per level when the maps of a hot id are composed.
 FAN_IN = 64
+#: Ids with more arrivals are cut into blocks.
+HOT_ROWS = 5_000_000
 
 _ORDER = ("t", "seqno", "count", "src_ip", "src_port", "h")
 _PIECES = (
@@ -176,8 +178,9 @@ def _hot_rows(arrivals: DataFrame, lifetime_us: int, block_us: int) -> DataFrame
     ends = arrivals.groupBy("k", "t", "seqno", "count").agg(
         F.min(tie).alias("a"), F.max(tie).alias("z"), F.count("*").alias("m")
     )
-    first = F.struct("a.*", F.greatest(F.col("m") - 1, F.lit(1)).alias("copies"))
-    last = F.struct("z.*", F.lit(1).cast("bigint").alias("copies"))
+    # All but the first fare alike, so the last stands for them.
+    first = F.struct("a.*", F.lit(1).cast("bigint").alias("copies"))
+    last = F.struct("z.*", (F.col("m") - 1).alias("copies"))
     rows = ends.select(
         "k", "t", "seqno", "count", F.explode(F.when(F.col("m") == 1, F.array(first)).otherwise(F.array(first, last))).alias("end")
     ).select("k", "t", "seqno", "count", "end.*")
@@ -210,6 +213,32 @@ def _hot_rows(arrivals: DataFrame, lifetime_us: int, block_us: int) -> DataFrame
     )
 
 
+def _hot_ids(arrivals: DataFrame, hot_rows: int) -> DataFrame:
+    # At most (all arrivals / hot_rows) ids are hot, so this side is small whatever the input.
+    return F.broadcast(arrivals.groupBy("k").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > hot_rows).select("k"))
+
+
+def _each_sender(ignored: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """Ignored rows that stand for several arrivals of a hot id, with the senders of those."""
+    instant = ["k", "t", "seqno", "count"]
+    tie = F.struct("src_ip", "src_port", "h")
+    senders = arrivals.groupBy(*instant, "src_ip", "src_port", "h").agg(F.count("*").alias("m"))
+    # The first arrival has a row of its own.
+    first = senders.groupBy(*instant).agg(F.min(tie).alias("first"))
+    others = senders.join(first, instant).withColumn("m", F.col("m") - F.col("first").eqNullSafe(tie).cast("bigint")).where("m > 0")
+    others = others.select(
+        F.col("k").alias("o_k"), F.col("t").alias("o_t"), F.col("seqno").alias("o_slot"), F.col("count").alias("o_count"),
+        F.col("src_ip").alias("o_ip"), F.col("src_port").alias("o_port"), F.col("m").alias("o_copies"),
+    )
+    several = (F.col("copies") > 1) & (F.col("k") == F.col("o_k")) & (F.col("t") == F.col("o_t")) & (F.col("slot") == F.col("o_slot")) & (F.col("count") == F.col("o_count"))
+    joined, folded = ignored.join(others, several, "left"), F.col("o_k").isNotNull()
+    return joined.withColumns({
+        "src_ip": F.when(folded, F.col("o_ip")).otherwise(F.col("src_ip")),
+        "src_port": F.when(folded, F.col("o_port")).otherwise(F.col("src_port")),
+        "copies": F.when(folded, F.col("o_copies")).otherwise(F.col("copies")),
+    })
+
+
 def chunk_key(key: tuple[str, ...]) -> Column:
     return F.concat_ws("|", *[F.hex(c) if c == "chunk_id" else F.col(c).cast("string") for c in key])
 
@@ -226,19 +255,18 @@ def assign_chunks(
     key: tuple[str, ...] = ("chunk_id",),
     lifetime_seconds: float = LIFETIME_SECONDS,
     block_seconds: float = 60,
-    hot_rows: int = 5_000_000,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Decide which arrival fills which slot of which group.
 
     One row per filled slot of a complete group, per expired group and per ignored arrival. Ids with more than
-    ``hot_rows`` arrivals are handled in blocks of ``block_seconds``.
+    ``hot_rows`` arrivals are handled in blocks of ``block_seconds``; there a row may stand for ``copies`` arrivals of one instant.
     """
     lifetime_us, block_us = int(lifetime_seconds * 1e6), int(block_seconds * 1e6)
     if block_us <= lifetime_us:
         raise ValueError("a block must be longer than the lifetime of a group")
     arrivals = _arrivals(chunks, key)
-    # At most (all arrivals / hot_rows) ids are hot, so this side is small whatever the input.
-    hot = F.broadcast(arrivals.groupBy("k").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > hot_rows).select("k"))
+    hot = _hot_ids(arrivals, hot_rows)
     ordinary = arrivals.join(hot, "k", "left_anti").select(
         "k", F.lit(0).cast("bigint").alias("scope"), F.lit(0).cast("bigint").alias("entry"), F.lit(True).alias("own"), *_ORDER,
         F.lit(1).cast("bigint").alias("copies"),
@@ -283,8 +311,10 @@ def reassemble_chunks(chunks: DataFrame, key: tuple[str, ...] = ("chunk_id",), *
     none = F.lit(None).cast("binary").alias("payload")
     expired = pieces.where(F.col("status") == EXPIRED).select("status", *group, none)
     arrival = {"closed": "t", "closed_ip": "src_ip", "closed_port": "src_port"}
+    arrivals = _arrivals(chunks, key)
+    hot = _hot_ids(arrivals, options.get("hot_rows", HOT_ROWS))
     ignored = (
-        pieces.where(F.col("status") == IGNORED)
+        _each_sender(pieces.where(F.col("status") == IGNORED), arrivals.join(hot, "k", "left_semi"))
         .withColumn("_", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
         .select("status", *[F.col(arrival.get(c, c)).alias(c) for c in group], none)
     )

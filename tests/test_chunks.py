@@ -131,6 +131,19 @@ def test_like_one_datagram_at_a_time(spark, rows, options):
     assert sorted(groups(spark, rows, **options), key=str) == simulate(rows)
 
 
+def test_ignored_copies_of_a_hot_id_keep_number_and_sender(spark):
+    rows = [chunk(1, 0, 4, b"a", 0), chunk(1, 1, 4, b"b", 0.1), chunk(1, 2, 4, b"c", 0.2)]
+    # The first of these completes the group; the others open one of two slots and lie past it.
+    rows += [chunk(1, 3, 2, b"d", 0.3, f"10.0.0.{i}", i) for i in (1, 2, 3, 4, 4, 5)]
+    # All of these are ignored.
+    rows += [chunk(2, 0, 2, b"a", 0)] + [chunk(2, 7, 2, b"x", 0.1, f"10.0.1.{i}") for i in (1, 1, 2, 3, 3)]
+    # An id whose copies differ in nothing.
+    rows += [chunk(3, 9, 2, b"x", 0) for _ in range(4)]
+    plain = sorted(groups(spark, rows), key=str)
+    assert plain == simulate(rows) and sum(r[2] == "ignored" for r in plain) == 14
+    assert sorted(groups(spark, rows, hot_rows=0, block_seconds=6), key=str) == plain
+
+
 def test_expired_view(spark):
     chunks = classify_packets(spark.createDataFrame([chunk(3, 0, 3, b"a", 0)], C.DATAGRAM))
     row = expired_chunks(reassemble_chunks(chunks)).first()
