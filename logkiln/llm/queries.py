@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from logkiln.llm import decontaminate, language, lm, packing, pii, repeats, rules, simhash, templates, warc
+from logkiln.llm import alignment, decontaminate, language, lm, packing, periodic, pii, repeats, rules, simhash, sketches, templates, warc
 from logkiln.llm.common import crc_mod, documents
 from logkiln.staging import shared_folder
 
@@ -74,6 +74,27 @@ def op10_quality_rules(spark, d):
     return rules.judge(docs, marked, found)
 
 
+def op11_token_alignment(spark, d):
+    import public_tokenizers
+
+    return alignment.link_statistics(documents(spark, d), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_fast_sketches(spark, d):
+    return sketches.near_duplicates(documents(spark, d))
+
+
+def op13_periodic_runs(spark, d):
+    done = periodic.collapse_runs(periodic.with_periodic_tails(documents(spark, d)))
+    best = periodic.most_periodic(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return done.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op3_line_templates": op3_line_templates,
     "op4_repeats": op4_repeats,
@@ -85,6 +106,9 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op1_lm_scores": op1_lm_scores,
     "op2_arc_to_warc": op2_arc_to_warc,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_fast_sketches": op12_fast_sketches,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL = {
