@@ -17,6 +17,8 @@ empty table gives an empty one. Only ``doc_id`` and ``text`` are read, so other
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -30,6 +32,10 @@ from logkiln.staging import stage
 
 #: Most pairs that are broadcast with their counts.
 HEAVY = 1 << 16
+#: Letters that are aligned at once, unless one text has more, and tokens of different words that a task holds.
+BATCH_LETTERS, POOL = 1 << 20, 1 << 20
+#: Between two words: a space behind a character that is none, unless the text ends with it.
+BETWEEN = re.compile(r"(?<=\S) (?=[\s\S])")
 #: The pattern by which byte-level BPE cuts texts before its merges; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -53,17 +59,19 @@ class ByteLevel:
         for token, i in vocabulary.items():
             if i not in special:
                 self.bytes[i] = bytes(letters[c] for c in token)
-        self.encode = self._by_ranks(file, special) or self._by_file(path)
+        ranked = self._by_ranks(file, special)
+        self.usual, self.encode = ranked is not None, ranked or self._by_file(path)
 
     def _by_ranks(self, file: dict, special: set[int]) -> Callable[[str], list[int]] | None:
         """Several times faster, and the same where ids are the order of merges and texts are cut in the usual way."""
         import tiktoken
 
         before, model = file.get("pre_tokenizer") or {}, file["model"]
+        vocabulary_ids = model["vocab"].values()
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         plain = plain and not file.get("normalizer") and not model.get("ignore_merges") and not model.get("dropout")
-        plain = plain and all(len(self.bytes[i]) == 1 for i in range(256)) and len(model["vocab"]) - len(special) == 256 + len(merges)
+        plain = plain and all(len(self.bytes[i]) == 1 for i in range(256)) and len(set(vocabulary_ids) - special) == 256 + len(merges)
         if not plain or any(model["vocab"].get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
             return None
         ranks = {b: i for i, b in enumerate(self.bytes) if i not in special}
@@ -117,6 +125,39 @@ def meet(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return (mine, theirs, overlaps) if short is a else (theirs, mine, overlaps)
 
 
+class Words(dict):
+    """The tokens of the words of a text, by both tokenizers, each different word encoded once.
+
+    A word is a space and what follows up to the next space behind a character that is none, or the end. No token of either side reaches over such a
+    place: the pattern of A starts a new token there, and ``Aligner`` looks that no piece of B has a space after another character.
+    """
+
+    def __init__(self, a: ByteLevel, b: Pieces):
+        self.tokenizers, self.ids, self.ends, self.whole = (a, b), (array("i"), array("i")), (array("q", [0]), array("q", [0])), array("b")
+
+    def __missing__(self, word: str) -> int:
+        found = [self.tokenizers[0].encode(" " + word), self.tokenizers[1].encode(word)]
+        data = b" " + word.encode()
+        self.whole.append(all(b"".join(map(t.bytes.__getitem__, f)) == data for t, f in zip(self.tokenizers, found)))
+        for ids, ends, f in zip(self.ids, self.ends, found):
+            ids.extend(f)
+            ends.append(len(ids))
+        self[word] = len(self.whole) - 1
+        return self[word]
+
+    def tokens(self, side: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words numbered ``words``, one after another, and how many each has."""
+        ids, ends = np.array(self.ids[side], np.int64), np.array(self.ends[side], np.int64)
+        sizes = ends[words + 1] - ends[words]
+        before = np.cumsum(sizes) - sizes
+        return ids[np.repeat(ends[words] - before, sizes) + np.arange(int(sizes.sum()))], sizes
+
+
+def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sums of ``values`` up to each of ``ends``, with that up to none before them."""
+    return np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], ends])]
+
+
 class Aligner:
     """Both tokenizers in one task."""
 
@@ -124,33 +165,52 @@ class Aligner:
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
         self.lengths = [np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b)]
         self.base = len(self.b.bytes)
-        # Each id as text before a comma, and before the sign that ends its side of a group.
+        # Each id as text and a comma, or the sign that ends its side of a group; six bytes are enough for five digits.
         sides = ((len(self.a.bytes), "|"), (self.base, ";"))
-        self.texts = np.array([f"{i}{sign}" for n, end in sides for i in range(n) for sign in (",", end)], object)
-
-    def tokens(self, text: str) -> tuple[list[int], list[int]] | None:
-        data = b" " + text.encode()
-        a, b = self.a.encode(" " + text), self.b.encode(text)
-        same = b"".join(map(self.a.bytes.__getitem__, a)) == data and b"".join(map(self.b.bytes.__getitem__, b)) == data
-        return (a, b) if same else None
-
-    def align(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray] | None:
-        """Numbers of A tokens, B tokens, groups and overlaps, the groups as text, linked pairs and how often each is linked."""
-        found = self.tokens(text) if text else None
-        if found is None:
-            return None
-        a, b = (np.array(x, np.int64) for x in found)
-        at_a, at_b, overlaps = meet(np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b]))
-        pairs, times = np.unique(a[at_a] * self.base + b[at_b], return_counts=True)
-        # In the text, a group's A tokens follow all B tokens of the groups before it, its B tokens all A tokens so far.
+        texts = [f"{i}{sign}".encode() for n, end in sides for i in range(n) for sign in (",", end)]
+        self.text_sizes = np.array([len(x) for x in texts])
+        self.texts = np.array(texts).view(np.uint8).reshape(len(texts), -1)
+        self.apart = self.a.usual and not any(re.search(rb"[^ ] ", x) for x in self.b.bytes)
+        self.words = Words(self.a, self.b)
+
+    def align(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """For each text numbers of A tokens, B tokens, groups and overlaps, and the groups as text; then pairs, times, and their ends by text."""
+        if len(self.words.ids[0]) > POOL:
+            self.words = Words(self.a, self.b)
+        numbered = [list(map(self.words.__getitem__, BETWEEN.split(t) if self.apart else [t])) if t else [] for t in texts]
+        whole = self.words.whole
+        numbered = [n if all(map(whole.__getitem__, n)) else [] for n in numbered]
+        words, last = np.array([w for n in numbered for w in n], np.int64), np.cumsum([len(n) for n in numbered])
+        (a, in_a), (b, in_b) = (self.words.tokens(k, words) for k in (0, 1))
+        start_a, start_b = _sums(in_a, last), _sums(in_b, last)
+        end_a, end_b = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
+        at_a, at_b, overlaps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
+        for k in np.flatnonzero(np.diff(start_a)):
+            x, y, overlaps[k] = meet(end_a[start_a[k] : start_a[k + 1]], end_b[start_b[k] : start_b[k + 1]])
+            at_a.append(x + start_a[k]), at_b.append(y + start_b[k])
+        groups = np.zeros(len(texts), np.int64)
+        groups[np.diff(start_a) > 0] = [len(x) for x in at_a[1:]]
+        at_a, at_b = np.concatenate(at_a), np.concatenate(at_b)
+        text = np.repeat(np.arange(len(texts)), groups)
+        span = len(self.a.bytes) * self.base
+        found, times = np.unique(text * span + a[at_a] * self.base + b[at_b], return_counts=True)
+        ends = np.searchsorted(found, np.arange(len(texts) + 1) * span)
+        written = self._written(a, b, at_a, at_b, start_a + start_b)
+        return [np.diff(start_a), np.diff(start_b), groups, overlaps], written, found % span, times, ends
+
+    def _written(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """The groups of each text: a group's A tokens follow all B tokens of the groups before it, its B tokens all A tokens so far."""
         group_a, group_b = np.repeat(np.arange(len(at_a)), np.diff(at_a, prepend=-1)), np.repeat(np.arange(len(at_b)), np.diff(at_b, prepend=-1))
-        before = np.concatenate([[0], at_b[:-1] + 1])
+        before = np.concatenate([[0], at_b + 1])
+        signs_a, signs_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        signs_a[at_a], signs_b[at_b] = 1, 1
         codes = np.empty(len(a) + len(b), np.int64)
-        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        last_a[at_a], last_b[at_b] = 1, 1
-        codes[np.arange(len(a)) + before[group_a]] = 2 * a + last_a
-        codes[np.arange(len(b)) + at_a[group_b] + 1] = 2 * (len(self.a.bytes) + b) + last_b
-        return len(a), len(b), len(at_a), overlaps, "".join(self.texts[codes])[:-1], pairs, times
+        codes[np.arange(len(a)) + before[group_a]] = 2 * a + signs_a
+        codes[np.arange(len(b)) + at_a[group_b] + 1] = 2 * (len(self.a.bytes) + b) + signs_b
+        sizes = self.text_sizes[codes]
+        flat = self.texts[codes][np.arange(self.texts.shape[1]) < sizes[:, None]].tobytes()
+        ends = _sums(sizes, starts[1:]).tolist()
+        return [flat[s : max(s, e - 1)] for s, e in zip(ends, ends[1:])]
 
 
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -159,16 +219,18 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, none = Aligner(a_path, b_path), np.zeros(0, np.int64)
-        for b in batches:
-            rows = [aligner.align(x.as_py()) or (0, 0, 0, 0, "", none, none) for x in b.column(1)]
-            numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
-            ends = pa.array(np.cumsum([0, *(len(r[5]) for r in rows)], dtype=np.int32))
-            pairs, times = (pa.array(np.concatenate([none, *(r[k] for r in rows)])) for k in (5, 6))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *numbers, pa.array([r[4] for r in rows], pa.string()), pa.ListArray.from_arrays(ends, pairs), pa.ListArray.from_arrays(ends, times.cast(pa.int32()))],
-                ["doc_id", "n_a", "n_b", "n_groups", "n_overlaps", "groups", "pairs", "times"],
-            )
+        aligner = Aligner(a_path, b_path)
+        for rows in batches:
+            # Long texts are worked a few at a time, as their tokens take more room than they do.
+            size, at = np.cumsum([0, *(len(x.as_py() or "") for x in rows.column(1))]), 0
+            while at < rows.num_rows:
+                n = max(1, int(np.searchsorted(size, size[at] + BATCH_LETTERS, "right")) - 1 - at)
+                b, at = rows.slice(at, n), at + n
+                numbers, groups, pairs, times, ends = aligner.align(b.column(1).to_pylist())
+                ends = pa.array(ends.astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (pairs, times.astype(np.int32))]
+                columns = [b.column(0), *map(pa.array, numbers), pa.array(groups, pa.binary()).cast(pa.string()), *lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "n_overlaps", "groups", "pairs", "times"])
 
     schema = f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_overlaps bigint, groups string, pairs array<bigint>, times array<int>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -112,13 +112,39 @@ def test_alignment_of_special_strings_and_empty_table(spark, docs):
 
 
 @with_tokenizers
-def test_fast_form_of_byte_level_encoding_equals_the_file(rows):
+def test_words_have_the_tokens_of_the_whole_text(rows):
+    from sentencepiece import SentencePieceProcessor
     from tokenizers import Tokenizer
 
-    own, file = alignment.ByteLevel(A_PATH), Tokenizer.from_file(A_PATH)
+    rng = random.Random(3)
+    signs = ["a", "B", "1", "'s", "'", ".", "é", " ", " ", " ", "\n", "\r", "\t", "\x1c", "\x85", "\u00a0", "\u2003", "\u3000", "🙂", "\u0301", ");", "</s>", "<|endoftext|>"]
+    texts = [t for _, t in rows if t] + ["".join(rng.choice(signs) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    aligner, file, pieces = alignment.Aligner(A_PATH, B_PATH), Tokenizer.from_file(A_PATH), SentencePieceProcessor(model_file=B_PATH)
     file.encode_special_tokens = True
-    for _, t in rows:
-        assert own.encode(" " + (t or "")) == file.encode(" " + (t or ""), add_special_tokens=False).ids
+    assert aligner.apart
+    for t in texts:
+        numbers = np.array([aligner.words[w] for w in alignment.BETWEEN.split(t)])
+        assert aligner.words.tokens(0, numbers)[0].tolist() == file.encode(" " + t, add_special_tokens=False).ids
+        assert aligner.words.tokens(1, numbers)[0].tolist() == pieces.encode(t)
+
+
+@with_tokenizers
+def test_batches_and_other_tokenizers(rows, monkeypatch):
+    texts = [t for _, t in rows if len(t or "") < 3000]
+    aligner = alignment.Aligner(A_PATH, B_PATH)
+
+    def each(groups):
+        out = []
+        for g in groups:
+            numbers, written, pairs, times, ends = aligner.align(g)
+            out += [(*(int(n[k]) for n in numbers), written[k], pairs[ends[k] : ends[k + 1]].tolist(), times[ends[k] : ends[k + 1]].tolist()) for k in range(len(g))]
+        return out
+
+    expected = each([texts])
+    monkeypatch.setattr(alignment, "POOL", 50)
+    assert each([[t] for t in texts]) == expected
+    aligner.apart = False  # whole texts, as for tokenizers whose tokens may reach over spaces
+    assert each([texts[:50], texts[50:]]) == expected
 
 
 def test_gallop_finds_ranks():
