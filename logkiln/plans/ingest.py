@@ -16,6 +16,7 @@ from logkiln.operators.normalize import invalid_reason, normalize_gelf, normaliz
 from logkiln.operators.packets import CHUNK, classify_packets, inflate
 from logkiln.operators.search import event_date
 from logkiln.operators.syslog import parse_syslog_table
+from logkiln.sources.ingest_table import commit_run
 from logkiln.sources.log_table import write_ingested
 from logkiln.sources.ndjson import json_line
 from logkiln.staging import stage
@@ -175,3 +176,8 @@ def ingest(datagrams: DataFrame, path: str, hosts: DataFrame | None = None, run:
     Every call adds to the path; one with the name of an earlier ``run`` replaces what that wrote.
     """
     write_ingested(decode_datagrams(datagrams, hosts, **options), path, run or uuid.uuid4().hex)
+
+
+def ingest_into_table(datagrams: DataFrame, table: str, hosts: DataFrame | None = None, run: str | None = None, **options) -> bool:
+    """The same into a catalog table made by ``ensure_ingest_table``; a run that is there already is left out, with False."""
+    return commit_run(decode_datagrams(datagrams, hosts, **options), table, run or uuid.uuid4().hex)

@@ -13,7 +13,7 @@ from logkiln.operators.search import event_date
 LOG, QUARANTINE = "log", "quarantine"
 
 
-def _laid_out(df: DataFrame, *days: str) -> DataFrame:
+def laid_out(df: DataFrame, *days: str) -> DataFrame:
     """Few files per day, large days split over tasks, each file in time order.
 
     A rebalance lets the optimiser merge small days and split large ones; sorted files give
@@ -25,7 +25,7 @@ def _laid_out(df: DataFrame, *days: str) -> DataFrame:
 def write_logs(df: DataFrame, path: str) -> None:
     """Append records to a table partitioned by their UTC day."""
     dated = df.select(*C.FIELD_NAMES, event_date().alias(C.DATE_FIELD))
-    _laid_out(dated, C.DATE_FIELD).write.mode("append").partitionBy(C.DATE_FIELD).parquet(path)
+    laid_out(dated, C.DATE_FIELD).write.mode("append").partitionBy(C.DATE_FIELD).parquet(path)
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -46,7 +46,7 @@ def write_ingested(df: DataFrame, path: str, run: str) -> None:
         F.lit(run).alias("run"),
     )
     (
-        _laid_out(marked, "outcome", C.DATE_FIELD)
+        laid_out(marked, "outcome", C.DATE_FIELD)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("outcome", C.DATE_FIELD, "run")
@@ -85,7 +85,7 @@ def ensure_log_table(spark: SparkSession, name: str, location: str | None = None
 
 def append_to_table(df: DataFrame, name: str) -> None:
     dated = df.select(*C.FIELD_NAMES, event_date().alias(C.DATE_FIELD))
-    _laid_out(dated, C.DATE_FIELD).write.insertInto(name)
+    laid_out(dated, C.DATE_FIELD).write.insertInto(name)
 
 
 def first_kept_day(now: datetime, days: int = C.RETENTION_DAYS) -> date:
@@ -99,9 +99,15 @@ def apply_retention(df: DataFrame, now: datetime, days: int = C.RETENTION_DAYS)
     return df.where(day >= F.lit(first_kept_day(now, days)))
 
 
-def drop_expired_partitions(spark: SparkSession, name: str, now: datetime, days: int = C.RETENTION_DAYS) -> list[str]:
-    """Drop the day partitions before the first kept day; gives the days dropped."""
-    first = first_kept_day(now, days)
+def table_retention(spark: SparkSession, name: str) -> int:
+    """How many days a table itself says that records are kept."""
+    found = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+    return int(found.get("log.retention.days", C.RETENTION_DAYS))
+
+
+def drop_expired_partitions(spark: SparkSession, name: str, now: datetime, days: int | None = None) -> list[str]:
+    """Drop the day partitions before the first kept day, by default that of the table's own property; gives the days dropped."""
+    first = first_kept_day(now, table_retention(spark, name) if days is None else days)
     listed = [r[0] for r in spark.sql(f"SHOW PARTITIONS {name}").collect()]
     found = sorted({p.split("=", 1)[1] for p in listed if p.startswith(f"{C.DATE_FIELD}=")})
     expired = [d for d in found if d != "__HIVE_DEFAULT_PARTITION__" and date.fromisoformat(d) < first]

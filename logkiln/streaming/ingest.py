@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from logkiln.operators.packets import classify_packets
 from logkiln.plans.ingest import _packets, _stats, chunk_rows, decode_packets, group_packets, whole_packets
 from logkiln.sources.datagrams import stream_datagrams
+from logkiln.sources.ingest_table import commit_run, forget_runs
 from logkiln.sources.log_table import write_ingested
 from logkiln.streaming.chunks import reassemble_chunks_stream, with_clock
 
@@ -33,20 +34,22 @@ def stream_packets(datagrams: DataFrame, delay: str = "1 second", **options) ->
 def start_ingest(
     spark: SparkSession,
     src: str,
-    dst: str,
+    dst: str | None,
     checkpoint: str,
     hosts: DataFrame | None = None,
     zone: str = "UTC",
     interval: str | None = "10 seconds",
     max_files: int = 100,
     on_stats: Callable[[int, dict], None] | None = None,
+    table: str | None = None,
     **options,
 ) -> StreamingQuery:
     """Start the stream; ``interval`` None takes in what is there and stops.
 
     Every micro-batch is decoded once and written once, records and refused rows together; a
     bad row never stops the stream, and a batch that is replayed replaces what it wrote.
-    ``on_stats`` gets the size figures of each batch, observed while it is written.
+    ``on_stats`` gets the size figures of each batch, observed while it is written. Rows go to the folder ``dst``,
+    or to the catalog table ``table``, made by ``ensure_ingest_table``.
     """
     # The id of the query is kept in its checkpoint: streams with other checkpoints write beside this one.
     query_id: list[str] = []
@@ -61,7 +64,13 @@ def start_ingest(
             if on_stats is not None:
                 decoded = decoded.observe(seen, *_stats())
             started.wait()
-            write_ingested(decoded, dst, f"{query_id[0]}-{batch_id}")
+            run = f"{query_id[0]}-{batch_id}"
+            if table is None:
+                write_ingested(decoded, dst, run)
+            else:
+                commit_run(decoded, table, run)
+                # Only the last batch of a stream is ever repeated.
+                forget_runs(spark, table, [f"{query_id[0]}-{batch_id - 1}"])
         finally:
             batch.unpersist()
         if on_stats is not None:
