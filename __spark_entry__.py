@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -27,9 +28,12 @@ from logkiln.operators.gelf import decode_gelf_json, gelf_messages
 from logkiln.operators.normalize import normalize_gelf, normalize_syslog, valid_logs
 from logkiln.operators.packets import classify_packets, inflate
 from logkiln.operators.syslog import parse_syslog_table
-from logkiln.plans.ingest import batch_stats, chunk_rows, decode_datagrams, decode_gelf, decode_packets, quarantine, whole_packets
+from logkiln.plans.ingest import batch_stats, chunk_rows, decode_datagrams, decode_gelf, decode_packets, ingest_into_table, quarantine, whole_packets
+from logkiln.sources import ingest_table as T
 from logkiln.sources.log_table import apply_retention
 from logkiln.sources.ndjson import from_ndjson, to_ndjson
+from logkiln.staging import shared_folder, stage
+from logkiln.streaming.ingest import start_ingest
 
 # The corpus operators and their pipeline may be left out of an installation.
 try:
@@ -118,6 +122,18 @@ def gelf_chunks(spark, d):
     )
 
 
+def gelf_chunks_nested(spark, d):
+    rows = decode_datagrams(X.gelf_chunks_nested(spark, d))
+    return rows.select(
+        F.col("pid").alias("doc_id"), "src_ip", _us("recv_ts"), "hostname", _us(), F.md5("full_message").alias("text_md5"), "reason"
+    )
+
+
+def quarantine_rows(spark, d):
+    refused = quarantine(decode_datagrams(X.gelf_chunks_refused(spark, d)))
+    return refused.select("src_ip", _us("recv_ts"), "stage", "reason", F.md5(F.hex("payload").cast("binary")).alias("payload_md5"))
+
+
 def gelf_chunks_expired(spark, d):
     groups = reassemble_chunks(chunk_rows(classify_packets(X.gelf_chunks_late(spark, d))))
     return groups.select(
@@ -177,6 +193,18 @@ def ingest_by_host(spark, d):
     )
 
 
+def stream_ingest_outcomes(spark, d):
+    """The datagrams as a stream that reads them out of the order of time, into a table."""
+    name = f"stream_{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{name}"
+    T.ensure_ingest_table(spark, name, f"{folder}/table")
+    rows, files = stage(X.datagrams_in_parts(spark, d)), 8
+    for part in range(X.PARTS):
+        rows.where(F.col("part") == part).drop("part").repartition(files).write.mode("append").parquet(f"{folder}/in")
+    start_ingest(spark, f"{folder}/in", None, f"{folder}/checkpoint", X.hosts(spark, d), interval=None, max_files=files, table=name).awaitTermination()
+    return spark.table(name).groupBy("stage", "reason").agg(F.count("*").alias("n"))
+
+
 # --- searching ----------------------------------------------------------------------------
 
 
@@ -271,6 +299,36 @@ def batch_stats_query(spark, d):
     return batch_stats(decode_packets(packets, X.hosts(spark, d)))
 
 
+def _ingested(spark, d, **options) -> str:
+    """A table that the event lines were written to in three runs, one of them twice."""
+    name = f"log_table_{uuid.uuid4().hex}"
+    T.ensure_ingest_table(spark, name, f"{shared_folder(spark)}/{name}", **options)
+    lines = X.syslog_from_events(spark, d)
+    for k in (0, 1, 2, 1):
+        ingest_into_table(lines.where(F.col("event_id") % 3 == k), name, run=f"part-{k}")
+    return name
+
+
+def log_table_search(spark, d):
+    return _hits(S.search(T.records(spark, _ingested(spark, d)), P.term("error"), *S.relative_range(NOW, 1440)))
+
+
+def retention_drop(spark, d):
+    name = _ingested(spark, d, retention_days=10)
+    T.drop_expired(spark, name, NOW)
+    return T.records(spark, name).select(_us(), "syslog_pid")
+
+
+def compact_day(spark, d):
+    name = _ingested(spark, d)
+    T.compact_finished_days(spark, name, NOW)
+    rows = spark.table(name).select(F.col("event_date").cast("string").alias("day"), "syslog_pid", _us(), F.col("_metadata.file_path").alias("file"))
+    return rows.groupBy("day").agg(
+        F.count("*").alias("n"), F.countDistinct("file").alias("n_files"), F.sum("syslog_pid").alias("pid_sum"),
+        F.sum(F.col("source_timestamp_us") % 1_000_000_007).alias("time_sum"),
+    )
+
+
 def newest_errors(spark, d):
     """The newest 1000 error lines of the last day of data."""
     return _hits(S.search(X.event_logs(spark, d), P.term("error"), *S.relative_range(NOW, 1440)))
@@ -301,6 +359,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gelf_inflate": gelf_inflate,
         "gelf_inflate_errors": gelf_inflate_errors,
         "gelf_chunks": gelf_chunks,
+        "gelf_chunks_nested": gelf_chunks_nested,
+        "quarantine_rows": quarantine_rows,
         "gelf_chunks_expired": gelf_chunks_expired,
         "gelf_chunks_expired_only": gelf_chunks_expired_only,
         "gelf_reject_reasons": gelf_reject_reasons,
@@ -309,6 +369,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "merge_logs": merge,
         "ingest_outcomes": ingest_outcomes,
         "ingest_by_host": ingest_by_host,
+        "stream_ingest_outcomes": stream_ingest_outcomes,
+        "log_table_search": log_table_search,
+        "retention_drop": retention_drop,
+        "compact_day": compact_day,
         "newest_errors": newest_errors,
         "search_time_range": search_time_range,
         "search_relative": search_relative,
@@ -439,6 +503,20 @@ _EXTRA = (
     "CASE WHEN doc_id % 5 = 0 THEN 'wrong' WHEN doc_id % 7 = 0 THEN 'past' WHEN doc_id % 11 = 0 THEN 'lone' END"
 )
 
+_OUTCOMES = f"""
+            WITH rows AS (
+              SELECT CAST(NULL AS VARCHAR) AS stage, CAST(NULL AS VARCHAR) AS reason FROM events
+              UNION ALL SELECT stage, reason FROM events JOIN {_BAD_TABLE} ON event_id % 12 = k
+              UNION ALL SELECT CASE WHEN {_CUT} THEN 'inflate' END, CASE WHEN {_CUT} THEN ['bad_gzip','bad_zlib'][doc_id % 3 + 1] END FROM documents
+              UNION ALL SELECT NULL, NULL FROM documents
+              UNION ALL SELECT 'chunk', CASE {_EXTRA} WHEN 'past' THEN 'chunk_seqno' ELSE 'chunk_count' END FROM documents WHERE {_EXTRA} IN ('past', 'lone'))
+            SELECT stage, reason, count(*) AS n FROM rows GROUP BY stage, reason"""
+_PIECES = "(VALUES " + ", ".join(
+    f"({k}, {ms}, {i}, {n}, '{mark}', {'NULL' if reason is None else repr(reason)})" for k, ms, i, n, mark, reason in X.REFUSED_PIECES
+) + ") p(k, ms, i, n, mark, reason)"
+# Without a host table, a record without a name has its sender's address.
+_NAMED_LOGS = f"SELECT * REPLACE (coalesce(hostname, '10.0.0.' || (user_id % 5)) AS hostname) FROM ({_EVENT_LOGS})"
+
 
 def oracle_sql() -> dict[str, str]:
     found = {
@@ -480,6 +558,14 @@ def oracle_sql() -> dict[str, str]:
               lang AS hostname, {_DOC_US} AS source_timestamp_us, {_DOC_US} + (n - 1) * 1000 + 500 AS recv_ts_us,
               md5(text) AS text_md5
             FROM (SELECT *, {_N_CHUNKS} AS n FROM documents)""",
+        "gelf_chunks_nested": f"""
+            SELECT doc_id, '10.0.2.{X.NESTED_LEVELS}' AS src_ip, {_DOC_US} + {X.NESTED_LEVELS * 1000} AS recv_ts_us, lang AS hostname,
+              {_DOC_US} AS source_timestamp_us, md5(text) AS text_md5, CAST(NULL AS VARCHAR) AS reason
+            FROM documents""",
+        "quarantine_rows": f"""
+            SELECT '10.0.2.' || (i % 4) AS src_ip, epoch_us(ts) + ms * 1000 AS recv_ts_us, 'chunk' AS stage, reason,
+              md5('1E0F' || lpad(to_hex(event_id), 16, '0') || lpad(to_hex(i), 2, '0') || lpad(to_hex(n), 2, '0') || hex(mark || event_id)) AS payload_md5
+            FROM events JOIN {_PIECES} ON event_id % 4 = k WHERE reason IS NOT NULL""",
         "gelf_chunks_expired": _LATE_GROUPS,
         "gelf_chunks_expired_only": f"SELECT size, count(*) AS n, CAST(sum(present) AS BIGINT) AS present FROM ({_LATE_GROUPS}) WHERE status = 'expired' GROUP BY size",
         "gelf_reject_reasons": f"""
@@ -490,14 +576,7 @@ def oracle_sql() -> dict[str, str]:
         "merge_logs": f"""
             SELECT source_timestamp_us, hostname, message, priority, pid AS any_pid FROM ({_GELF_LOGS})
             UNION ALL SELECT source_timestamp_us, hostname, message, priority, syslog_pid FROM ({_EVENT_LOGS})""",
-        "ingest_outcomes": f"""
-            WITH rows AS (
-              SELECT CAST(NULL AS VARCHAR) AS stage, CAST(NULL AS VARCHAR) AS reason FROM events
-              UNION ALL SELECT stage, reason FROM events JOIN {_BAD_TABLE} ON event_id % 12 = k
-              UNION ALL SELECT CASE WHEN {_CUT} THEN 'inflate' END, CASE WHEN {_CUT} THEN ['bad_gzip','bad_zlib'][doc_id % 3 + 1] END FROM documents
-              UNION ALL SELECT NULL, NULL FROM documents
-              UNION ALL SELECT 'chunk', CASE {_EXTRA} WHEN 'past' THEN 'chunk_seqno' ELSE 'chunk_count' END FROM documents WHERE {_EXTRA} IN ('past', 'lone'))
-            SELECT stage, reason, count(*) AS n FROM rows GROUP BY stage, reason""",
+        "ingest_outcomes": _OUTCOMES,
         "ingest_by_host": f"""
             WITH rows AS (
               SELECT hostname, source_timestamp_us, length(message) AS chars, 1 AS has_full FROM ({_RESOLVED})
@@ -507,6 +586,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT hostname, count(*) AS n, CAST(sum(source_timestamp_us % 1000000007) AS BIGINT) AS time_sum,
               CAST(sum(chars) AS BIGINT) AS message_chars, CAST(sum(has_full) AS BIGINT) AS n_full
             FROM rows GROUP BY hostname""",
+        "stream_ingest_outcomes": _OUTCOMES,
+        "log_table_search": f"SELECT {_HIT} FROM (SELECT * FROM ({_NAMED_LOGS}) WHERE event_type = 'error' AND {_LAST_DAY} {_NEWEST})",
+        "retention_drop": f"SELECT source_timestamp_us, syslog_pid FROM ({_EVENT_LOGS}) WHERE source_timestamp_us >= epoch_us(TIMESTAMP '2024-01-21 00:00:00')",
+        "compact_day": f"""
+            SELECT strftime(make_timestamp(source_timestamp_us), '%Y-%m-%d') AS day, count(*) AS n, CAST(1 AS BIGINT) AS n_files,
+              CAST(sum(event_id) AS BIGINT) AS pid_sum, CAST(sum(source_timestamp_us % 1000000007) AS BIGINT) AS time_sum
+            FROM ({_EVENT_LOGS}) GROUP BY day""",
         "newest_errors": _search(_EVENT_LOGS, f"event_type = 'error' AND {_LAST_DAY}"),
         "search_time_range": _search(_EVENT_LOGS, _DAY10_12),
         "search_relative": _search(_EVENT_LOGS, _LAST_DAY),

@@ -281,6 +281,45 @@ def gelf_chunks_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.where(~(last & (d % 5 == 0))).select(*_chunk_datagram(i, n, F.col("content"), at))
 
 
+NESTED_LEVELS = 4
+
+
+def gelf_chunks_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in two pieces: the first plain, the datagram of the second cut in two pieces again, and so on."""
+    rows = documents(spark, sf_dir).select("doc_id", "ts", _bytes(_document_json()).alias("rest"))
+    sent = []
+    for level in range(NESTED_LEVELS):
+        half = F.ceil(F.octet_length("rest") / 2).cast("int")
+        number = F.col("doc_id") + level * (1 << 40)
+        header = [F.unhex(F.lit("1E0F")), F.unhex(F.lpad(F.hex(number), 16, "0"))]
+        first = F.concat(*header, F.unhex(F.lit("0002")), F.substr("rest", F.lit(1), half))
+        second = F.concat(*header, F.unhex(F.lit("0102")), F.substr("rest", half + 1, F.octet_length("rest")))
+        rows = rows.withColumns({f"sent{level}": first, "rest": second})
+        sent.append(f"sent{level}")
+    pieces = rows.select("doc_id", "ts", F.posexplode(F.array(*sent, "rest")).alias("i", "payload"))
+    return pieces.select(
+        "doc_id", F.lit("gelf").alias("proto"), _text("10.0.2.", F.col("i")).alias("src_ip"), F.lit(12201).alias("src_port"),
+        F.timestamp_micros(F.unix_micros("ts") + F.col("i") * 1000).alias("recv_ts"), "payload",
+    )
+
+
+#: Chunks that are refused, by ``event_id % 4``: milliseconds after the event, number, count, a mark, and the reason, if it is
+#: not displaced by a later chunk.
+REFUSED_PIECES = (
+    (0, 0, 0, 3, "a", "expired"), (0, 1, 1, 3, "b", "expired"),
+    (1, 0, 0, 2, "a", "expired"), (1, 1, 7, 2, "past", "chunk_seqno"),
+    (2, 0, 0, 1, "lone", "chunk_count"),
+    (3, 0, 1, 3, "old", None), (3, 1, 1, 3, "new", "expired"), (3, 2, 2, 3, "c", "expired"),
+)
+
+
+def gelf_chunks_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of every event that never become a message."""
+    kinds = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("k", "ms", "i", "n", "mark"), p)]) for p in REFUSED_PIECES])
+    rows = events(spark, sf_dir).withColumn("doc_id", F.col("event_id")).select("doc_id", "ts", F.inline(kinds)).where(F.col("doc_id") % 4 == F.col("k"))
+    return rows.select(*_chunk_datagram(F.col("i"), F.col("n"), _bytes(_text(F.col("mark"), F.col("doc_id"))), F.col("ms") * 1000))
+
+
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses named after suppliers; 10.0.0.4 is not known."""
     return table(spark, sf_dir, "supplier").where(F.col("s_suppkey") != 4).select(
@@ -300,6 +339,24 @@ def datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+PARTS = 4
+
+
+def datagrams_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All kinds of datagrams with the ``part`` in which they are read: each part spans all times, and a third of the
+    chunked messages begins in one part and ends in the next."""
+    number = {"syslog_from_events": "event_id", "gelf_bad": "event_id", "gelf_compressed": "doc_id", "gelf_chunks": "doc_id"}
+    out = None
+    for f in (syslog_from_events, gelf_bad, gelf_compressed, gelf_chunks):
+        part = F.col(number[f.__name__]) % (PARTS - 1)
+        if f is gelf_chunks:
+            late = F.unix_micros("recv_ts") - F.col("doc_id") * 37_000_000 - 1_704_067_200_000_000 > 1500
+            part = F.when((part == PARTS - 2) & late, PARTS - 1).otherwise(part)
+        rows = f(spark, sf_dir).select(*_DATAGRAM, part.cast("int").alias("part"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log records of the events, through the syslog decoder."""
     lines = syslog_from_events(spark, sf_dir)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logkiln.operators.packets import CHUNK_MAGIC
+
 LIFETIME_SECONDS = 5
 MIN_COUNT = 2
 COMPLETE, EXPIRED, IGNORED = "complete", "expired", "ignored"
@@ -45,8 +47,8 @@ _PIECES = (
 def _scan(lifetime_us: int):
     """Scan arrivals sorted by (k, scope, arrival order).
 
-    One output row per filled slot of a complete group, one per expired group, and one per
-    arrival whose number lies past the slots of its group.
+    One output row per filled slot of a group, complete or expired, and one per
+    arrival whose number lies past the slots of its group. An expired group without a slot has one row too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,10 +66,10 @@ def _scan(lifetime_us: int):
             opened, size, slots = group
             t, ip, port = (arrival[0], arrival[2], arrival[3]) if arrival else (None, None, None)
             head = (*here, n, status, opened, size, len(slots), t, ip, port)
-            if status == EXPIRED:
-                out.append((*head, None, None, None, None, None, None, 1))
-            else:
+            if slots:
                 out.extend((*head, slot, *piece) for slot, piece in slots.items())
+            else:
+                out.append((*head, None, None, None, None, None, None, 1))
             group = None
             n += 1
 
@@ -228,13 +230,14 @@ def _each_sender(ignored: DataFrame, arrivals: DataFrame) -> DataFrame:
     others = senders.join(first, instant).withColumn("m", F.col("m") - F.col("first").eqNullSafe(tie).cast("bigint")).where("m > 0")
     others = others.select(
         F.col("k").alias("o_k"), F.col("t").alias("o_t"), F.col("seqno").alias("o_slot"), F.col("count").alias("o_count"),
-        F.col("src_ip").alias("o_ip"), F.col("src_port").alias("o_port"), F.col("m").alias("o_copies"),
+        F.col("src_ip").alias("o_ip"), F.col("src_port").alias("o_port"), F.col("h").alias("o_h"), F.col("m").alias("o_copies"),
     )
     several = (F.col("copies") > 1) & (F.col("k") == F.col("o_k")) & (F.col("t") == F.col("o_t")) & (F.col("slot") == F.col("o_slot")) & (F.col("count") == F.col("o_count"))
     joined, folded = ignored.join(others, several, "left"), F.col("o_k").isNotNull()
     return joined.withColumns({
         "src_ip": F.when(folded, F.col("o_ip")).otherwise(F.col("src_ip")),
         "src_port": F.when(folded, F.col("o_port")).otherwise(F.col("src_port")),
+        "h": F.when(folded, F.col("o_h")).otherwise(F.col("h")),
         "copies": F.when(folded, F.col("o_copies")).otherwise(F.col("copies")),
     })
 
@@ -259,7 +262,7 @@ def assign_chunks(
 ) -> DataFrame:
     """Decide which arrival fills which slot of which group.
 
-    One row per filled slot of a complete group, per expired group and per ignored arrival. Ids with more than
+    One row per filled slot of a complete or expired group and per ignored arrival. Ids with more than
     ``hot_rows`` arrivals are handled in blocks of ``block_seconds``; there a row may stand for ``copies`` arrivals of one instant.
     """
     lifetime_us, block_us = int(lifetime_seconds * 1e6), int(block_seconds * 1e6)
@@ -279,13 +282,26 @@ def assign_chunks(
     )
 
 
+#: A chunk that came, as it came.
+PIECE = "struct<src_ip: string, src_port: int, recv_ts: timestamp, payload: binary>"
+
+
+def datagram_of(k: Column, slot: Column, count: Column, content: Column) -> Column:
+    """The chunk datagram again: two fixed bytes, id, number, count, content."""
+    def byte(number: Column) -> Column:
+        return F.unhex(F.lpad(F.hex(number), 2, "0"))
+
+    return F.concat(F.lit(CHUNK_MAGIC), F.unhex(F.substring(k, 1, 16)), byte(slot), byte(count), content)
+
+
 def reassemble_chunks(chunks: DataFrame, key: tuple[str, ...] = ("chunk_id",), **options) -> DataFrame:
     """Join chunks to messages.
 
     Takes classified chunk rows (``count`` below 2 is ignored here). Gives one row per group or
     ignored arrival: ``status`` complete, expired or ignored, ``chunk_id``, ``size``, ``present``, ``opened_ts``, and for
     complete groups ``payload`` with the ``src_ip``, ``src_port``, ``recv_ts`` of the chunk that
-    completed it. Stage ``chunks`` as a table first where it is costly to compute: it is read for
+    completed it. Others have ``pieces``: each chunk that filled a slot, or the ignored one, with its own sender and datagram.
+    Stage ``chunks`` as a table first where it is costly to compute: it is read for
     the ids, for the arrival facts and for the contents.
     """
     pieces = assign_chunks(chunks, key, **options)
@@ -295,30 +311,45 @@ def reassemble_chunks(chunks: DataFrame, key: tuple[str, ...] = ("chunk_id",), *
         F.col("count").alias("c_count"), F.col("src_ip").alias("c_ip"), F.col("src_port").alias("c_port"),
         F.xxhash64("content").alias("c_h"), "content",
     )
-    wins = pieces.where(F.col("status") == COMPLETE)
-    same_arrival = (
-        (wins.k == contents.c_k) & (wins.t == contents.c_t) & (wins.slot == contents.c_seqno)
-        & (wins["count"] == contents.c_count) & (wins.h == contents.c_h)
-        & wins.src_ip.eqNullSafe(contents.c_ip) & wins.src_port.eqNullSafe(contents.c_port)
-    )
+
+    def with_contents(rows: DataFrame, contents: DataFrame, how: str) -> DataFrame:
+        same_arrival = (
+            (rows.k == contents.c_k) & (rows.t == contents.c_t) & (rows.slot == contents.c_seqno)
+            & (rows["count"] == contents.c_count) & (rows.h == contents.c_h)
+            & rows.src_ip.eqNullSafe(contents.c_ip) & rows.src_port.eqNullSafe(contents.c_port)
+        )
+        return rows.join(contents, same_arrival, how)
+
+    def datagram(k, part) -> Column:
+        whole = datagram_of(k, part["slot"], part["count"], part["content"])
+        return F.struct(part["src_ip"].alias("src_ip"), part["src_port"].alias("src_port"), F.timestamp_micros(part["t"]).alias("recv_ts"), whole.alias("payload"))
+
     # A set, as the same datagram may have arrived twice in the same microsecond.
-    parts = F.array_sort(F.collect_set(F.struct("slot", "content")))
-    payload = F.aggregate(parts, F.lit(b""), lambda done, part: F.concat(done, part["content"]))
-    complete = (
-        wins.join(contents, same_arrival).groupBy(*group).agg(payload.alias("payload"))
-        .select(F.lit(COMPLETE).alias("status"), *group, "payload")
+    filled = F.when(F.col("slot").isNotNull(), F.struct("slot", "content", "t", "count", "src_ip", "src_port"))
+    parts = F.array_sort(F.collect_set(filled))
+    whole = F.aggregate(F.col("parts"), F.lit(b""), lambda done, part: F.concat(done, part["content"]))
+    done = F.col("status") == COMPLETE
+    groups = (
+        with_contents(pieces.where(F.col("status") != IGNORED), contents, "left").groupBy("status", *group).agg(parts.alias("parts"))
+        .select(
+            "status", *group, F.when(done, whole).alias("payload"),
+            F.when(~done, F.transform("parts", lambda part: datagram(F.col("k"), part))).cast(f"array<{PIECE}>").alias("pieces"),
+        )
     )
-    none = F.lit(None).cast("binary").alias("payload")
-    expired = pieces.where(F.col("status") == EXPIRED).select("status", *group, none)
     arrival = {"closed": "t", "closed_ip": "src_ip", "closed_port": "src_port"}
     arrivals = _arrivals(chunks, key)
     hot = _hot_ids(arrivals, options.get("hot_rows", HOT_ROWS))
+    senders = _each_sender(pieces.where(F.col("status") == IGNORED), arrivals.join(hot, "k", "left_semi"))
+    part = {c: F.col(c) for c in ("slot", "count", "content", "src_ip", "src_port", "t")}
     ignored = (
-        _each_sender(pieces.where(F.col("status") == IGNORED), arrivals.join(hot, "k", "left_semi"))
+        with_contents(senders, contents.dropDuplicates([c for c in contents.columns if c != "content"]), "left")
         .withColumn("_", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
-        .select("status", *[F.col(arrival.get(c, c)).alias(c) for c in group], none)
+        .select(
+            "status", *[F.col(arrival.get(c, c)).alias(c) for c in group], F.lit(None).cast("binary").alias("payload"),
+            F.array(datagram(F.col("k"), part)).cast(f"array<{PIECE}>").alias("pieces"),
+        )
     )
-    return complete.unionByName(expired).unionByName(ignored).select(
+    return groups.unionByName(ignored).select(
         "status",
         F.unhex(F.substring("k", 1, 16)).alias("chunk_id"),
         "size",
@@ -328,6 +359,7 @@ def reassemble_chunks(chunks: DataFrame, key: tuple[str, ...] = ("chunk_id",), *
         F.col("closed_port").alias("src_port"),
         F.timestamp_micros("closed").alias("recv_ts"),
         "payload",
+        "pieces",
     )
 
 

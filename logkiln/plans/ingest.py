@@ -23,6 +23,8 @@ from logkiln.staging import stage
 
 #: What the decoders take: datagrams, and what is already known to be wrong with them.
 PACKET = [*C.DATAGRAM.fieldNames(), "chunk_reason"]
+#: What is known of a reassembled group.
+K_COLUMNS = ("status", "src_ip", "src_port", "recv_ts", "payload", "pieces")
 
 
 def _packets(df: DataFrame, chunk_reason: Column | None = None) -> DataFrame:
@@ -31,13 +33,12 @@ def _packets(df: DataFrame, chunk_reason: Column | None = None) -> DataFrame:
 
 
 def group_packets(groups: DataFrame) -> DataFrame:
-    """Reassembled groups as packets: messages, and reasons for what never became one."""
-    reason = (
-        F.when(F.col("status") == K.EXPIRED, "expired").when(F.col("status") == K.IGNORED, "chunk_seqno")
-    )
-    return _packets(
-        groups.withColumns({"proto": F.lit("gelf"), "recv_ts": F.coalesce("recv_ts", "opened_ts")}), reason
-    )
+    """Reassembled groups as packets: messages, and for what never became one each chunk that came, with the reason."""
+    reason = F.when(F.col("status") == K.EXPIRED, "expired").when(F.col("status") == K.IGNORED, "chunk_seqno")
+    message = F.array(F.struct("src_ip", "src_port", "recv_ts", "payload")).cast(f"array<{K.PIECE}>")
+    # A group that no chunk filled a slot of only had ignored ones, which have rows of their own.
+    came = groups.select("status", F.explode(F.when(reason.isNull(), message).otherwise(F.col("pieces"))).alias("one"))
+    return _packets(came.select(F.lit("gelf").alias("proto"), "one.*", reason.alias("r")), F.col("r"))
 
 
 def whole_packets(classified: DataFrame) -> DataFrame:
@@ -52,26 +53,49 @@ def chunk_rows(classified: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def assemble(gelf: DataFrame, passes: int = 2, **options) -> DataFrame:
-    """GELF datagrams to packets. Chunks inside reassembled messages get ``passes`` - 1 further passes.
+def _nested(groups: DataFrame) -> tuple[DataFrame, Column]:
+    """Groups with what kind of packet their message is, and whether it is a chunk of another message."""
+    again = classify_packets(groups)
+    return again, F.coalesce((F.col("status") == K.COMPLETE) & (F.col("kind") == CHUNK) & (F.col("count") >= K.MIN_COUNT), F.lit(False))
+
+
+def _content(rows: DataFrame) -> tuple:
+    """Two equal results for equal sets of chunk rows, whatever their order."""
+    facts = F.xxhash64("src_ip", "src_port", "recv_ts", "chunk_id", "seqno", "count", "content").cast("decimal(38,0)")
+    return tuple(rows.agg(F.count("*"), F.sum(facts)).first())
+
+
+def reassemble_nested(chunks: DataFrame, **options) -> DataFrame:
+    """``reassemble_chunks`` where messages may be chunks again, to any depth.
 
-    Chunk rows and groups are staged: both are used several times and would otherwise be
-    computed from the raw table each time.
+    Such a message takes part like a datagram that came when its last chunk did, beside the plain chunks of its id. Which messages
+    come out may change which others do, so this goes on, for the ids concerned only, until the inner chunks are
+    the same twice. Each is 12 bytes shorter than what it came in and never comes before it, so what
+    is settled up to some instant and depth stays so, and rounds end. Chunks and groups are staged tables.
     """
-    out = whole_packets(classify_packets(gelf))
-    pending = chunk_rows(classify_packets(gelf))
-    for left in range(passes - 1, -1, -1):
-        groups = stage(K.reassemble_chunks(stage(pending), **options))
-        if left == 0:
-            return out.unionByName(group_packets(groups))
-        again = classify_packets(groups)
-        nested = chunk_rows(again.where(F.col("status") == K.COMPLETE))
-        if nested.isEmpty():
-            return out.unionByName(group_packets(groups))
-        is_nested = (F.col("status") == K.COMPLETE) & (F.col("kind") == CHUNK) & (F.col("count") >= K.MIN_COUNT)
-        out = out.unionByName(group_packets(again.where(~F.coalesce(is_nested, F.lit(False)))))
-        pending = nested
-    return out
+    chunks = stage(chunks)
+    first = groups = stage(K.reassemble_chunks(chunks, **options))
+    before: DataFrame | None = None
+    while True:
+        again, is_nested = _nested(groups)
+        inner = stage(chunk_rows(again.where(is_nested)))
+        if _content(inner) == (_content(before) if before is not None else (0, None)):
+            return groups
+        ids = inner.select("chunk_id").distinct()
+        touched = chunks.join(ids, "chunk_id", "left_semi").unionByName(inner)
+        groups = stage(first.join(ids, "chunk_id", "left_anti").select(*first.columns).unionByName(K.reassemble_chunks(stage(touched), **options)))
+        before = inner
+
+
+def assemble(gelf: DataFrame, **options) -> DataFrame:
+    """GELF datagrams to packets; messages that are chunks again are joined too, to any depth."""
+    classified = classify_packets(gelf)
+    again, is_nested = _nested(reassemble_nested(chunk_rows(classified), **options))
+    # A message that announces itself as one chunk of one or none is refused like such a datagram.
+    lone = (F.col("status") == K.COMPLETE) & (F.col("kind") == CHUNK) & (F.col("count") < K.MIN_COUNT)
+    rest = again.where(~is_nested).select(*K_COLUMNS, F.coalesce(lone, F.lit(False)).alias("lone"))
+    refused = _packets(rest.where("lone").select(F.lit("gelf").alias("proto"), "src_ip", "src_port", "recv_ts", "payload"), F.lit("chunk_count"))
+    return whole_packets(classified).unionByName(group_packets(rest.where("not lone"))).unionByName(refused)
 
 
 _KEEP = ("src_ip", "recv_ts", "payload")
@@ -137,10 +161,10 @@ def decode_packets(packets: DataFrame, hosts: DataFrame | None = None, zone: str
     return _finished(merge_logs(gelf, syslog), hosts)
 
 
-def decode_datagrams(datagrams: DataFrame, hosts: DataFrame | None = None, zone: str = "UTC", passes: int = 2, **options) -> DataFrame:
+def decode_datagrams(datagrams: DataFrame, hosts: DataFrame | None = None, zone: str = "UTC", **options) -> DataFrame:
     """A datagram table to the columns of ``decode_packets``. Syslog is read once; GELF twice,
     for chunks and for the rest."""
-    gelf = decode_gelf(assemble(datagrams.where(F.col("proto") == "gelf"), passes, **options))
+    gelf = decode_gelf(assemble(datagrams.where(F.col("proto") == "gelf"), **options))
     syslog = decode_syslog(datagrams.where(F.col("proto") == "syslog"), zone)
     return _finished(merge_logs(gelf, syslog), hosts)
 

@@ -1,4 +1,8 @@
-"""Reassembly of chunked messages on a stream, with the rules of the batch form."""
+"""Reassembly of chunked messages on a stream, with the rules of the batch form.
+
+The open group of an id is a value (start, size, slots filled, timer) and a map with an entry for each filled slot. A micro-batch
+writes the slots that it fills and reads the map only when the group closes. A timer of its own gives a group up.
+"""
 
 from __future__ import annotations
 
@@ -7,90 +11,141 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logkiln.functions.columns import settle
-from logkiln.operators.chunks import COMPLETE, EXPIRED, IGNORED, LIFETIME_SECONDS, MIN_COUNT, chunk_key
+from logkiln.operators.chunks import COMPLETE, EXPIRED, IGNORED, LIFETIME_SECONDS, MIN_COUNT, PIECE, chunk_key
+from logkiln.operators.packets import CHUNK_MAGIC
 
 _OUT = (
     "status string, chunk_id binary, size int, present int, opened_ts timestamp, "
-    "src_ip string, src_port int, recv_ts timestamp, payload binary"
+    f"src_ip string, src_port int, recv_ts timestamp, payload binary, pieces array<{PIECE}>"
 )
-#: The open group: start, size, id, and the filled slots with their contents.
-_STATE = "opened bigint, size int, chunk_id binary, slots array<int>, contents array<binary>"
+_NAMES = ("status", "chunk_id", "size", "present", "opened_ts", "src_ip", "src_port", "recv_ts", "payload", "pieces")
+_SLOT = "t bigint, count int, src_ip string, src_port int, content binary"
+#: Where the state of such a stream must be kept.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _instant(us: int | None):
     return None if us is None else pd.Timestamp(us, unit="us", tz="UTC")
 
 
-def _fold(lifetime_us: int):
-    def close(status, group, slots, arrival=None):
-        opened, size, chunk_id = group
-        done = status == COMPLETE
+def _whole_number(value) -> int | None:
+    return None if pd.isna(value) else int(value)
+
+
+class ChunkGroups(StatefulProcessor):
+    """The open group of each id; rows out for groups that close and chunks that are ignored."""
+
+    def __init__(self, lifetime_us: int):
+        self.lifetime_us = lifetime_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.group = handle.getValueState("group", "opened bigint, size int, present int, chunk_id binary, timer bigint")
+        self.slots = handle.getMapState("slots", "seqno int", _SLOT)
+
+    def close(self) -> None:
+        pass
+
+    def _row(self, status, opened, size, present, chunk_id, arrival=None, payload=None, pieces=None):
         t, ip, port = arrival or (None, None, None)
-        payload = b"".join(slots[i] for i in range(size)) if done else None
-        return (status, chunk_id, size, len(slots), _instant(opened), ip, port, _instant(t), payload)
+        return (status, chunk_id, size, present, _instant(opened), ip, port, _instant(t), payload, pieces)
+
+    def _piece(self, chunk_id: bytes, seqno: int, slot: tuple) -> dict:
+        t, count, ip, port, content = slot
+        return {"src_ip": ip, "src_port": _whole_number(port), "recv_ts": _instant(int(t)), "payload": CHUNK_MAGIC + chunk_id + bytes([seqno, count]) + bytes(content)}
 
-    def frame(rows):
-        names = [c.split()[0] for c in _OUT.split(", ")]
-        out = pd.DataFrame(rows, columns=names)
+    def _expired(self, opened, size, chunk_id, slots: dict):
+        pieces = [self._piece(chunk_id, n, slots[n]) for n in sorted(slots)]
+        return self._row(EXPIRED, opened, size, len(slots), chunk_id, pieces=pieces)
+
+    def _frame(self, rows: list) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=list(_NAMES))
         out["src_port"] = out["src_port"].astype("Int32")
         return out
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        group, slots = None, {}
-        if state.exists:
-            opened, size, chunk_id, numbers, contents = state.get
-            group, slots = (opened, size, chunk_id), dict(zip(numbers, map(bytes, contents)))
-        if state.hasTimedOut:
-            state.remove()
-            yield frame([close(EXPIRED, group, slots)])
-            return
-        rows = []
-
-        def work(arrived, group, slots):
-            for t, seqno, count, ip, port, chunk_id, content in zip(
-                *[arrived[c] for c in ("t", "seqno", "count", "src_ip", "src_port", "chunk_id", "content")]
-            ):
-                port = None if pd.isna(port) else int(port)
-                if group is not None and t > group[0] + lifetime_us:
-                    rows.append(close(EXPIRED, group, slots))
-                    group = None
-                if group is None:
-                    group, slots = (int(t), int(count), bytes(chunk_id)), {}
-                if seqno < group[1]:
-                    slots[int(seqno)] = bytes(content)
-                    if len(slots) == group[1]:
-                        rows.append(close(COMPLETE, group, slots, (int(t), ip, port)))
-                        group = None
-                else:
-                    ignored = close(IGNORED, group, slots)
-                    rows.append((*ignored[:5], ip, port, _instant(int(t)), None))
-            return group, slots
+    def _kept(self) -> dict:
+        """The slots that earlier micro-batches filled."""
+        return {int(n[0]): tuple(slot) for n, slot in self.slots.iterator()}
 
+    def _forget(self) -> None:
+        found = self.group.get()
+        if found is not None:
+            self.handle.deleteTimer(found[4])
+        self.group.clear()
+        self.slots.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # Rows of a micro-batch come in no order; arrival order decides.
-        arrived = pd.concat(list(batches)).sort_values(["t", "seqno", "count", "src_ip", "src_port", "h"], na_position="first")
+        arrived = pd.concat(list(rows)).sort_values(["t", "seqno", "count", "src_ip", "src_port", "h"], na_position="first")
+        out: list = []
+        group = self.group.get()
         if group is not None:
             # What came more than a lifetime before the open group is no part of it.
-            older = arrived["t"] < group[0] - lifetime_us
-            left, filled = work(arrived[older], None, {})
+            older = arrived["t"] < group[0] - self.lifetime_us
+            left, filled, _ = self._work(arrived[older], None, out)
             if left is not None:
-                rows.append(close(EXPIRED, left, filled))
+                out.append(self._expired(left[0], left[1], left[3], filled))
             arrived = arrived[~older]
-        group, slots = work(arrived, group, slots)
+        if len(arrived):
+            left, filled, was_kept = self._work(arrived, group, out)
+            if not was_kept and group is not None:
+                self._forget()
+            if left is not None:
+                # Late groups have their lifetime from the present clock. Timers are in whole milliseconds.
+                begun = max(left[0], timerValues.getCurrentWatermarkInMs() * 1000)
+                timer = (begun + self.lifetime_us) // 1000 + 1
+                if was_kept:
+                    self.handle.deleteTimer(group[4])
+                self.handle.registerTimer(timer)
+                self.group.update((left[0], left[1], left[2], left[3], timer))
+                for n, slot in filled.items():
+                    self.slots.updateValue((n,), slot)
+        if out:
+            yield self._frame(out)
+
+    def _work(self, arrived: pd.DataFrame, group, out: list) -> tuple[tuple | None, dict, bool]:
+        """The group left open, the slots filled here, and whether it is the group that was kept."""
+        kept = group is not None
+        opened, size, present, chunk_id = (group[0], group[1], group[2], bytes(group[3])) if kept else (None, None, 0, None)
+        filled: dict = {}
+
+        def slots() -> dict:
+            return (self._kept() if kept else {}) | filled
+
+        for t, seqno, count, ip, port, new_id, content in zip(
+            *[arrived[c] for c in ("t", "seqno", "count", "src_ip", "src_port", "chunk_id", "content")]
+        ):
+            t, seqno, count, port = int(t), int(seqno), int(count), _whole_number(port)
+            if opened is not None and t > opened + self.lifetime_us:
+                out.append(self._expired(opened, size, chunk_id, slots()))
+                opened, kept, filled = None, False, {}
+            if opened is None:
+                opened, size, present, chunk_id, filled = t, count, 0, bytes(new_id), {}
+            if seqno < size:
+                if seqno not in filled and not (kept and self.slots.containsKey((seqno,))):
+                    present += 1
+                filled[seqno] = (t, count, ip, port, bytes(content))
+                if present == size:
+                    whole = slots()
+                    payload = b"".join(bytes(whole[n][4]) for n in range(size))
+                    out.append(self._row(COMPLETE, opened, size, size, chunk_id, (t, ip, port), payload))
+                    opened, kept, filled = None, False, {}
+            else:
+                pieces = [self._piece(chunk_id, seqno, (t, count, ip, port, content))]
+                out.append(self._row(IGNORED, opened, size, present, chunk_id, (t, ip, port), pieces=pieces))
+        return None if opened is None else (opened, size, present, chunk_id), filled, kept
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        group = self.group.get()
         if group is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((*group, list(slots), list(slots.values())))
-            # Late groups have their lifetime from the present clock. The timer is in whole milliseconds.
-            begun = max(group[0], state.getCurrentWatermarkMs() * 1000)
-            state.setTimeoutTimestamp((begun + lifetime_us) // 1000 + 1)
-        if rows:
-            yield frame(rows)
-
-    return run
+            return
+        row = self._expired(group[0], group[1], bytes(group[3]), self._kept())
+        self.group.clear()
+        self.slots.clear()
+        yield self._frame([row])
 
 
 def with_clock(rows: DataFrame, delay: str = "1 second", settled: tuple[str, ...] = ()) -> DataFrame:
@@ -120,6 +175,7 @@ def reassemble_chunks_stream(
     source's intake limit bounds it. With ``delay`` None the rows have been through ``with_clock``.
     """
     clocked = chunks if delay is None else with_clock(chunks, delay)
+    clocked.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return (
         clocked.where(F.col("count") >= MIN_COUNT)
         .select(
@@ -127,7 +183,5 @@ def reassemble_chunks_stream(
             "src_ip", "src_port", "chunk_id", "content", F.xxhash64("content").alias("h"),
         )
         .groupBy("k")
-        .applyInPandasWithState(
-            _fold(int(lifetime_seconds * 1e6)), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .transformWithStateInPandas(ChunkGroups(int(lifetime_seconds * 1e6)), _OUT, "append", "EventTime")
     )

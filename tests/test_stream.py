@@ -1,4 +1,6 @@
 import datetime as dt
+import json
+import random
 import tempfile
 
 from pyspark.sql import functions as F
@@ -66,7 +68,7 @@ def test_stream_gives_what_the_batch_gives(spark):
     assert streamed[0] == [("a", "hello"), *[("h", m) for m in ("four", "joined", "one", "split", "three", "two")]]
     assert [r[:2] for r in streamed[1]] == [
         ("chunk", "chunk_count"), ("chunk", "chunk_seqno"), ("chunk", "expired"), ("chunk", "expired"),
-        ("chunk", "expired"), ("valid", "no_message"), ("valid", "no_message"),
+        ("valid", "no_message"), ("valid", "no_message"),
     ]
     assert sum(s["records"] for _, s in seen) == 7
 
@@ -116,5 +118,77 @@ def test_chunks_inside_a_chunked_message(spark):
     data = spark.createDataFrame(rows, C.DATAGRAM)
     got = decode_datagrams(data).select("message", "reason").collect()
     assert [(r.message, r.reason) for r in got] == [("deep", None)]
-    shallow = decode_datagrams(data, passes=1).groupBy("reason").count().collect()
-    assert [(r.reason, r["count"]) for r in shallow] == [("nested_chunk", 2)]
+
+
+def test_chunks_of_plain_and_wrapped_pieces_at_any_depth(spark):
+    """Against one datagram at a time, where a message that is a chunk goes back in at once."""
+    rng = random.Random(4)
+    rows = []
+    for m in range(30):
+        # Each level sends its first piece plainly and cuts the datagram of its second one in two again.
+        body, at = message(b"m%d " % m + bytes(rng.choices(b"abc", k=rng.randint(0, 90)))), m * 40.0
+        for level in range(rng.randint(1, 7)):
+            cut = rng.randint(1, len(body) - 1)
+            first, second = (chunk(1000 * level + m, i, 2, part, 0) for i, part in enumerate((body[:cut], body[cut:])))
+            sent, body = (first, bytes(second[4])) if rng.random() < 0.5 else (second, bytes(first[4]))
+            rows.append((*sent[:3], T0 + dt.timedelta(seconds=at + rng.choice([0, 1, 2, 3, 9]) + level * 0.01), sent[4]))
+        rows.append(("gelf", "10.0.0.9", 1, T0 + dt.timedelta(seconds=at + 4), bytearray(body)))
+    open_groups, shown = {}, []
+
+    def take(t, ip, payload):
+        if payload[:2] != b"\x1e\x0f":
+            return shown.append((ip, json.loads(payload)["short_message"]))
+        cid, seqno, count, content = payload[2:10], payload[10], payload[11], payload[12:]
+        opened, slots = open_groups.get(cid, (t, {}))
+        if t - opened > 5:
+            opened, slots = t, {}
+        slots[seqno] = content
+        open_groups[cid] = (opened, slots)
+        if len(slots) == count:
+            del open_groups[cid]
+            take(t, ip, b"".join(slots[i] for i in range(count)))
+
+    for r in sorted(rows, key=lambda r: r[3]):
+        take((r[3] - T0).total_seconds(), r[1], bytes(r[4]))
+    got = decode_datagrams(spark.createDataFrame(rows, C.DATAGRAM)).where("reason is null").select("src_ip", "message").collect()
+    assert sorted((r.src_ip, r.message) for r in got) == sorted(shown) and 5 < len(shown) < 30
+
+
+def test_refused_chunks_keep_sender_and_bytes(spark):
+    rows = [
+        chunk(1, 0, 3, b"a", 0, "10.0.0.1"), chunk(1, 1, 3, b"old", 1, "10.0.0.2"), chunk(1, 1, 3, b"new", 2, "10.0.0.3"),
+        chunk(2, 9, 2, b"past", 0, "10.0.0.4", 7), chunk(3, 0, 1, b"lone", 0, "10.0.0.5"), chunk(4, 0, 2, b"", 0, "10.0.0.6"),
+    ]
+    folder = tempfile.mkdtemp(prefix="run-stream-")
+    for part in (rows[:2], rows[2:], [plain(b"later", 100)], [plain(b"last", 200)]):
+        spark.createDataFrame(part, C.DATAGRAM).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    want = sorted([(r, rows[k][1], bytes(rows[k][4])) for r, k in (("expired", 0), ("expired", 2), ("chunk_seqno", 3), ("chunk_count", 4), ("expired", 5))])
+
+    def of(refused):
+        return sorted((r.reason, r.src_ip, bytes(r.payload)) for r in refused.collect())
+
+    assert of(decode_datagrams(read_datagrams(spark, f"{folder}/in")).where("reason is not null")) == want
+    query = start_ingest(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", interval=None, max_files=1)
+    query.awaitTermination(240)
+    assert of(read_quarantine(spark, f"{folder}/out")) == want
+
+
+def test_open_groups_outlive_a_restart(spark):
+    """Each start takes in one part: slots that an earlier run filled are kept, and one may be filled anew."""
+    body = message(b"restarted")
+    parts = [
+        [chunk(1, 0, 3, body[:10], 0), chunk(1, 1, 3, b"wrong", 0.5)],
+        [chunk(1, 1, 3, body[10:20], 1), plain(b"between", 1)],
+        [chunk(1, 2, 3, body[20:], 2), chunk(2, 0, 2, b"x", 2)],
+        [plain(b"later", 100)],
+        [plain(b"last", 200)],
+    ]
+    folder = tempfile.mkdtemp(prefix="run-stream-")
+    for part in parts:
+        spark.createDataFrame(part, C.DATAGRAM).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        query = start_ingest(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", interval=None)
+        query.awaitTermination(240)
+        assert query.exception() is None
+    logs, refused = both(read_ingested_logs(spark, f"{folder}/out"), read_quarantine(spark, f"{folder}/out"))
+    assert [m for _, m in logs] == ["between", "last", "later", "restarted"]
+    assert refused == [("chunk", "expired", True)]
