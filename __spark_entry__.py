@@ -122,6 +122,17 @@ def gelf_chunks(spark, d):
     )
 
 
+def gelf_chunks_hot(spark, d):
+    """One id with all pieces of all documents, cut into blocks."""
+    groups = stage(reassemble_chunks(stage(chunk_rows(classify_packets(X.gelf_chunks_hot(spark, d)))), hot_rows=0))
+    text = F.get_json_object(F.col("payload").cast("string"), "$.full_message")
+    return groups.select(
+        "status", _us("opened_ts"), F.col("size").cast("bigint").alias("size"), F.col("present").cast("bigint").alias("present"), "src_ip",
+        F.col("src_port").cast("bigint").alias("src_port"), _us("recv_ts"), F.md5(text).alias("text_md5"),
+        F.transform("pieces", lambda p: p["src_port"])[0].cast("bigint").alias("piece_port"),
+    )
+
+
 def gelf_chunks_nested(spark, d):
     rows = decode_datagrams(X.gelf_chunks_nested(spark, d))
     return rows.select(
@@ -359,6 +370,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gelf_inflate": gelf_inflate,
         "gelf_inflate_errors": gelf_inflate_errors,
         "gelf_chunks": gelf_chunks,
+        "gelf_chunks_hot": gelf_chunks_hot,
         "gelf_chunks_nested": gelf_chunks_nested,
         "quarantine_rows": quarantine_rows,
         "gelf_chunks_expired": gelf_chunks_expired,
@@ -558,6 +570,12 @@ def oracle_sql() -> dict[str, str]:
               lang AS hostname, {_DOC_US} AS source_timestamp_us, {_DOC_US} + (n - 1) * 1000 + 500 AS recv_ts_us,
               md5(text) AS text_md5
             FROM (SELECT *, {_N_CHUNKS} AS n FROM documents)""",
+        "gelf_chunks_hot": f"""
+            WITH d AS (SELECT doc_id, md5(text) AS text_md5, {_N_CHUNKS} AS n, {_DOC_US} AS t FROM documents)
+            SELECT 'complete' AS status, t AS opened_ts_us, n AS size, n AS present, '10.0.2.' || ((n - 1) % 4) AS src_ip,
+              CAST(12201 AS BIGINT) AS src_port, t + (n - 1) * 1000 AS recv_ts_us, text_md5, CAST(NULL AS BIGINT) AS piece_port
+            FROM d
+            UNION ALL SELECT 'expired', t + (n - 1) * 1000, n, 1, NULL, NULL, NULL, NULL, 12202 FROM d WHERE doc_id % 3 = 0""",
         "gelf_chunks_nested": f"""
             SELECT doc_id, '10.0.2.{X.NESTED_LEVELS}' AS src_ip, {_DOC_US} + {X.NESTED_LEVELS * 1000} AS recv_ts_us, lang AS hostname,
               {_DOC_US} AS source_timestamp_us, md5(text) AS text_md5, CAST(NULL AS VARCHAR) AS reason

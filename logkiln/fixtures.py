@@ -281,6 +281,15 @@ def gelf_chunks_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.where(~(last & (d % 5 == 0))).select(*_chunk_datagram(i, n, F.col("content"), at))
 
 
+def gelf_chunks_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a chunked message, all under one id. For each third document the last piece comes twice at one instant."""
+    d, i, n = F.col("number"), F.col("i"), F.col("n")
+    pieces = _chunked(spark, sf_dir, _bytes(_document_json())).withColumnRenamed("doc_id", "number").withColumn("doc_id", F.lit(7).cast("bigint"))
+    twice = F.when((i == n - 1) & (d % 3 == 0), F.array(F.lit(12201), F.lit(12202))).otherwise(F.array(F.lit(12201)))
+    sent = pieces.withColumn("port", F.explode(twice))
+    return sent.select(*_chunk_datagram(i, n, F.col("content"), i * 1000), F.col("port")).withColumn("src_port", F.col("port")).drop("port")
+
+
 NESTED_LEVELS = 4
 
 

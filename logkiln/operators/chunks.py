@@ -12,8 +12,10 @@ Arrivals of an ordinary id are scanned in one sorted pass that holds one open gr
 more arrivals than that should have ("hot") is cut into blocks of time. What a block does only
 depends on where in it the first new group opens, and there are few such places: the rows within
 one lifetime of its start. So each block is turned into a map from entry row to the entry row of
-the next block, the maps are composed in two levels, and with its entry known every block is
-scanned on its own. The result is the same as one scan of the whole id.
+the next block. Maps are composed ``FAN_IN`` at a time, level by level, until an id has no more than that; then the entries go
+down the levels again, and with its entry known every block is scanned on its own. No task holds more than ``FAN_IN`` maps
+or the rows of one block, and blocks of an id are the shorter the more rows its busiest one has, down to little more than a lifetime.
+The result is the same as one scan of the whole id.
 """
 
 from __future__ import annotations
@@ -27,12 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logkiln.operators.packets import CHUNK_MAGIC
+from logkiln.staging import stage
 
 LIFETIME_SECONDS = 5
 MIN_COUNT = 2
 COMPLETE, EXPIRED, IGNORED = "complete", "expired", "ignored"
-#: Blocks per level when the maps of a hot id are composed.
+#: Maps of a hot id that are composed at once.
 FAN_IN = 64
+#: Rows that the busiest block of a hot id should have at most, and the shortest block in lifetimes.
+BLOCK_ROWS, SHORTEST_BLOCK = 100_000, 1.25
 #: Ids with more arrivals are cut into blocks.
 HOT_ROWS = 5_000_000
 
@@ -108,7 +113,7 @@ def _scan(lifetime_us: int):
     return run
 
 
-def _block_map(lifetime_us: int, block_us: int):
+def _block_map(lifetime_us: int):
     """Per block: for each row a group may open at on entry, the row it opens at in the next block."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -125,7 +130,7 @@ def _block_map(lifetime_us: int, block_us: int):
             if i < own:
                 reopen = min(int(ahead[: size[i]].max()) + 1, int(last[i]))
                 exits[i] = reopen - own if reopen >= own else exits[reopen]
-        start = key[1] * block_us
+        start = key[1] * int(rows["block_us"].iloc[0])
         entries = int(np.searchsorted(t[:own], start + lifetime_us, side="right")) + 1
         return pd.DataFrame({"k": [key[0]], "block": [key[1]], "exits": [exits[:entries].tobytes()]})
 
@@ -141,15 +146,15 @@ def _follow(exits: bytes, entry: np.ndarray) -> np.ndarray:
 def _compose(key: tuple, maps: pd.DataFrame) -> pd.DataFrame:
     maps = maps.sort_values("block")
     state, before = None, None
-    for block, exits in zip(maps["block"], maps["exits"]):
+    for block, last, exits in zip(maps["block"], maps["last"], maps["exits"]):
         if state is None:
             state = np.arange(len(exits) // 4)
         elif block != before + 1:
             state = np.zeros_like(state)
-        state, before = _follow(exits, state), block
+        state, before = _follow(exits, state), last
     return pd.DataFrame(
         {
-            "k": [key[0]], "span": [key[1]], "block": [maps["block"].iloc[0]], "last": [before],
+            "k": [key[0]], "block": [maps["block"].iloc[0]], "last": [maps["last"].iloc[-1]],
             "exits": [state.astype(np.int32).tobytes()],
         }
     )
@@ -168,11 +173,36 @@ def _entries(key: tuple, maps: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"k": key[0], "block": maps["block"].to_numpy(), "entry": found})
 
 
-def _floor_div(number: Column, by: int) -> Column:
-    return ((number - F.pmod(number, F.lit(by))) / by).cast("bigint")
+def _floor_div(number: Column, by: int | Column) -> Column:
+    by = F.lit(by) if isinstance(by, int) else by
+    return ((number - F.pmod(number, by)) / by).cast("bigint")
+
+
+def _block_lengths(arrivals: DataFrame, lifetime_us: int, block_us: int, block_rows: int) -> DataFrame:
+    """Rows (k, block_us): shorter blocks for ids whose busiest one would have too many rows. Few ids are hot."""
+    busy = arrivals.groupBy("k", _floor_div(F.col("t"), block_us).alias("block")).agg(F.count("*").alias("n")).groupBy("k").agg(F.max("n").alias("n"))
+    fitting = F.floor(F.lit(block_us).cast("double") * block_rows / F.greatest("n", F.lit(block_rows))).cast("bigint")
+    return busy.select("k", F.greatest(fitting, F.lit(min(block_us, int(lifetime_us * SHORTEST_BLOCK) + 1)).cast("bigint")).alias("block_us"))
 
 
-def _hot_rows(arrivals: DataFrame, lifetime_us: int, block_us: int) -> DataFrame:
+def _block_entries(maps: DataFrame, fan_in: int) -> DataFrame:
+    """Rows (k, block, entry) for the maps (k, block, exits) of each block."""
+    levels = [stage(maps.withColumn("last", F.col("block")))]
+    width = fan_in
+    while levels[-1].groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > fan_in).limit(1).count():
+        spans = levels[-1].withColumn("span", _floor_div(F.col("block"), width)).groupBy("k", "span")
+        levels.append(stage(spans.applyInPandas(_compose, "k string, block bigint, last bigint, exits binary")))
+        width *= fan_in
+    found = levels[-1].withColumn("entry", F.lit(0)).groupBy("k").applyInPandas(_entries, "k string, block bigint, entry bigint")
+    for level in reversed(levels[:-1]):
+        width //= fan_in
+        span = _floor_div(F.col("block"), width)
+        above = found.select("k", span.alias("span"), "entry")
+        found = level.withColumn("span", span).join(above, ["k", "span"]).groupBy("k", "span").applyInPandas(_entries, "k string, block bigint, entry bigint")
+    return found
+
+
+def _hot_rows(arrivals: DataFrame, lifetime_us: int, block_us: int, block_rows: int, fan_in: int) -> DataFrame:
     """Arrivals of hot ids, cut into blocks with their entry rows."""
     # Equal arrivals at one instant: only the first and the last can matter, so one instant
     # never holds more than a bounded number of rows.
@@ -186,38 +216,23 @@ def _hot_rows(arrivals: DataFrame, lifetime_us: int, block_us: int) -> DataFrame
     rows = ends.select(
         "k", "t", "seqno", "count", F.explode(F.when(F.col("m") == 1, F.array(first)).otherwise(F.array(first, last))).alias("end")
     ).select("k", "t", "seqno", "count", "end.*")
-    block = _floor_div(F.col("t"), block_us)
-    early = F.pmod(F.col("t"), F.lit(block_us)) <= lifetime_us
+    length = F.col("block_us")
+    rows = rows.join(F.broadcast(_block_lengths(rows, lifetime_us, block_us, block_rows)), "k")
+    block = _floor_div(F.col("t"), length)
+    early = F.pmod(F.col("t"), length) <= lifetime_us
     blocks = rows.withColumn(
         "block", F.explode(F.when(early, F.array(block, block - 1)).otherwise(F.array(block)))
     ).withColumn("own", F.col("block") == block)
     # A copy for a block that has no rows of its own opens nothing there.
-    maps = (
-        blocks.groupBy("k", "block")
-        .applyInPandas(_block_map(lifetime_us, block_us), "k string, block bigint, exits binary")
-        .withColumn("span", _floor_div(F.col("block"), FAN_IN))
-    )
-    spans = maps.groupBy("k", "span").applyInPandas(
-        _compose, "k string, span bigint, block bigint, last bigint, exits binary"
-    )
-    span_entries = (
-        spans.withColumn("entry", F.lit(0)).groupBy("k").applyInPandas(_entries, "k string, block bigint, entry bigint")
-        .withColumn("span", _floor_div(F.col("block"), FAN_IN)).drop("block")
-    )
-    entries = (
-        maps.join(span_entries, ["k", "span"])
-        .withColumn("last", F.col("block"))
-        .groupBy("k", "span")
-        .applyInPandas(_entries, "k string, block bigint, entry bigint")
-    )
-    return blocks.join(entries, ["k", "block"]).select(
+    maps = blocks.groupBy("k", "block").applyInPandas(_block_map(lifetime_us), "k string, block bigint, exits binary")
+    return blocks.join(_block_entries(maps, fan_in), ["k", "block"]).select(
         "k", F.col("block").alias("scope"), "entry", "own", *_ORDER, "copies"
     )
 
 
-def _hot_ids(arrivals: DataFrame, hot_rows: int) -> DataFrame:
+def hot_ids(arrivals: DataFrame, hot_rows: int) -> DataFrame:
     # At most (all arrivals / hot_rows) ids are hot, so this side is small whatever the input.
-    return F.broadcast(arrivals.groupBy("k").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > hot_rows).select("k"))
+    return F.broadcast(stage(arrivals.groupBy("k").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > hot_rows).select("k")))
 
 
 def _each_sender(ignored: DataFrame, arrivals: DataFrame) -> DataFrame:
@@ -259,22 +274,30 @@ def assign_chunks(
     lifetime_seconds: float = LIFETIME_SECONDS,
     block_seconds: float = 60,
     hot_rows: int = HOT_ROWS,
+    block_rows: int = BLOCK_ROWS,
+    fan_in: int = FAN_IN,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Decide which arrival fills which slot of which group.
 
     One row per filled slot of a complete or expired group and per ignored arrival. Ids with more than
-    ``hot_rows`` arrivals are handled in blocks of ``block_seconds``; there a row may stand for ``copies`` arrivals of one instant.
+    ``hot_rows`` arrivals are handled in blocks of ``block_seconds``, or shorter ones of about ``block_rows`` rows; there a row
+    may stand for ``copies`` arrivals of one instant. ``hot`` names these ids where they are known already.
     """
     lifetime_us, block_us = int(lifetime_seconds * 1e6), int(block_seconds * 1e6)
-    if block_us <= lifetime_us:
-        raise ValueError("a block must be longer than the lifetime of a group")
+    if block_us <= lifetime_us or fan_in < 2:
+        raise ValueError("a block must be longer than the lifetime of a group, and maps are composed two at a time at least")
     arrivals = _arrivals(chunks, key)
-    hot = _hot_ids(arrivals, hot_rows)
+    hot = hot_ids(arrivals, hot_rows) if hot is None else hot
     ordinary = arrivals.join(hot, "k", "left_anti").select(
         "k", F.lit(0).cast("bigint").alias("scope"), F.lit(0).cast("bigint").alias("entry"), F.lit(True).alias("own"), *_ORDER,
         F.lit(1).cast("bigint").alias("copies"),
     )
-    rows = ordinary.unionByName(_hot_rows(arrivals.join(hot, "k", "left_semi"), lifetime_us, block_us))
+    if hot.isEmpty():
+        rows = ordinary
+    else:
+        hot_arrivals = stage(arrivals.join(hot, "k", "left_semi"))
+        rows = ordinary.unionByName(_hot_rows(hot_arrivals, lifetime_us, block_us, block_rows, fan_in))
     return (
         rows.repartition("k", "scope")
         .sortWithinPartitions("k", "scope", *_ORDER)
@@ -304,7 +327,9 @@ def reassemble_chunks(chunks: DataFrame, key: tuple[str, ...] = ("chunk_id",), *
     Stage ``chunks`` as a table first where it is costly to compute: it is read for
     the ids, for the arrival facts and for the contents.
     """
-    pieces = assign_chunks(chunks, key, **options)
+    arrivals = _arrivals(chunks, key)
+    hot = hot_ids(arrivals, options.get("hot_rows", HOT_ROWS))
+    pieces = assign_chunks(chunks, key, hot=hot, **options)
     group = ["k", "scope", "n", "opened", "size", "present", "closed", "closed_ip", "closed_port"]
     contents = chunks.where(F.col("count") >= MIN_COUNT).select(
         chunk_key(key).alias("c_k"), F.unix_micros("recv_ts").alias("c_t"), F.col("seqno").alias("c_seqno"),
@@ -337,9 +362,9 @@ def reassemble_chunks(chunks: DataFrame, key: tuple[str, ...] = ("chunk_id",), *
         )
     )
     arrival = {"closed": "t", "closed_ip": "src_ip", "closed_port": "src_port"}
-    arrivals = _arrivals(chunks, key)
-    hot = _hot_ids(arrivals, options.get("hot_rows", HOT_ROWS))
-    senders = _each_sender(pieces.where(F.col("status") == IGNORED), arrivals.join(hot, "k", "left_semi"))
+    senders = pieces.where(F.col("status") == IGNORED)
+    if not hot.isEmpty():
+        senders = _each_sender(senders, arrivals.join(hot, "k", "left_semi"))
     part = {c: F.col(c) for c in ("slot", "count", "content", "src_ip", "src_port", "t")}
     ignored = (
         with_contents(senders, contents.dropDuplicates([c for c in contents.columns if c != "content"]), "left")

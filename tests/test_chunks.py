@@ -125,8 +125,12 @@ def periodic_stream():
 
 
 @pytest.mark.parametrize("rows", [busy_stream(1), busy_stream(2), periodic_stream()], ids=["busy1", "busy2", "periodic"])
-@pytest.mark.parametrize("options", [{}, {"hot_rows": 0, "block_seconds": 6}, {"hot_rows": 50, "block_seconds": 11}],
-                         ids=["one scan", "all ids in blocks", "hot ids in blocks"])
+@pytest.mark.parametrize(
+    "options",
+    [{}, {"hot_rows": 0, "block_seconds": 6}, {"hot_rows": 50, "block_seconds": 11}, {"hot_rows": 0, "block_seconds": 7, "fan_in": 2},
+     {"hot_rows": 0, "block_seconds": 60, "block_rows": 40, "fan_in": 3}],
+    ids=["one scan", "all ids in blocks", "hot ids in blocks", "two maps at a time", "blocks by rows"],
+)
 def test_like_one_datagram_at_a_time(spark, rows, options):
     assert sorted(groups(spark, rows, **options), key=str) == simulate(rows)
 
