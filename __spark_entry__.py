@@ -324,6 +324,16 @@ def log_table_search(spark, d):
     return _hits(S.search(T.records(spark, _ingested(spark, d)), P.term("error"), *S.relative_range(NOW, 1440)))
 
 
+def newest_errors_wide(spark, d):
+    """The newest 1000 error lines of all time, from a table by days."""
+    return _hits(T.search_newest(spark, _ingested(spark, d), P.term("error")))
+
+
+def search_page(spark, d):
+    page = S.search_page(X.event_logs(spark, d), _bool_test(), DAY10)
+    return _hits(page.hits).withColumns({"num_hits": F.lit(page.num_hits).cast("bigint"), "columns": F.lit(",".join(page.columns))})
+
+
 def retention_drop(spark, d):
     name = _ingested(spark, d, retention_days=10)
     T.drop_expired(spark, name, NOW)
@@ -383,6 +393,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ingest_by_host": ingest_by_host,
         "stream_ingest_outcomes": stream_ingest_outcomes,
         "log_table_search": log_table_search,
+        "newest_errors_wide": newest_errors_wide,
+        "search_page": search_page,
         "retention_drop": retention_drop,
         "compact_day": compact_day,
         "newest_errors": newest_errors,
@@ -606,6 +618,12 @@ def oracle_sql() -> dict[str, str]:
             FROM rows GROUP BY hostname""",
         "stream_ingest_outcomes": _OUTCOMES,
         "log_table_search": f"SELECT {_HIT} FROM (SELECT * FROM ({_NAMED_LOGS}) WHERE event_type = 'error' AND {_LAST_DAY} {_NEWEST})",
+        "newest_errors_wide": f"SELECT {_HIT} FROM (SELECT * FROM ({_NAMED_LOGS}) WHERE event_type = 'error' {_NEWEST})",
+        "search_page": f"""
+            WITH matches AS (SELECT * FROM ({_EVENT_LOGS}) WHERE {_BOOL_SQL} AND source_timestamp_us >= {DAY10}000000)
+            SELECT {_HIT}, (SELECT count(*) FROM matches) AS num_hits,
+              'source_timestamp,facility,full_message,hostname,message,priority,syslog_identifier,syslog_pid' AS columns
+            FROM (SELECT * FROM matches {_NEWEST})""",
         "retention_drop": f"SELECT source_timestamp_us, syslog_pid FROM ({_EVENT_LOGS}) WHERE source_timestamp_us >= epoch_us(TIMESTAMP '2024-01-21 00:00:00')",
         "compact_day": f"""
             SELECT strftime(make_timestamp(source_timestamp_us), '%Y-%m-%d') AS day, count(*) AS n, CAST(1 AS BIGINT) AS n_files,

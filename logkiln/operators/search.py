@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logkiln import catalog as C
 from logkiln.functions.display import display_text
 from logkiln.functions.text import match_all
+from logkiln.staging import stage
 
 MAX_HITS = 1000
 DEFAULT_MINUTES = 5
@@ -78,6 +79,50 @@ def search(logs: DataFrame, predicate: Column | None = None, start=None, end=Non
     return newest(matching(logs, predicate, start, end), max_hits)
 
 
+@dataclass(frozen=True)
+class SearchPage:
+    """What one search gives: the hits as a stored table, how many records match, and the columns that have values."""
+
+    hits: DataFrame
+    num_hits: int
+    columns: list[str]
+
+    def table(self) -> DataFrame:
+        """Hits as shown: the columns found only, in display order, as text."""
+        return hits_to_display(self.hits).select(*self.columns)
+
+    def view(self, enabled: Iterable[str] = DEFAULT_ENABLED) -> DataFrame:
+        """The chosen columns that have values, as text, and the message."""
+        return select_view(self.hits, enabled, self.columns)
+
+
+def search_page(logs: DataFrame, predicate: Column | None = None, start=None, end=None, max_hits: int = MAX_HITS) -> SearchPage:
+    """Hits, number of matches and columns from one pass over the records.
+
+    Matches are counted as they flow to the top-k; the hits are stored once and the columns are found on those.
+    """
+    seen = Observation()
+    matches = matching(logs, predicate, start, end).observe(seen, F.count("*").alias("num_hits"))
+    hits = stage(newest(matches, max_hits))
+    return SearchPage(hits, seen.get["num_hits"], discovered_names(hits))
+
+
+def newest_by_day(logs: DataFrame, days: Iterable[date], predicate: Column | None = None, start=None, end=None, max_hits: int = MAX_HITS) -> DataFrame:
+    """The hits of a search over a table by days, reading no more days than it takes.
+
+    The newest of ``days`` is searched first, then the two before it, then four, until there are enough hits: no record of an
+    earlier day can be among them. ``days`` are those the table has.
+    """
+    left, width, found = sorted(days, reverse=True), 1, None
+    need = max_hits
+    while left and need > 0:
+        now, left = left[:width], left[width:]
+        part = stage(search(logs.where(F.col(C.DATE_FIELD).between(F.lit(now[-1]), F.lit(now[0]))), predicate, start, end, need))
+        need -= part.count()
+        found, width = part if found is None else found.unionByName(part), width * 2
+    return newest(logs.where("false") if found is None else found, max_hits)
+
+
 def run_search(logs: DataFrame, options: SearchOptions) -> DataFrame:
     return search(logs, options.predicate, options.start, options.end, options.max_hits)
 
@@ -113,12 +158,14 @@ def discovered_names(hits: DataFrame) -> list[str]:
 
 
 def search_table(hits: DataFrame) -> DataFrame:
-    """Hits as shown: discovered columns only, in display order, as text."""
+    """Hits as shown: discovered columns only, in display order, as text. The hits are stored, so a search runs once."""
+    hits = stage(hits)
     return hits_to_display(hits).select(*discovered_names(hits))
 
 
 def select_view(hits: DataFrame, enabled: Iterable[str] = DEFAULT_ENABLED, discovered: Iterable[str] | None = None) -> DataFrame:
-    """The chosen columns that have values, as text, and the message."""
+    """The chosen columns that have values, as text, and the message. Unless the columns are given, the hits are stored."""
+    hits = stage(hits) if discovered is None else hits
     found = discovered_names(hits) if discovered is None else order_columns(discovered)
     chosen = set(enabled) - set(MESSAGE_FIELDS)
     return hits_to_display(hits).select(*[c for c in found if c in chosen], "message")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logkiln import catalog as C
 from logkiln.functions.columns import settle
 from logkiln.operators import chunks as K
-from logkiln.operators.enrich import merge_logs, resolve_hostnames
+from logkiln.operators.enrich import HostTable, merge_logs, resolve_hostnames
 from logkiln.operators.gelf import decode_gelf_json
 from logkiln.operators.normalize import invalid_reason, normalize_gelf, normalize_syslog
 from logkiln.operators.packets import CHUNK, classify_packets, inflate
@@ -139,7 +139,7 @@ def with_reasons(df: DataFrame) -> DataFrame:
     return settle(marked, "stage", "reason")
 
 
-def _finished(rows: DataFrame, hosts: DataFrame | None) -> DataFrame:
+def _finished(rows: DataFrame, hosts: DataFrame | HostTable | None) -> DataFrame:
     if hosts is not None:
         rows = resolve_hostnames(rows, hosts)
     else:
@@ -153,7 +153,7 @@ def _finished(rows: DataFrame, hosts: DataFrame | None) -> DataFrame:
     )
 
 
-def decode_packets(packets: DataFrame, hosts: DataFrame | None = None, zone: str = "UTC") -> DataFrame:
+def decode_packets(packets: DataFrame, hosts: DataFrame | HostTable | None = None, zone: str = "UTC") -> DataFrame:
     """Packets of both kinds to log columns, ``src_ip``, ``recv_ts``, ``payload``, ``stage``,
     ``reason`` (null for records) and ``event_date``. Only refused rows keep their payload."""
     gelf = decode_gelf(packets.where(F.col("proto") == "gelf"))
@@ -161,7 +161,7 @@ def decode_packets(packets: DataFrame, hosts: DataFrame | None = None, zone: str
     return _finished(merge_logs(gelf, syslog), hosts)
 
 
-def decode_datagrams(datagrams: DataFrame, hosts: DataFrame | None = None, zone: str = "UTC", **options) -> DataFrame:
+def decode_datagrams(datagrams: DataFrame, hosts: DataFrame | HostTable | None = None, zone: str = "UTC", **options) -> DataFrame:
     """A datagram table to the columns of ``decode_packets``. Syslog is read once; GELF twice,
     for chunks and for the rest."""
     gelf = decode_gelf(assemble(datagrams.where(F.col("proto") == "gelf"), **options))
@@ -194,7 +194,7 @@ def _stats() -> list[Column]:
     ]
 
 
-def ingest(datagrams: DataFrame, path: str, hosts: DataFrame | None = None, run: str | None = None, **options) -> None:
+def ingest(datagrams: DataFrame, path: str, hosts: DataFrame | HostTable | None = None, run: str | None = None, **options) -> None:
     """Decode a datagram table and write records and refused rows in one pass.
 
     Every call adds to the path; one with the name of an earlier ``run`` replaces what that wrote.
@@ -202,6 +202,6 @@ def ingest(datagrams: DataFrame, path: str, hosts: DataFrame | None = None, run:
     write_ingested(decode_datagrams(datagrams, hosts, **options), path, run or uuid.uuid4().hex)
 
 
-def ingest_into_table(datagrams: DataFrame, table: str, hosts: DataFrame | None = None, run: str | None = None, **options) -> bool:
+def ingest_into_table(datagrams: DataFrame, table: str, hosts: DataFrame | HostTable | None = None, run: str | None = None, **options) -> bool:
     """The same into a catalog table made by ``ensure_ingest_table``; a run that is there already is left out, with False."""
     return commit_run(decode_datagrams(datagrams, hosts, **options), table, run or uuid.uuid4().hex)

@@ -19,10 +19,11 @@ import uuid
 from datetime import date, datetime
 
 from py4j.java_gateway import JavaObject
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logkiln import catalog as C
+from logkiln.operators.search import MAX_HITS, newest_by_day
 from logkiln.sources.log_table import LOG, QUARANTINE, first_kept_day, laid_out, table_retention
 
 #: Columns beside those of a record: what a refused row is known by, and the run that wrote a row.
@@ -48,6 +49,16 @@ def records(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name).where(F.col("outcome") == LOG).select(*C.FIELD_NAMES, C.DATE_FIELD)
 
 
+def record_days(spark: SparkSession, name: str) -> list[date]:
+    """The days that have records, from the catalog alone."""
+    return [date.fromisoformat(day) for outcome, day in partitions(spark, name) if outcome == LOG and day != "__HIVE_DEFAULT_PARTITION__"]
+
+
+def search_newest(spark: SparkSession, name: str, predicate: Column | None = None, start=None, end=None, max_hits: int = MAX_HITS) -> DataFrame:
+    """The newest hits in the table; days before those that give enough of them are not read."""
+    return newest_by_day(records(spark, name), record_days(spark, name), predicate, start, end, max_hits)
+
+
 def refused(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name).where(F.col("outcome") == QUARANTINE).select(*C.QUARANTINE_COLUMNS)
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from logkiln.operators.enrich import HostTable
 from logkiln.operators.packets import classify_packets
 from logkiln.plans.ingest import _packets, _stats, chunk_rows, decode_packets, group_packets, whole_packets
 from logkiln.sources.datagrams import stream_datagrams
@@ -36,10 +37,11 @@ def start_ingest(
     src: str,
     dst: str | None,
     checkpoint: str,
-    hosts: DataFrame | None = None,
+    hosts: DataFrame | HostTable | None = None,
     zone: str = "UTC",
     interval: str | None = "10 seconds",
     max_files: int = 100,
+    max_bytes: int | None = None,
     on_stats: Callable[[int, dict], None] | None = None,
     table: str | None = None,
     **options,
@@ -48,9 +50,12 @@ def start_ingest(
 
     Every micro-batch is decoded once and written once, records and refused rows together; a
     bad row never stops the stream, and a batch that is replayed replaces what it wrote.
-    ``on_stats`` gets the size figures of each batch, observed while it is written. Rows go to the folder ``dst``,
+    A micro-batch takes in ``max_files``, or what fits ``max_bytes`` if that is given. A ``HostTable`` with a version is read
+    again when that changes. ``on_stats`` gets the size figures of each batch, observed while it is written. Rows go to the folder ``dst``,
     or to the catalog table ``table``, made by ``ensure_ingest_table``.
     """
+    # Read once, not in every micro-batch.
+    hosts = HostTable(hosts) if isinstance(hosts, DataFrame) else hosts
     # The id of the query is kept in its checkpoint: streams with other checkpoints write beside this one.
     query_id: list[str] = []
     started = threading.Event()
@@ -76,7 +81,7 @@ def start_ingest(
         if on_stats is not None:
             on_stats(batch_id, seen.get)
 
-    packets = stream_packets(stream_datagrams(spark, src, max_files), **options)
+    packets = stream_packets(stream_datagrams(spark, src, max_files, max_bytes), **options)
     writer = packets.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     query = writer.trigger(**trigger).start()

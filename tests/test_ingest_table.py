@@ -135,3 +135,52 @@ def test_stream_into_the_table_and_search(spark, table):
     assert len(marks[0].listStatus(marks[1])) <= 2
     hits = S.search(T.records(spark, table), P.term("last"))
     assert [r.message for r in hits.collect()] == ["last"]
+
+
+def test_newest_search_reads_no_more_days_than_it_takes(spark, table):
+    for day in range(9):
+        ingest_into_table(datagrams(spark, [line(day, f"d{day}-{k} {'odd' if k % 2 else 'even'}", k) for k in range(10)]), table, run=f"r{day}")
+    # A file that is no table ends any job that reads it: the six oldest days.
+    for day in range(6):
+        for f in T._sizes(spark, T._described(spark, table, T._spec("log", str((T0 + dt.timedelta(days=day)).date())))):
+            with open(f.removeprefix("file:"), "wb") as broken:
+                broken.write(b"not a table" * 50)
+            T._delete(spark, f[: f.rindex("/") + 1] + "." + f[f.rindex("/") + 1 :] + ".crc")
+    got = T.search_newest(spark, table, P.term("odd"), max_hits=12)
+    want = [f"d{day}-{k} odd" for day in (8, 7, 6) for k in (9, 7, 5, 3, 1)][:12]
+    assert [r.message for r in got.collect()] == want
+    assert T.search_newest(spark, table, P.term("odd"), start=int(T0.timestamp()) + 8 * DAY, max_hits=3).count() == 3
+    with pytest.raises(Exception):
+        T.search_newest(spark, table, P.term("odd"), max_hits=16).collect()
+
+
+def test_newest_search_of_few_or_no_records(spark, table):
+    assert T.search_newest(spark, table).collect() == []
+    ingest_into_table(datagrams(spark, [line(0, "a"), line(5, "b")]), table, run="one")
+    assert [r.message for r in T.search_newest(spark, table).collect()] == ["b", "a"]
+
+
+def test_stream_reads_hosts_once_and_takes_in_bytes(spark):
+    from logkiln.operators.enrich import HostTable
+
+    folder = tempfile.mkdtemp(prefix="run-stream-")
+    big = [line(0, "x" * 2000 + str(k), k) for k in range(400)]
+    for k, rows in enumerate([[line(0, "a")], [line(0, "b")], big, [line(0, "c")], [line(0, "d")]]):
+        spark.createDataFrame([(*r[:1], "10.0.0.1", *r[2:4], bytearray(bytes(r[4]).replace(b" h app:", b" app:"))) for r in rows], C.DATAGRAM).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    reads, version = [], [1]
+
+    def hosts():
+        reads.append(version[0])
+        return spark.createDataFrame([("10.0.0.1", f"v{version[0]}")], "ip string, name string")
+
+    table = HostTable(hosts, lambda: version[0])
+    batches = []
+    query = start_ingest(
+        spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", table, interval=None, max_bytes=10_000,
+        on_stats=lambda i, s: batches.append(s["messages"]),
+    )
+    query.awaitTermination(240)
+    assert query.exception() is None and reads == [1]
+    assert sum(batches) == 404 and 400 in batches and len(batches) >= 3
+    version[0] = 2
+    assert table.names()[0].first()._name == "v2" and reads == [1, 2]

@@ -151,3 +151,23 @@ def test_search_reads_few_columns_and_days(spark):
     pushed = plan.split("PushedFilters:")[1].split("\n")[0]
     assert "EqualTo(priority,3)" in pushed and "GreaterThanOrEqual(source_timestamp" in pushed
     assert "systemd_unit" not in plan.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_page_of_a_search_reads_records_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(message):
+        seen.add(1)
+        return message != "no"
+
+    test = F.udf(count, "boolean").asNondeterministic()
+    rows = [record("yes" if i % 3 else "no", NOW - dt.timedelta(seconds=i), pid=i, hostname=None if i else "h") for i in range(30)]
+    page = S.search_page(logs(spark, rows), test(F.col("message")), max_hits=7)
+    assert (page.num_hits, page.hits.count(), page.columns[0]) == (20, 7, "source_timestamp")
+    assert "hostname" not in page.columns and page.table().columns == page.columns
+    assert page.view(["pid", "hostname"]).columns == ["pid", "message"]
+    assert [r.pid for r in page.table().collect()] == ["1", "2", "4", "5", "7", "8", "10"]
+    assert seen.value == 30
+    S.search_table(S.search(logs(spark, rows), test(F.col("message")))).collect()
+    assert seen.value == 60
+    assert S.search_page(logs(spark, rows).where("false")).columns == []
