@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logkiln import catalog as C
@@ -31,8 +31,20 @@ def gelf_column(field: C.Field) -> Column:
     return F.expr(f"CAST(coalesce({', '.join(values)}) AS {field.spark_type.simpleString()})").alias(field.name)
 
 
+def _compiled_in_parts(spark: SparkSession) -> None:
+    """Let Spark generate the conversions as many methods instead of one.
+
+    All conversions of a record in one generated method are more than the Java compiler takes (8000 bytes), so
+    they would be interpreted, at less than half the speed. A limit that the session sets itself is left as it is.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key) == "65535":
+        spark.conf.set(key, "8000")
+
+
 def normalize_gelf(df: DataFrame, keep: tuple[str, ...] = ("src_ip", "recv_ts")) -> DataFrame:
     """Decoded GELF rows to log columns, plus ``keep`` and ``convert_reason``."""
+    _compiled_in_parts(df.sparkSession)
     return df.select(
         *keep, *[gelf_column(f) for f in C.FIELDS], conversion_errors().alias("convert_reason")
     )
