@@ -308,6 +308,12 @@ def assign_chunks(
 #: A chunk that came, as it came.
 PIECE = "struct<src_ip: string, src_port: int, recv_ts: timestamp, payload: binary>"
 
+#: Columns of reassembled groups and ignored arrivals.
+GROUP = (
+    "status string, chunk_id binary, size int, present int, opened_ts timestamp, "
+    f"src_ip string, src_port int, recv_ts timestamp, payload binary, pieces array<{PIECE}>"
+)
+
 
 def datagram_of(k: Column, slot: Column, count: Column, content: Column) -> Column:
     """The chunk datagram again: two fixed bytes, id, number, count, content."""

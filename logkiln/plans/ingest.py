@@ -74,6 +74,8 @@ def reassemble_nested(chunks: DataFrame, **options) -> DataFrame:
     is settled up to some instant and depth stays so, and rounds end. Chunks and groups are staged tables.
     """
     chunks = stage(chunks)
+    if chunks.isEmpty():
+        return chunks.sparkSession.createDataFrame([], K.GROUP)
     first = groups = stage(K.reassemble_chunks(chunks, **options))
     before: DataFrame | None = None
     while True:

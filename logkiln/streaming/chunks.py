@@ -14,14 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logkiln.functions.columns import settle
-from logkiln.operators.chunks import COMPLETE, EXPIRED, IGNORED, LIFETIME_SECONDS, MIN_COUNT, PIECE, chunk_key
+from logkiln.operators.chunks import COMPLETE, EXPIRED, GROUP, IGNORED, LIFETIME_SECONDS, MIN_COUNT, chunk_key
 from logkiln.operators.packets import CHUNK_MAGIC
 
-_OUT = (
-    "status string, chunk_id binary, size int, present int, opened_ts timestamp, "
-    f"src_ip string, src_port int, recv_ts timestamp, payload binary, pieces array<{PIECE}>"
-)
-_NAMES = ("status", "chunk_id", "size", "present", "opened_ts", "src_ip", "src_port", "recv_ts", "payload", "pieces")
+_NAMES = tuple(c.split()[0] for c in GROUP.split("array<")[0].split(", "))
 _SLOT = "t bigint, count int, src_ip string, src_port int, content binary"
 #: Where the state of such a stream must be kept.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -183,5 +179,5 @@ def reassemble_chunks_stream(
             "src_ip", "src_port", "chunk_id", "content", F.xxhash64("content").alias("h"),
         )
         .groupBy("k")
-        .transformWithStateInPandas(ChunkGroups(int(lifetime_seconds * 1e6)), _OUT, "append", "EventTime")
+        .transformWithStateInPandas(ChunkGroups(int(lifetime_seconds * 1e6)), GROUP, "append", "EventTime")
     )
