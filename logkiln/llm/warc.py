@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -110,6 +111,12 @@ def _gunzip(data: bytes) -> tuple[bytes, str | None]:
         return kept, "bad_gzip"
 
 
+def _number(text: str, signed: bool = False) -> int | None:
+    """A whole number in ASCII digits that fits a long, else null."""
+    found = int(text) if re.fullmatch("-?[0-9]{1,19}" if signed else "[0-9]{1,19}", text) else None
+    return found if found is not None and -(1 << 63) <= found < 1 << 63 else None
+
+
 def parse_arc(data: bytes, archive: str = "") -> Iterator[tuple]:
     """Records of one archive as tuples of ``RECORD``; a break ends it with a row that has ``error``."""
     data, error = _gunzip(data)
@@ -123,12 +130,12 @@ def parse_arc(data: bytes, archive: str = "") -> Iterator[tuple]:
         parts = line.split(" ")
         # A content type may hold blanks: the fields before and after it are counted from both ends.
         after = len(fields) - 4
-        if end < 0 or len(parts) < len(fields) or not parts[-1].isdigit():
+        if end < 0 or len(parts) < len(fields) or _number(parts[-1]) is None:
             yield (archive, at, version, None, None, None, None, None, None, None, None, "bad_header")
             return
         url, ip, date, mime = parts[0], parts[1], parts[2], " ".join(parts[3 : len(parts) - after])
         rest = dict(zip(fields[4:], parts[len(parts) - after :]))
-        length = int(parts[-1])
+        length = _number(parts[-1])
         content = data[end + 1 : end + 1 + length]
         if len(content) < length:
             yield (archive, at, version, url, ip, date, mime, None, None, None, content, error or "truncated")
@@ -145,7 +152,7 @@ def parse_arc(data: bytes, archive: str = "") -> Iterator[tuple]:
         yield (archive, at, version, None, None, None, None, None, None, None, None, error)
 
 
-def _parsed(spark: SparkSession, path: str, pattern: str, parse, schema: str, arrow: pa.Schema) -> DataFrame:
+def _parsed(spark: SparkSession, path: str, parse, schema: str, arrow: pa.Schema) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1)):
@@ -159,7 +166,7 @@ def _parsed(spark: SparkSession, path: str, pattern: str, parse, schema: str, ar
                 yield _table(rows, arrow)
 
     bound_batches(spark)  # files of one scan task hold spark.sql.files.maxPartitionBytes together
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(run, schema)
 
 
@@ -168,7 +175,7 @@ _ARC_ARROW = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("vers
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives below ``path``, columns ``RECORD``."""
-    return _parsed(spark, path, "part-*", parse_arc, RECORD, _ARC_ARROW)
+    return _parsed(spark, path, parse_arc, RECORD, _ARC_ARROW)
 
 
 # --- converting -----------------------------------------------------------------------------
@@ -190,7 +197,7 @@ def http_fields(head: bytes) -> dict[str, str]:
 def warc_date(date14: str | None) -> str:
     """The 14 digits of an ARC date as an instant; digits that are missing count as the earliest."""
     digits = (date14 or "").strip()
-    digits = digits if digits.isdigit() else ""
+    digits = digits if re.fullmatch("[0-9]+", digits) else ""
     d = (digits + "19700101000000"[len(digits) :])[:14]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
@@ -226,7 +233,7 @@ def convert_arc(records: DataFrame, least_bytes: int = 100, key_header: str = "x
                 content = r["content"] or b""
                 head, payload = split_http(content)
                 key = http_fields(head).get(key_header, "")
-                out.append((r["archive"], r["offset"], r["url"], warc_type(r["url"], content), record_id(r["archive"], r["offset"]), warc_date(r["archive_date"]), r["content_type"], int(key) if key.lstrip("-").isdigit() else None, hashlib.sha256(payload).hexdigest(), len(payload), content))
+                out.append((r["archive"], r["offset"], r["url"], warc_type(r["url"], content), record_id(r["archive"], r["offset"]), warc_date(r["archive_date"]), r["content_type"], _number(key, signed=True), hashlib.sha256(payload).hexdigest(), len(payload), content))
             yield _table(out, schema)
 
     made = records.where("error IS NULL").mapInArrow(facts, _FACTS)
@@ -284,10 +291,10 @@ def parse_warc(data: bytes, archive: str = "") -> Iterator[tuple]:
             continue
         end = data.find(b"\r\n\r\n", at)
         fields = http_fields(data[at:end]) if end >= 0 and data[at : at + 5] == b"WARC/" else {}
-        if not fields.get("content-length", "").isdigit():
+        length = _number(fields.get("content-length", ""))
+        if length is None:
             yield (None, None, None, None, None, None, None, None, "bad_header")
             return
-        length = int(fields["content-length"])
         block = data[end + 4 : end + 4 + length]
         problem = None if len(block) == length else "truncated"
         kind = fields.get("warc-type")
@@ -304,7 +311,7 @@ _WARC_ARROW = pa.schema([(c, pa.string()) for c in ("warc_type", "record_id", "w
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    return _parsed(spark, path, "part-*", parse_warc, WARC, _WARC_ARROW)
+    return _parsed(spark, path, parse_warc, WARC, _WARC_ARROW)
 
 
 # --- pages ----------------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Corpus operators against plain versions, and on odd rows."""
 
 import collections
+import gzip
 import hashlib
 import math
 import re
@@ -139,6 +140,24 @@ def test_archives(spark, tmp_path):
     assert warc.archive_pages(spark, pages.where("false"), f"file://{tmp_path}/y").where("warc_type <> 'warcinfo'").count() == 0
 
 
+def test_broken_numbers_and_other_file_names(spark, tmp_path):
+    page = b"http://a 1.1.1.1 20240102030405 text/html %s\nabc\n"
+    for broken in ("\u00b2", "--5", "-5", "9" * 30, "", "3x"):
+        assert [r[11] for r in warc.parse_arc(page % broken.encode())] == ["bad_header"]
+        got = list(warc.parse_warc(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: " + broken.encode() + b"\r\n\r\nabc\r\n\r\n"))
+        assert [r[8] for r in got] == ["bad_header"]
+    (tmp_path / "one.arc").write_bytes(page % b"3")
+    (tmp_path / "two.arc.gz").write_bytes(gzip.compress(page % b"3"))
+    (tmp_path / "three.arc").write_bytes(page % "\u00b2".encode())
+    records = warc.read_arc(spark, str(tmp_path))
+    assert sorted(r.error or "good" for r in records.collect()) == ["bad_header", "good", "good"]
+    keyed = b"HTTP/1.1 200 OK\r\nX-Record-Key: %s\r\n\r\nabc"
+    rows = [("a", k, 1, "http://a", "1.1.1.1", "20240102030405", "text/html", None, None, None, keyed % key, None) for k, key in enumerate([b"--5", "\u00b2".encode(), b"-5", b"9223372036854775807"])]
+    values = [bytes(r.value) for r in warc.convert_arc(spark.createDataFrame(rows, warc.RECORD)).collect()]
+    # The outer header names the key only where it is a number.
+    assert sorted(v.split(b"\r\n\r\n")[0].split(b"X-Record-Key: ")[1:] != [] for v in values) == [False, False, True, True]
+
+
 def test_arc_header_lines():
     v2 = warc.version_block(2, "n", "20240101000000")
     body = b"\x00\xff line\nhttp://trap 1.1.1.1 2024 text/html 3\n"
