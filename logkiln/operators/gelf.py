@@ -48,6 +48,19 @@ _decoder = json.JSONDecoder(
 )
 
 
+def _encode_all(value) -> None:
+    """Raise where some key or text within a JSON value cannot be written as UTF-8."""
+    if isinstance(value, str):
+        value.encode()
+    elif isinstance(value, _Object):
+        for key, member in value:
+            key.encode()
+            _encode_all(member)
+    elif isinstance(value, list):
+        for member in value:
+            _encode_all(member)
+
+
 def _take_apart(body: bytes) -> tuple[dict[str, str], str | None, str | None]:
     """Texts of the known keys, what is wrong with the JSON, and the first value of a wrong type."""
     try:
@@ -60,8 +73,7 @@ def _take_apart(body: bytes) -> tuple[dict[str, str], str | None, str | None]:
             return {}, "bad_json", None
         if "\\u" in text:
             # Half of a surrogate pair is not a character.
-            for key, value in members:
-                key.encode(), isinstance(value, str) and value.encode()
+            _encode_all(members)
     except (ValueError, RecursionError):
         return {}, "bad_json", None
     values = dict(members)

@@ -21,7 +21,8 @@ FACILITIES = (
     "uucp", "cron", "authpriv", "ftp", "ntp", "audit", "alert", "clock",
 )
 DEFAULT_SEVERITY, DEFAULT_FACILITY = 5, "user"
-MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+# Month names of the short header stamp.
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 PARTS = ("priority", "facility", "source_timestamp", "hostname", "identifier", "pid", "message", "full_message")
 
@@ -61,7 +62,7 @@ def rfc3164_instant(stamp: Column, recv_ts: Column, zone: str = "UTC") -> Column
     def number(pos: int) -> Column:
         return F.trim(F.substring(stamp, pos, 2)).try_cast("int")
 
-    month = ((F.position(F.substring(stamp, 1, 3), F.lit(MONTHS)) + 2) / 3).cast("int")
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(stamp, 1, 3)).cast("int")
     parts = [wall_clock_year(recv_ts, zone), month, number(5), number(8), number(11), number(14).cast("decimal(16,6)")]
     wall = F.call_function("try_make_timestamp", *parts, F.lit("UTC"))
     if zone == "UTC":

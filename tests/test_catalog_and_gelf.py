@@ -109,6 +109,8 @@ def test_bodies_and_packets(spark):
         (good, None), (b" \n" + good + b"\n", None), (good + b" x", "bad_json"), (good + b"]", "bad_json"),
         (good + b"] " + good, "bad_json"), (good + good, "bad_json"), (b"[1]", "bad_json"), (b"{'version':'1'}", "bad_json"),
         (good[:-1] + b',"x":NaN}', "bad_json"), (good + b"\xff", "bad_utf8"), (good[:-1] + b',"x":"\\ud800"}', "bad_json"),
+        (good[:-1] + b',"_x":["\\ud800"]}', "bad_json"), (good[:-1] + b',"_x":{"y":[1,{"\\udc00":2}]}}', "bad_json"),
+        (good[:-1] + b',"_x":[{"y":"\\ud83d\\ude00"}]}', None),
         (good[:-1] + b',"_x":1,"_x":2}', None), (good[:-1] + b',"host":"again"}', "required:repeated"),
         (b'{"version":1,"host":"h","short_message":"m"}', "required:version"),
         (b'{"version":"1","host":"h"}', "required:short_message"),
