@@ -134,15 +134,20 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, alike: float = ALI
     return gone.unionByName(placed.join(recurring, "template").where(~same).select("key", "place")).distinct()
 
 
-def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, alike: float = ALIKE) -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text``, and ``n_dropped_lines``; n_chars follows if there is one."""
-    places = repeated_lines(docs, min_docs, alike).groupBy("key").agg(F.collect_set("place").alias("places")).withColumnRenamed("key", "_line_key")
-    joined = docs.withColumn("_row", _row_key()).join(places, F.col("_row") == F.col("_line_key"), "left")
+def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, alike: float = ALIKE, count: str | None = "n_dropped_lines") -> DataFrame:
+    """``docs`` with repeated lines taken out of ``text``; n_chars follows if there is one.
+
+    ``count`` names a column for the number of lines dropped, in place of one that ``docs`` has; without a name there is none.
+    """
+    places = repeated_lines(docs, min_docs, alike).groupBy("key").agg(F.collect_set("place").alias("places"))
+    # The columns of docs travel as one, so that their names meet no others.
+    joined = docs.select(F.struct("*").alias("document"), "text", _row_key().alias("key")).join(places, "key", "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("places", i))
     text = F.when(F.col("places").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size("places"), F.lit(0)))
     columns = []
     for c in docs.columns:
-        made = text if c == "text" else F.length(text).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(c)
-        columns.append(made.alias(c))
-    return joined.select(*columns, n.cast("bigint").alias("n_dropped_lines"))
+        made = text if c == "text" else F.length(text).cast(docs.schema[c].dataType) if c == "n_chars" else F.col("document")[c]
+        if c != count:
+            columns.append(made.alias(c))
+    return joined.select(*columns, *([n.cast("bigint").alias(count)] if count else []))

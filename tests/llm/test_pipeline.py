@@ -3,8 +3,10 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from logkiln.llm import neardup
+from logkiln.llm import neardup, templates
 
 
 def jaccard(a, b):
@@ -77,3 +79,30 @@ def test_survivor_is_chosen_by_component(spark):
     got = sorted((str(r.doc_id), str(r.text)) for r in corpus_pipeline.one_of_each_group(spark, docs, None).collect())
     assert got == sorted([("None", a), ("None", b), ("1", c), ("1", d), ("3", ""), ("5", "x y")])
     assert corpus_pipeline.one_of_each_group(spark, docs.where("false"), None).count() == 0
+
+
+#: Names that the stages and operators use for columns of their own.
+NAMES = "node _node head root places n_dropped_lines _row _line_key key score lang_pred bits_per_byte document _letter _bytes b link u v".split()
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:-1]], ids=[n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_columns_of_any_name_stay(spark, tmp_path, stage):
+    text = "the old house by the river stood empty\nuntil the spring came and the road was mended"
+    other = "la vieille maison au bord de la rivière était vide\nmais le printemps est revenu cette année"
+    rows = [(i, f"{t} {i * 'x'}", l, "s", len(t)) for i, (t, l) in enumerate([(text, "en"), (other, "fr")] * 20)] + [(None, None, None, None, None), (90, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame([(1, "what is the height of the tower in the middle of the old town")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = stage(spark, docs, str(tmp_path))
+    more = docs.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id"), F.lit(-1))).alias(c) for c in NAMES])
+    got = stage(spark, more, str(tmp_path))
+    assert got.columns == more.columns
+    key = lambda r: (str(r.doc_id), str(r.text))
+    assert sorted(map(key, got.collect())) == sorted(map(key, plain.collect()))
+    assert all(r[c] == f"{c} {-1 if r.doc_id is None else r.doc_id}" for r in got.collect() for c in NAMES)
+    assert stage(spark, more.where("false"), str(tmp_path)).count() == 0
+
+
+def test_count_of_dropped_lines_takes_the_place_of_another(spark):
+    docs = spark.createDataFrame([(1, "a shared line of words\nx", "own"), (2, "a shared line of words\ny", "own")], "doc_id bigint, text string, n_dropped_lines string")
+    got = {r.doc_id: (r.text, r.n_dropped_lines) for r in templates.drop_repeated_lines(docs).collect()}
+    assert got == {1: ("a shared line of words\nx", 0), 2: ("y", 1)}
