@@ -24,7 +24,7 @@ from logkiln.functions import text as P
 from logkiln.operators import search as S
 from logkiln.operators.chunks import expired_chunks, reassemble_chunks
 from logkiln.operators.enrich import merge_logs, resolve_hostnames
-from logkiln.operators.gelf import decode_gelf_json, gelf_messages
+from logkiln.operators.gelf import decode_gelf_json, decode_gelf_packets, gelf_messages
 from logkiln.operators.normalize import normalize_gelf, normalize_syslog, valid_logs
 from logkiln.operators.packets import classify_packets, inflate
 from logkiln.operators.syslog import parse_syslog_table
@@ -82,7 +82,7 @@ def classify(spark, d):
 
 def _normalized(df: DataFrame) -> DataFrame:
     """Records that are not refused for their text or the form of their values."""
-    bodies = decode_gelf_json(inflate(classify_packets(df)))
+    bodies = decode_gelf_packets(classify_packets(df))
     return normalize_gelf(bodies.where(F.col("json_reason").isNull())).where(F.col("convert_reason").isNull())
 
 
@@ -93,6 +93,13 @@ def gelf_normalize(spark, d):
     )
 
 
+def gelf_all_columns(spark, d):
+    """All 62 columns, each from the first key that is there."""
+    bodies = decode_gelf_packets(classify_packets(X.gelf_full(spark, d)))
+    columns = [_us(f.name) if f.storage in C.TIME_STORAGE else F.col(f.name).cast("bigint").alias(f.name) if f.name == "cap_effective" else F.col(f.name) for f in C.FIELDS]
+    return normalize_gelf(bodies, ("event_id", "recv_ts", "json_reason")).select("event_id", "json_reason", "convert_reason", *columns)
+
+
 def gelf_general_form(spark, d):
     bodies = decode_gelf_json(inflate(classify_packets(X.gelf_from_events(spark, d))))
     m = F.col("message")
@@ -115,7 +122,7 @@ def gelf_inflate_errors(spark, d):
 def gelf_chunks(spark, d):
     groups = reassemble_chunks(chunk_rows(classify_packets(X.gelf_chunks(spark, d))))
     whole = groups.where(F.col("status") == "complete").withColumn("doc_id", _chunk_number())
-    messages = decode_gelf_json(inflate(classify_packets(whole)))
+    messages = decode_gelf_packets(classify_packets(whole))
     return normalize_gelf(messages, ("doc_id", "size", "src_ip", "recv_ts")).select(
         "doc_id", F.col("size").cast("bigint").alias("size"), "src_ip", "hostname", _us(), _us("recv_ts"),
         F.md5("full_message").alias("text_md5"),
@@ -171,7 +178,7 @@ def gelf_reject_reasons(spark, d):
 
 
 def valid_logs_query(spark, d):
-    bodies = decode_gelf_json(inflate(classify_packets(X.gelf_bad(spark, d))))
+    bodies = decode_gelf_packets(classify_packets(X.gelf_bad(spark, d)))
     good = bodies.where(F.col("json_reason").isNull())
     return valid_logs(normalize_gelf(good).where(F.col("convert_reason").isNull())).select(_us(), "hostname", "message", "pid")
 
@@ -376,6 +383,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "syslog_quirks": syslog_quirks,
         "classify_packets": classify,
         "gelf_normalize": gelf_normalize,
+        "gelf_all_columns": gelf_all_columns,
         "gelf_general_form": gelf_general_form,
         "gelf_inflate": gelf_inflate,
         "gelf_inflate_errors": gelf_inflate_errors,
@@ -456,6 +464,25 @@ _GELF_US = (
     "CAST(trunc(CAST((epoch_us(ts) // 1000000) || '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0')"
     " AS DOUBLE) * 1000000) AS BIGINT)"
 )
+def _full_column(at: int, field: C.Field) -> str:
+    """What ``gelf_full`` puts into a column: the value of the key that wins by ``event_id % 3``."""
+    keys, last = field.gelf, len(field.gelf) - 1
+    always = keys[0].key in C.REQUIRED_GELF_KEYS
+    turn = "0" if always or not last else f"(CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE {last} END)"
+    if field.name == C.TIME_FIELD:
+        return f"CASE WHEN event_id % 3 = 0 THEN {_GELF_US} ELSE epoch_us(ts) + {turn} END AS {field.name}_us"
+    if keys[0].conversion == "syslog_timestamp":
+        return f"(epoch_us(ts) // 1000000) * 1000000 AS {field.name}_us"
+    if field.storage in C.TIME_STORAGE:
+        return f"epoch_us(ts) + {turn} AS {field.name}_us"
+    if keys[0].conversion == "hex_to_uint":
+        return f"CAST(event_id * 10 + {turn} AS BIGINT) AS {field.name}"
+    if field.storage in (C.STRING, C.TEXT):
+        return f"'{field.name}.' || {turn} || ' ' || event_id AS {field.name}"
+    sign = "-" if field.storage == C.I64 else ""
+    return f"CAST({sign}(event_id * 1000 + {at * 10} + {turn}) AS BIGINT) AS {field.name}"
+
+
 _GELF_LOGS = f"""
 SELECT event_id, {_GELF_US} AS source_timestamp_us, 'h' || (user_id % 5) AS hostname, event_type AS message,
   CAST(event_id % 8 AS BIGINT) AS priority, event_id AS pid, event_id AS cap_effective,
@@ -575,6 +602,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM kinds GROUP BY kind""",
         "gelf_normalize": f"SELECT source_timestamp_us, hostname, message, priority, pid, cap_effective, systemd_unit, CAST(NULL AS VARCHAR) AS full_message, CAST(NULL AS VARCHAR) AS convert_reason FROM ({_GELF_LOGS})",
         "gelf_general_form": "SELECT event_id, '1.1' AS version, 'h' || (user_id % 5) AS host, event_type AS short_message, CAST(6 AS BIGINT) AS n_other, event_id AS x FROM events",
+        "gelf_all_columns": "SELECT event_id, CAST(NULL AS VARCHAR) AS json_reason, CAST(NULL AS VARCHAR) AS convert_reason, "
+        + ", ".join(_full_column(i, f) for i, f in enumerate(C.FIELDS)) + " FROM events",
         "gelf_inflate": f"SELECT doc_id AS pid, lang AS hostname, md5(text) AS text_md5, length(text) AS n FROM documents WHERE NOT {_CUT}",
         "gelf_inflate_errors": f"SELECT doc_id, ['bad_gzip','bad_zlib'][doc_id % 3 + 1] AS reason FROM documents WHERE {_CUT}",
         "gelf_chunks": f"""

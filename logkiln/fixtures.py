@@ -157,6 +157,42 @@ def gelf_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", *_datagram("gelf", _source(), _bytes(_gelf_json())))
 
 
+def gelf_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that fill all 62 columns, by ``event_id % 3`` from all keys, from all but each column's first, or from its last alone.
+
+    A value tells its column and its key. Required keys are always there. Numbers are JSON numbers or texts by turns; the stamp
+    of a syslog line has one of three forms, by ``event_id div 3 % 3``.
+    """
+    us = "unix_micros(ts)"
+    stamp = (
+        "CASE event_id div 3 % 3 WHEN 0 THEN date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") "
+        "WHEN 1 THEN date_format(ts, 'd MMM yyyy HH:mm:ss') || ' +0000' ELSE date_format(ts, 'MMM d HH:mm:ss') END"
+    )
+    members = ["""'"version":"1.1"'"""]
+    for at, field in enumerate(C.FIELDS):
+        for turn, source in enumerate(field.gelf):
+            if source.conversion == "float_sec_to_usec":
+                value = _SECONDS
+            elif source.conversion == "hex_to_uint":
+                value = _quoted(f"lower(hex(event_id * 10 + {turn}))")
+            elif source.conversion == "syslog_timestamp":
+                value = _quoted(stamp)
+            elif field.storage in (C.STRING, C.TEXT):
+                value = _quoted(f"'{field.name}.{turn} ' || event_id")
+            else:
+                number = f"({us} + {turn})" if field.storage in C.TIME_STORAGE else f"(event_id * 1000 + {at * 10 + turn})"
+                number = f"(0 - {number})" if field.storage == C.I64 else number
+                value = f"if(event_id % 2 = 0, CAST({number} AS string), {_quoted(number)})"
+            member = f"""'"{source.key}":' || {value}"""
+            last = turn + 1 == len(field.gelf)
+            absent = [str(k) for k, gone in ((1, turn == 0 and not last), (2, not last)) if gone]
+            if absent and source.key not in C.REQUIRED_GELF_KEYS:
+                member = f"if(event_id % 3 IN ({', '.join(absent)}), null, {member})"
+            members.append(member)
+    payload = _bytes(F.expr("'{' || concat_ws(',', " + ", ".join(members) + ") || '}'"))
+    return events(spark, sf_dir).select("event_id", *_datagram("gelf", _source(), payload))
+
+
 #: What is wrong with each twelfth of ``gelf_bad``, by ``event_id % 12``, as stage and reason.
 BAD_REASONS = (
     ("json", "required:host"),

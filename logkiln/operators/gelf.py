@@ -11,12 +11,14 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logkiln import catalog as C
 from logkiln.functions.columns import settle
+from logkiln.operators.packets import MAX_BODY, map_bodies
 
 _KEYS = C.gelf_keys()
 _SOURCES = {s.key: (f, s) for f in C.FIELDS for s in f.gelf}
@@ -100,11 +102,11 @@ def _take_apart(body: bytes) -> tuple[dict[str, str], str | None, str | None]:
     return texts, None, wrong
 
 
-@F.arrow_udf(_RESULT)
-def _take_apart_batch(bodies: pa.Array) -> pa.Array:
+def _columns_of(bodies: list[bytes | None]) -> dict[str, pa.Array]:
+    """The texts of each known key and the two reasons, a row for each body; a missing body has nulls only."""
     n = len(bodies)
     columns: dict[str, list] = {}
-    for i, body in enumerate(bodies.to_pylist()):
+    for i, body in enumerate(bodies):
         if body is None:
             continue
         texts, json_reason, type_reason = _take_apart(body)
@@ -117,8 +119,38 @@ def _take_apart_batch(bodies: pa.Array) -> pa.Array:
                 columns[key] = [None] * n
             columns[key][i] = text
     absent = pa.nulls(n, pa.string())
-    arrays = [pa.array(columns[f.name], pa.string()) if f.name in columns else absent for f in _RESULT]
-    return pa.StructArray.from_arrays(arrays, names=_RESULT.fieldNames())
+    return {name: pa.array(columns[name], pa.string()) if name in columns else absent for name in _RESULT.names}
+
+
+@F.arrow_udf(_RESULT)
+def _take_apart_batch(bodies: pa.Array) -> pa.Array:
+    made = _columns_of(bodies.to_pylist())
+    return pa.StructArray.from_arrays(list(made.values()), names=list(made))
+
+
+_DECODED = T.StructType(
+    [
+        T.StructField("inflate_reason", T.StringType()),
+        T.StructField("gelf", T.StructType([T.StructField(k, T.StringType()) for k in _KEYS])),
+        T.StructField("json_reason", T.StringType()),
+        T.StructField("type_reason", T.StringType()),
+    ]
+)
+
+
+def decode_gelf_packets(df: DataFrame, payload: str = "payload", max_bytes: int = MAX_BODY) -> DataFrame:
+    """Classified packets, opened and taken apart in one step: what ``inflate`` and ``decode_gelf_json`` add, but for ``body``.
+
+    Bodies never leave the Python worker; batches are bounded by the bytes of the bodies in them, and a body of more than ``max_bytes`` is
+    refused with the ``inflate_reason`` ``too_large``.
+    """
+    def columns(bodies: list, reasons: list) -> list[pa.Array]:
+        made = _columns_of(bodies)
+        gelf = pa.StructArray.from_arrays([made[k] for k in _KEYS], names=list(_KEYS))
+        no_body = pa.array(["no_body" if b is None else None for b in bodies], pa.string())
+        return [pa.array(reasons, pa.string()), gelf, pc.coalesce(made["json_reason"], no_body), made["type_reason"]]
+
+    return map_bodies(df, _DECODED, columns, payload, max_bytes)
 
 
 def decode_gelf_json(df: DataFrame, body: str = "body") -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,8 @@ CHUNK_MAGIC = bytes([0x1E, 0x0F])
 GZIP_MAGIC = bytes([0x1F, 0x8B])
 ZLIB_MAGICS = [bytes([0x78, b]) for b in (0x01, 0x5E, 0x9C, 0xDA, 0x20, 0x7D, 0xBB, 0xF9)]
 HEADER_BYTES = 12
+#: The longest body that is taken, in bytes, and bytes of bodies after which a batch of them goes on.
+MAX_BODY, BATCH_BYTES = 64 << 20, 16 << 20
 
 
 def _byte(payload: Column, pos: int) -> Column:
@@ -51,35 +54,58 @@ def classify_packets(df: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
-def _inflate_one(data: bytes | None) -> bytes | None:
-    if data is None:
-        return None
+def open_body(kind: str, data: bytes | None, max_bytes: int = MAX_BODY) -> tuple[bytes | None, str | None]:
+    """The body of one packet, or why it has none; errors and chunks have neither.
+
+    A truncated or corrupt stream gives no body; what follows the first member is ignored. Decompression stops as soon as
+    a body is longer than ``max_bytes``, which is refused as ``too_large``, whatever follows.
+    """
+    if kind == PLAIN:
+        return data, None
+    if kind not in (GZIP, ZLIB) or data is None:
+        return None, None
     # 31: gzip wrapper, first member only; 15: zlib wrapper. Both check their checksum.
-    stream = zlib.decompressobj(31 if data[:2] == GZIP_MAGIC else 15)
+    stream = zlib.decompressobj(31 if kind == GZIP else 15)
     try:
-        out = stream.decompress(data)
+        # One byte more than allowed tells a body of just that size from a longer one.
+        out = stream.decompress(data, max_bytes + 1)
     except zlib.error:
-        return None
-    return out if stream.eof else None
+        return None, f"bad_{kind}"
+    if len(out) > max_bytes:
+        return None, "too_large"
+    return (out, None) if stream.eof else (None, f"bad_{kind}")
 
 
-@F.pandas_udf(T.BinaryType())
-def inflate_bytes(data: pd.Series) -> pd.Series:
-    return data.map(_inflate_one, na_action="ignore")
+def map_bodies(df: DataFrame, made: T.StructType, columns, payload: str, max_bytes: int) -> DataFrame:
+    """``df`` and the columns ``made``, which ``columns`` (lists of bodies and reasons to arrays) makes of the opened packets.
 
+    One step in Arrow batches; a batch goes out as soon as its bodies have ``BATCH_BYTES`` bytes, so a task holds one such
+    batch and one body more.
+    """
+    kept = [c for c in df.columns if c not in made.names]
+    at, kind_at = kept.index(payload), kept.index("kind")
 
-def inflate(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Add ``body``: the payload, decompressed where ``kind`` says so, and ``inflate_reason``.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done, size, bodies, reasons = 0, 0, [], []
+            for i, kind in enumerate(b.column(kind_at).to_pylist()):
+                body, reason = open_body(kind, b.column(at)[i].as_py(), max_bytes)
+                bodies.append(body), reasons.append(reason)
+                size += len(body or b"")
+                if size >= BATCH_BYTES or i + 1 == b.num_rows:
+                    part = b.slice(done, i + 1 - done)
+                    yield pa.RecordBatch.from_arrays([*part.columns, *columns(bodies, reasons)], [*kept, *made.names])
+                    done, size, bodies, reasons = i + 1, 0, [], []
 
-    Plain rows reach the Python worker as nulls only, so their bytes never leave the JVM. A
-    truncated or corrupt stream gives no body; what follows the first member is ignored.
-    """
-    packed = F.col("kind").isin(GZIP, ZLIB)
-    # Marked as not repeatable so that no filter or projection above runs it a second time.
-    opened = df.withColumn("_opened", inflate_bytes.asNondeterministic()(F.when(packed, F.col(payload))))
-    return opened.withColumns(
-        {
-            "body": F.when(packed, F.col("_opened")).when(F.col("kind") == PLAIN, F.col(payload)),
-            "inflate_reason": F.when(packed & F.col("_opened").isNull(), F.concat(F.lit("bad_"), F.col("kind"))),
-        }
-    ).drop("_opened")
+    return df.select(*kept).mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], *made]))
+
+
+_OPENED = T.StructType([T.StructField("body", T.BinaryType()), T.StructField("inflate_reason", T.StringType())])
+
+
+def inflate(df: DataFrame, payload: str = "payload", max_bytes: int = MAX_BODY) -> DataFrame:
+    """Add ``body``, the payload, decompressed where ``kind`` says so, and ``inflate_reason``, as ``open_body`` has them."""
+    def columns(bodies: list, reasons: list) -> list[pa.Array]:
+        return [pa.array(bodies, pa.binary()), pa.array(reasons, pa.string())]
+
+    return map_bodies(df, _OPENED, columns, payload, max_bytes)

@@ -11,9 +11,9 @@ from logkiln import catalog as C
 from logkiln.functions.columns import settle
 from logkiln.operators import chunks as K
 from logkiln.operators.enrich import HostTable, merge_logs, resolve_hostnames
-from logkiln.operators.gelf import decode_gelf_json
+from logkiln.operators.gelf import decode_gelf_packets
 from logkiln.operators.normalize import invalid_reason, normalize_gelf, normalize_syslog
-from logkiln.operators.packets import CHUNK, classify_packets, inflate
+from logkiln.operators.packets import CHUNK, classify_packets
 from logkiln.operators.search import event_date
 from logkiln.operators.syslog import parse_syslog_table
 from logkiln.sources.ingest_table import commit_run
@@ -105,7 +105,7 @@ _KEEP = ("src_ip", "recv_ts", "payload")
 
 def decode_gelf(packets: DataFrame) -> DataFrame:
     """GELF packets to log columns with ``stage`` and ``reason``."""
-    bodies = decode_gelf_json(inflate(classify_packets(packets)))
+    bodies = decode_gelf_packets(classify_packets(packets))
     nested = F.when(F.col("kind") == CHUNK, "nested_chunk")
     packet_reason = F.coalesce("packet_reason", nested)
     checks = {

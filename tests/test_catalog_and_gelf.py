@@ -3,14 +3,17 @@ from datetime import datetime
 
 import gzip
 import json
+import tracemalloc
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from logkiln import catalog as C
-from logkiln.operators.gelf import decode_gelf_json
+from logkiln.operators import packets
+from logkiln.operators.gelf import decode_gelf_json, decode_gelf_packets
 from logkiln.operators.normalize import normalize_gelf
 from logkiln.operators.packets import classify_packets, inflate
 
@@ -135,3 +138,63 @@ def test_numbers_with_a_line_end_or_too_many_digits_are_refused(spark):
     data = spark.createDataFrame([("gelf", "1.1.1.1", 1, now, bytearray(body(f))) for f in fields], C.DATAGRAM)
     got = sorted(str(r.reason).rsplit(":", 1)[-1] for r in decode_datagrams(data).collect())
     assert got == ["None", "not_hex", "not_hex", "not_u64"]
+
+
+def test_one_step_decodes_like_two(spark, monkeypatch):
+    good = gelf(_PID=12, _UID="7", level=[1]).encode()
+    bodies = [good, gzip.compress(good), zlib.compress(good), zlib.compress(good)[:-1], b"", b"{", b"\x1e\x0f123456789", b"\x1e\x0f" + bytes(12), b"\x78\x9cno", b"{]"]
+    data = classify_packets(rows(spark, bodies * 30)).coalesce(1)
+    names = ["src_port", "kind", "packet_reason", "inflate_reason", "json_reason", "type_reason", "gelf.host", "gelf._PID", "gelf._UID", "payload"]
+    one, two = (sorted(map(str, x.select(*names).collect())) for x in (decode_gelf_packets(data), decode_gelf_json(inflate(data))))
+    assert one == two
+    assert decode_gelf_packets(data.where("false")).count() == 0
+
+
+def test_one_python_step_in_the_plan(spark):
+    out = normalize_gelf(decode_gelf_packets(classify_packets(rows(spark, [b"{}"]))).where("json_reason is null"))
+    plan = out.where("convert_reason is null")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+
+
+def test_bodies_that_grow_are_bounded():
+    """A thousandfold body passes within the limit; beyond it none is held whole, and batches go out by bytes."""
+    body = b"a" * (1 << 20)
+    assert len(zlib.compress(body)) * 900 < len(body)
+    assert packets.open_body("zlib", zlib.compress(body), 1 << 20) == (body, None)
+    assert packets.open_body("zlib", zlib.compress(body), (1 << 20) - 1) == (None, "too_large")
+    assert packets.open_body("gzip", gzip.compress(body)[:-1], 1 << 20) == (None, "bad_gzip")
+    assert packets.open_body("gzip", gzip.compress(b""), 0) == (b"", None)
+    huge = zlib.compress(b"a" * (300 << 20))
+    tracemalloc.start()
+    assert packets.open_body("zlib", huge) == (None, "too_large")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * packets.MAX_BODY
+
+
+def test_batches_go_out_by_bytes(spark):
+    body = json.dumps({"version": "1.1", "host": "h", "short_message": "m", "full_message": "a" * (1 << 20)}).encode()
+    data = classify_packets(rows(spark, [zlib.compress(body)] * 100)).coalesce(1)
+    assert decode_gelf_packets(data).where(F.length("gelf.full_message") == 1 << 20).count() == 100
+    refused = decode_gelf_packets(data, max_bytes=1 << 20).groupBy("inflate_reason", "json_reason").count().collect()
+    assert [tuple(r) for r in refused] == [("too_large", "no_body", 100)]
+    made = []
+
+    def columns(bodies, reasons):
+        made.append(sum(map(len, bodies)))
+        return []
+
+    class Frame:
+        columns, schema = ["payload", "kind"], data.select("payload", "kind").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_pydict({"payload": [zlib.compress(body)] * 100, "kind": ["zlib"] * 100})
+            return [b.num_rows for b in run(iter([batch]))]
+
+    from pyspark.sql import types as T
+
+    assert sum(packets.map_bodies(Frame(), T.StructType([]), columns, "payload", packets.MAX_BODY)) == 100
+    assert len(made) > 5 and max(made) <= packets.BATCH_BYTES + len(body)
