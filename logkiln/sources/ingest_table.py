@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from logkiln import catalog as C
 from logkiln.operators.search import MAX_HITS, newest_by_day
-from logkiln.sources.log_table import LOG, QUARANTINE, first_kept_day, laid_out, table_retention
+from logkiln.sources.log_table import LOG, QUARANTINE, bloom_filters, first_kept_day, laid_out, table_retention
 
 #: Columns beside those of a record: what a refused row is known by, and the run that wrote a row.
 _MORE = {"src_ip": "string", "recv_ts": "timestamp", "payload": "binary", "stage": "string", "reason": "string", "run": "string"}
@@ -37,8 +37,9 @@ def ensure_ingest_table(spark: SparkSession, name: str, location: str | None = N
     columns = ", ".join([f"`{f.name}` {f.spark_type.simpleString()}" for f in C.FIELDS] + [f"{n} {t}" for n, t in _MORE.items()])
     where = f" LOCATION '{location}'" if location else ""
     fields = ",".join(C.DEFAULT_SEARCH_FIELDS)
+    blooms = ", ".join(f"'{k}'='{v}'" for k, v in bloom_filters().items())
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} ({columns}, outcome string, `{C.DATE_FIELD}` date) USING parquet "
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}, outcome string, `{C.DATE_FIELD}` date) USING parquet OPTIONS ({blooms}) "
         f"PARTITIONED BY (outcome, {C.DATE_FIELD}){where} TBLPROPERTIES ("
         f"'log.retention.days'='{int(retention_days)}', 'log.default.search.fields'='{fields}', 'log.timestamp.field'='{C.TIME_FIELD}')"
     )
@@ -186,7 +187,7 @@ def compact_day(spark: SparkSession, name: str, outcome: str, day: str, file_byt
     # One span of time a file, so that a search passes over most files of a day by their bounds.
     dealt = rows.coalesce(1) if wanted == 1 else rows.repartitionByRange(wanted, time)
     packed = f"{_described(spark, name)}/_packed/{uuid.uuid4().hex}/outcome={outcome}/{C.DATE_FIELD}={day}"
-    dealt.sortWithinPartitions(time).write.parquet(packed)
+    dealt.sortWithinPartitions(time).write.options(**bloom_filters()).parquet(packed)
     spark.sql(f"ALTER TABLE {name} {_spec(outcome, day)} SET LOCATION '{packed}'")
     spark.catalog.refreshTable(name)
     late = [f for f in _sizes(spark, folder) if f not in before]

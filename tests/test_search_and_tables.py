@@ -171,3 +171,44 @@ def test_page_of_a_search_reads_records_once(spark):
     S.search_table(S.search(logs(spark, rows), test(F.col("message")))).collect()
     assert seen.value == 60
     assert S.search_page(logs(spark, rows).where("false")).columns == []
+
+
+def rows_scanned(df):
+    """Rows that the scan of a plan gave, after it ran."""
+    df._jdf.collectToPython()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_row_groups_without_a_string_are_skipped(spark, tmp_path):
+    """Bloom filters pass over row groups whose bounds hold the wanted string, and over no row that has it."""
+    from logkiln.sources import ingest_table as T
+
+    at = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id"))
+    made = {"source_timestamp": at, "hostname": F.lit("h"), "message": F.lit("m"), "message_id": F.md5(F.col("id").cast("string"))}
+    data = spark.range(0, 200_000, 1, 4).select(*[made.get(f.name, F.lit(None)).cast(f.spark_type).alias(f.name) for f in C.FIELDS])
+    wanted = P.field_eq("message_id", "a87ff679a2f3e71d9181a67b7542122c")  # of 4
+    test_settings = {"spark.sql.adaptive.enabled": "false", "parquet.enable.dictionary": "false"}
+    before = {k: spark.conf.get(k, None) for k in test_settings}
+    for k, v in test_settings.items():
+        spark.conf.set(k, v)
+    try:
+        for i in range(4):
+            L.write_logs(data.where(f"unix_micros(source_timestamp) % 4 = {i}"), f"{tmp_path}/logs")
+        hits = L.read_logs(spark, f"{tmp_path}/logs").where(wanted)
+        assert hits.count() == 1
+        assert 0 < rows_scanned(hits) < 200_000
+        T.ensure_ingest_table(spark, "bloomed", f"{tmp_path}/table")
+        try:
+            more = [F.lit(None).cast(t).alias(n) for n, t in T._MORE.items()]
+            for i in range(4):
+                part = data.where(f"unix_micros(source_timestamp) % 4 = {i}")
+                part.select("*", *more, F.lit(L.LOG).alias("outcome"), F.to_date("source_timestamp").alias(C.DATE_FIELD)).coalesce(1).write.insertInto("bloomed")
+            hits = T.records(spark, "bloomed").where(wanted)
+            assert hits.count() == 1 and 0 < rows_scanned(hits) <= 50_000
+        finally:
+            spark.sql("DROP TABLE bloomed")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
