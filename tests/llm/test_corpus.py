@@ -309,6 +309,11 @@ def test_language(spark, docs, none):
     odd = {r.doc_id: r for r in language.predict(docs, model).collect()}
     assert all(odd[i].lang_pred == "und" and odd[i].score == 0 for i in (7, 8, 9)) and 0 <= odd[1].score <= 1
     assert language.predict(docs, language.learn(none)).where("lang_pred <> 'und'").count() == 0
+    small = spark.createDataFrame([(200, "òtra lenga pichona amb quauques mots", "cc"), (201, "", "dd"), (202, None, "ee")], table.schema)
+    model = language.learn(table.where("doc_id % 2 = 0").unionByName(small))
+    assert model.languages == ("aa", "bb", "cc")
+    more = spark.createDataFrame([(300, "quauques mots pichona lenga", "cc")], table.schema).unionByName(table.where("doc_id % 2 = 1"))
+    assert language.predict(more, model, keep=("lang",)).where("lang <> lang_pred").count() == 0
 
 
 # --- 7 ---------------------------------------------------------------------------------------
