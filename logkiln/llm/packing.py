@@ -20,72 +20,128 @@ are documents of their own; an empty table gives no pieces; extra columns are ig
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from fractions import Fraction
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logkiln.llm.alignment import byte_letters
 from logkiln.llm.common import bound_batches, utf8
 from logkiln.staging import stage
 
 LENGTH, END = 2048, 1
-#: Words that a worker remembers the ids of, and their longest.
-_CACHE, _WORD = 600_000, 64
-_TAIL, _ODD = ".,;:!?", re.compile("[\x1c-\x1f]")
+#: Words that a worker remembers the ids of from batch to batch.
+_CACHE = 600_000
+#: New words that are encoded at once, and words whose ids are put in place at once.
+_TOGETHER = 1 << 16
+#: Rounds whose tokens are counted at once.
+_ROUNDS = 1 << 14
+#: White space to Python alone.
+_ODD = re.compile("[\x1c-\x1f]")
+#: The pattern by which the default tokenizer cuts words into units; a fixed value.
+_UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same on lower-cased Latin-1, in the classes that it names; a line feed is a unit too.
+_LETTERS, _NUMBERS = (re.escape("".join(c for c in map(chr, range(256)) if unicodedata.category(c)[0] == x)) for x in "LN")
+_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+|\n").findall
 _PIECES = "doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string"
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable ones themselves, others from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 class WordTokens(dict):
     """Ids of texts as little-endian 16 or 32-bit bytes; a word is encoded when it is first met and remembered.
 
-    Right for tokenizers that lower-case, split at white space and drop it, part letters from punctuation,
-    and have a byte-level vocabulary, as the default one does. A word of Latin letters is one unit of the merges
-    and goes to them directly; any other goes through the whole tokenizer.
+    For tokenizers that lower-case, drop white space, cut words by ``_UNITS`` and close each unit with ``</w>``, as the
+    default one does, texts are split at ASCII white space, words in Latin-1 are cut here, and all new words of a batch go to the merges together. A blank
+    stands for ``</w>`` there: it joins the letter before it ahead of all other merges. Other words, and those with an added
+    token in them, go through the file's own tokenizer; so does every text if the file describes anything else.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.merges, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.added = tuple(t["content"] for t in file.get("added_tokens", ()))
+        self.merges, self.feed = self._merges(file)
+
+    @staticmethod
+    def _merges(file: dict):
+        """The merges, and the id of a line feed that is a unit; nothing if the file is of another kind."""
+        model, before = file["model"], (file.get("pre_tokenizer") or {}).get("pretokenizers", ())
+        steps = [n.get("type") for n in (file.get("normalizer") or {}).get("normalizers", ())]
+        usual = steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in before] == ["Split", "ByteLevel"]
+        usual = usual and before[0]["pattern"] == {"Regex": _UNITS} and before[0]["invert"] and before[0]["behavior"] == "Removed"
+        usual = usual and not before[1]["add_prefix_space"] and not before[1]["use_regex"] and model.get("end_of_word_suffix") == "</w>"
+        if not usual or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
+            return None, None
+        if any(t["lstrip"] or t["rstrip"] or t["content"].split() != [t["content"]] for t in file.get("added_tokens", ())):
+            return None, None  # words cannot be told apart from their neighbours
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        if any(model["vocab"].get(a + b) != 512 + k for k, (a, b) in enumerate(merges)):
+            return None, None  # ids are not the order of the merges
+        import tiktoken
+
+        letters, ranks = byte_letters(), {}
+        for token, i in model["vocab"].items():
+            if i < 512 + len(merges):
+                whole = token.removesuffix("</w>")
+                ranks[bytes(letters[c] for c in whole) + b" " * (whole != token)] = i
+        if sorted(ranks.values()) != list(range(512 + len(merges))) or any(len(x) != 1 + (i > 255) for x, i in ranks.items() if i < 512):
+            return None, None
+        return tiktoken.Encoding("file", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={}).encode_ordinary, ranks[b"\n "]
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(_TAIL)
-        if len(core) < len(word) and core and core[-1].isalpha():
-            out = self[core] + self[word[len(core) :]]
-        elif word.isalpha() and max(word) < "\u0100":
-            letters = word.lower().encode().decode("latin-1").translate(self.letters)
-            out = np.array([t.id for t in self.merges(letters)], self.kind).tobytes()
-        else:
-            out = self.encode(word)
-        if len(word) <= _WORD:
-            self[word] = out
-        return out
+    def _usual(self, text: str) -> bool:
+        return max(text, default="") < "\u0100" and not _ODD.search(text) and not any(a in text for a in self.added)
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new words."""
+        if not self._usual("\n".join(["", *words, ""])):
+            self.update((w, self.encode(w)) for w in words if not self._usual(w))
+            words = [w for w in words if self._usual(w)]
+        # Words end in line feeds, each a unit by itself.
+        units = _CUT("\n".join([*words, ""]).lower())
+        ids = np.array(self.merges(" ".join([*units, ""])), self.kind)
+        ends = np.flatnonzero(ids == self.feed)
+        data, z = ids.tobytes(), self.kind.itemsize
+        starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+        self.update(zip(words, [data[i:k] for i, k in zip((starts * z).tolist(), (ends * z).tolist())]))
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        if self.merges is None:
+            return [self.encode(t) for t in texts]
+        listed = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded, edges = listed.flatten().dictionary_encode(), listed.offsets.to_numpy()
+        words, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
+        new = list(filterfalse(self.__contains__, words))
+        for i in range(0, len(new), _TOGETHER):
+            self.learn(new[i : i + _TOGETHER])
+        own = list(map(self.__getitem__, words))
+        size = np.fromiter(map(len, own), np.int64, len(own)) // self.kind.itemsize
+        ids, start, out = np.frombuffer(b"".join(own), self.kind), np.cumsum(size) - size, []
+        for i in range(0, len(which), _TOGETHER):
+            w = which[i : i + _TOGETHER]
+            n = size[w]
+            out.append(ids[np.arange(n.sum()) + np.repeat(start[w] - np.cumsum(n) + n, n)])
+        ends = np.concatenate([[0], np.cumsum(size[which])])[edges].tolist()
+        out = np.concatenate([*out, ids[:0]])
         if len(self) > _CACHE:
             self.clear()
-        get = self.__getitem__
-        # White space to Python alone: such a text is encoded whole.
-        return [self.encode(t) if _ODD.search(t) else b"".join(map(get, t.split())) for t in texts]
+        return [out[i:k].tobytes() for i, k in zip(ends, ends[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -139,16 +195,19 @@ def phases(totals: dict, weights: dict | None = None, length: int = LENGTH) -> l
     return out
 
 
-def _floor(w: np.ndarray, length: int, share: Fraction) -> np.ndarray:
-    """floor(w x length x share), exact beyond 64 bits where need be."""
+def _floor(w0: int, n: int, length: int, share: Fraction) -> np.ndarray:
+    """floor(w x length x share) for w0 <= w < w0 + n, exact: big numbers for w0, the rest in 64 bits."""
     a, b = share.numerator * length, share.denominator
-    if max(int(w.max()) * a, b) < 1 << 62:
-        return w * a // b
-    return np.array([int(x) * a // b for x in w], np.int64)
+    base, rest = divmod(w0 * a, b)
+    step, a = divmod(a, b)
+    w = np.arange(n, dtype=np.int64)
+    if rest + n * a < 1 << 63:
+        return base + w * step + (rest + w * a) // b
+    return base + w * step + np.array([(rest + x * a) // b for x in range(n)], np.int64)
 
 
-def place(source, at: int, n: int, plan: list[Phase], length: int = LENGTH) -> list[tuple[int, int, int]]:
-    """Runs (start, count, stream place) of the n tokens from place ``at`` of a source's queue."""
+def place_run(source, at: int, n: int, plan: list[Phase], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the n tokens from place ``at`` of a source's queue go: runs (start, count, stream place)."""
     out, done = [], 0
     for phase in plan:
         if source not in phase.sources or done == n:
@@ -160,35 +219,87 @@ def place(source, at: int, n: int, plan: list[Phase], length: int = LENGTH) -> l
         if q >= span:
             continue
         take = min(n - done, span - q)
-        # Rounds that give queue places q to q + take.
-        w0, w1 = max(0, int(q / (length * share)) - 2), min(phase.rounds, int((q + take) / (length * share)) + 3)
-        w = np.arange(w0, w1 + 1, dtype=np.int64)
-        given = np.stack([_floor(w, length, x) for x in phase.shares])
-        own, ahead = given[k], (given[:k, 1:] - given[:k, :-1]).sum(axis=0)
-        places = phase.begin + given.sum(axis=0)[:-1] + ahead
-        starts, ends = np.maximum(own[:-1], q), np.minimum(own[1:], q + take)
-        for i in np.flatnonzero(ends > starts):
-            out.append((done + int(starts[i]) - q, int(ends[i] - starts[i]), int(places[i] + starts[i] - own[i])))
+        # Rounds that give queue places q to q + take, some thousands at once.
+        low, end = max(0, (q / (length * share)).__floor__() - 2), min(phase.rounds, ((q + take) / (length * share)).__floor__() + 3)
+        for w0 in range(low, end, _ROUNDS):
+            own, total, ahead = None, 0, 0
+            rounds = min(_ROUNDS, end - w0)
+            for j, x in enumerate(phase.shares):
+                given = _floor(w0, rounds + 1, length, x)
+                total = total + given
+                if j < k:
+                    ahead = ahead + given[1:] - given[:-1]
+                elif j == k:
+                    own = given
+            places = phase.begin + total[:-1] + ahead
+            starts, ends = np.maximum(own[:-1], q), np.minimum(own[1:], q + take)
+            some = ends > starts
+            out.append((done + starts[some] - q, (ends - starts)[some], (places + starts - own[:-1])[some]))
         done += take
-    return out
+    empty = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (empty, empty, empty)
+
+
+def place(source, at: int, n: int, plan: list[Phase], length: int = LENGTH) -> list[tuple[int, int, int]]:
+    """``place_run`` as a list of its runs."""
+    return list(zip(*(x.tolist() for x in place_run(source, at, n, plan, length))))
+
+
+def _tail(total: int, length: int) -> np.ndarray:
+    """Edges of the sequences from the last full one on: what is left of ``total`` in powers of two."""
+    edges = [total // length * length]
+    while edges[-1] < total:
+        edges.append(edges[-1] + (1 << ((total - edges[-1]).bit_length() - 1)))
+    return np.array(edges, np.int64)
+
+
+def cut_runs(start: np.ndarray, n: np.ndarray, at: np.ndarray, total: int, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Runs at places ``at`` of the stream as pieces (run, start, count, sequence, offset): full sequences, then the tail."""
+    full, tail = total // length, _tail(total, length)
+
+    def sequence(x: np.ndarray) -> np.ndarray:
+        return np.where(x < full * length, x // length, full + np.searchsorted(tail, x, side="right") - 1)
+
+    def edge(s: np.ndarray) -> np.ndarray:
+        return np.where(s < full, s * length, tail[np.clip(s - full, 0, len(tail) - 1)])
+
+    first = sequence(at)
+    pieces = np.where(n > 0, sequence(at + n - 1) - first + 1, 0)
+    run = np.repeat(np.arange(len(n)), pieces)
+    seq = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    low = np.maximum(at[run], edge(seq))
+    return run, start[run] + low - at[run], np.minimum((at + n)[run], edge(seq + 1)) - low, seq, low - edge(seq)
 
 
 def cut(start: int, n: int, at: int, total: int, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
-    """A run at place ``at`` of the stream as pieces (start, count, sequence, offset): full sequences, then
-    what is left of ``total`` in powers of two."""
-    out, full = [], total // length
-    while n:
-        sequence, edge, size = at // length, at // length * length, length
-        if sequence >= full:
-            sequence, edge = full, full * length
-            size = 1 << ((total - edge).bit_length() - 1)
-            while at >= edge + size:
-                sequence, edge = sequence + 1, edge + size
-                size = 1 << ((total - edge).bit_length() - 1)
-        take = min(n, edge + size - at)
-        out.append((start, take, sequence, at - edge))
-        start, at, n = start + take, at + take, n - take
-    return out
+    """``cut_runs`` of one run, as a list of its pieces."""
+    one = (np.array([x], np.int64) for x in (start, n, at))
+    return list(zip(*(x.tolist() for x in cut_runs(*one, total, length)[1:])))
+
+
+def cut_documents(sources: list, n: np.ndarray, at: np.ndarray, plan: list[Phase], total: int, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """The pieces (document, start, count, sequence, offset) of documents with n tokens from place ``at`` of their source's queue.
+
+    Documents that follow each other in a queue are placed together, and cut apart after that."""
+    by: dict = {}
+    for i, s in enumerate(sources):
+        by.setdefault(s, []).append(i)
+    out = []
+    for s, own in by.items():
+        own = np.array(own)
+        own = own[np.argsort(at[own], kind="stable")]
+        gaps = np.flatnonzero(at[own][1:] != (at + n)[own][:-1]) + 1
+        for docs in np.split(own, gaps):
+            begin = int(at[docs[0]])
+            start, count, stream = place_run(s, begin, int(n[docs].sum()), plan, length)
+            # Runs are cut where a document ends.
+            edges = np.union1d(start, at[docs] - begin)
+            run = np.searchsorted(start, edges, side="right") - 1
+            size = np.append(edges[1:], start[-1] + count[-1]) - edges
+            doc = np.searchsorted(at[docs] - begin, edges, side="right") - 1
+            piece, first, k, q, o = cut_runs(edges, size, stream[run] + edges - start[run], total, length)
+            out.append((docs[doc[piece]], first - (at[docs] - begin)[doc[piece]], k, q, o))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 5
 
 
 def token_table(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -237,14 +348,19 @@ def pack(docs: DataFrame, tokenizer: str, weights: dict | None = None, length: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
         for b in batches:
-            which, start, size, crc, whole, seq, off = ([] for _ in range(7))
-            for i, (s, n, at, ids) in enumerate(zip(*(b.column(c).to_pylist() for c in ("source", "n", "at", "ids")))):
-                data = memoryview(np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes())
-                for a, k, q, o in (x for run in place(s, at, n, plan, length) for x in cut(*run, total, length)):
-                    which.append(i), start.append(a), size.append(k), whole.append(n), seq.append(q), off.append(o)
-                    crc.append(zlib.crc32(data[4 * a : 4 * (a + k)]))
-            index = pa.array(which, pa.int64())
-            numbers = [pa.array(x, pa.int64()) for x in (start, size, crc, whole, seq, off)]
+            n, at = (np.array(b.column(c).to_pylist(), np.int64) for c in ("n", "at"))
+            doc, start, size, seq, off = cut_documents(b.column("source").to_pylist(), n, at, plan, total, length)
+            order = np.argsort(doc, kind="stable")
+            doc, start, size, seq, off = (x[order] for x in (doc, start, size, seq, off))
+            ends, crc, now, data = (start + size).tolist(), [], -1, b""
+            ids, count = b.column("ids"), n.tolist()
+            for i, a, z in zip(doc.tolist(), start.tolist(), ends):
+                if i != now:
+                    own, now = ids[i].as_py(), i
+                    data = memoryview(np.frombuffer(own, "<u2" if len(own) == 2 * count[i] else "<u4").astype("<u4").tobytes())
+                crc.append(zlib.crc32(data[4 * a : 4 * z]))
+            index = pa.array(doc, pa.int64())
+            numbers = [pa.array(x, pa.int64()) for x in (start, size, crc, n[doc], seq, off)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(index), *numbers, b.column("source").take(index)], names)
 
     rows = tokens.join(bases, (F.col("task") == F.col("t")) & F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "n", (F.col("before") + F.col("base")).alias("at"), "ids")

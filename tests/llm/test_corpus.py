@@ -355,6 +355,58 @@ def test_schedule_keeps_to_the_mixture():
     assert all(abs(seen[q, "b"] - 75) <= 3 for q in range(200)) and all(sum(seen[q, s] for s in totals) == 100 for q in range(500))
 
 
+def test_word_tokens_are_those_of_the_file(tmp_path):
+    import json
+
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    file = path("word_bpe_49k.json")
+    texts = ["a<|endoftext|>b", "It's 12\u00bd \u00b2x \u00c0\u00c9 \u00df \u00b5", "na\u00efv\u00e9 e\u0301", "x\x85y\xa0z", "\x00 a\x00b\x1cc", "\u65e5\u672c \u01c5 \u0130stanbul", "'S 'LL a'SB",
+             "", "  ", "<|startoftext|>", "a\u200bb\u3000 c", "--''s's", "\u00aa\u00ba \u00bc\u00be \xadx\xad", " tail \n", "word, word. " * 300]
+    plain, fast = Tokenizer.from_file(file), packing.WordTokens(file)
+    assert fast.merges is not None
+    for _ in range(2):
+        got = [np.frombuffer(x, fast.kind).tolist() for x in fast.batch(texts)]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    # A file of another kind is left to its own tokenizer.
+    with open(file, encoding="utf-8") as f:
+        other = json.load(f)
+    other["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(other))
+    cased = packing.WordTokens(str(tmp_path / "cased.json"))
+    assert cased.merges is None
+    assert np.frombuffer(cased.batch(["Big Words"])[0], cased.kind).tolist() == cased.tokenizer.encode("Big Words", add_special_tokens=False).ids
+
+
+def test_documents_are_cut_as_one_by_one():
+    rng = np.random.default_rng(7)
+    for weights in (None, {"a": 1, "b": 5, "c": 2, None: 1}):
+        sources = [("a", "b", "c", None)[k] for k in rng.choice(4, 300, p=[0.6, 0.2, 0.15, 0.05])]
+        n, held, at = rng.integers(1, 400, 300), collections.Counter(), []
+        for s, k in zip(sources, n.tolist()):
+            at.append(held[s])
+            held[s] += k
+        total = sum(held.values())
+        plan = packing.phases(dict(held), weights, 64)
+        assert plan[-1].begin < total
+        want = []
+        for i, (s, k, a) in enumerate(zip(sources, n.tolist(), at)):
+            want += [(i, *x) for run in packing.place(s, a, k, plan, 64) for x in packing.cut(*run, total, 64)]
+        some = rng.permutation(300)[:250]  # documents need not follow each other
+        got = packing.cut_documents([sources[i] for i in some], n[some], np.array(at)[some], plan, total, 64)
+        got = sorted((int(some[i]), *x) for i, *x in zip(*(x.tolist() for x in got)))
+        assert got == sorted(x for x in want if x[0] in set(some.tolist()))
+        taken = sorted((q, o, k) for _, _, k, q, o in want)
+        ends: dict = {}
+        for q, o, k in taken:  # gapless from 0, to the length or a power of two
+            assert ends.get(q, 0) == o
+            ends[q] = o + k
+        assert sum(ends.values()) == total and all(e == 64 or e & (e - 1) == 0 for e in ends.values())
+    big = packing.Fraction(10**13 + 7, 3 * 10**13 + 1)
+    assert packing._floor(10**10, 5, 2048, big).tolist() == [w * 2048 * big.numerator // big.denominator for w in range(10**10, 10**10 + 5)]
+
+
 # --- 8 ---------------------------------------------------------------------------------------
 
 
