@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 
 HIDDEN, CLASSES, PER_CLASS, STEPS, LANES = 12, 32, 32, 16, 256
+#: Lanes where nothing is learned; how many does not change a score.
+SCORED = 1024
 SHORT = CLASSES * PER_CLASS
 OTHER, END = SHORT, 0
 RATE = 0.1
@@ -106,38 +108,46 @@ def forward(p: dict, h: np.ndarray, inputs: np.ndarray, fresh: np.ndarray):
     return states, kept
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of the targets, and the probabilities of all, which take the place of x."""
     x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+    own = x[np.arange(len(x)), target]
+    np.exp(x, out=x)
+    total = x.sum(axis=1, keepdims=True)
+    x /= total
+    return own - np.log(total[:, 0]), x
 
 
 def output(p: dict, s: np.ndarray, targets: np.ndarray, weight: np.ndarray | None = None):
     """Log-likelihoods (natural) of targets after states s; with weights also the gradients, of the negative sum."""
-    rows, cls = np.arange(len(s)), targets // PER_CLASS
-    logs = _log_softmax(s @ p["wc"] + p["bc"])
-    out = logs[rows, cls]
-    grads, ds = None, None
-    if weight is not None:
-        d = np.exp(logs)
-        d[rows, cls] -= 1
-        d *= weight[:, None]
-        grads = {"wc": s.T @ d, "bc": d.sum(axis=0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-        ds = d @ p["wc"].T
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        own = order[edges[c] : edges[c + 1]]
-        if not len(own):
-            continue
-        logs, k = _log_softmax(s[own] @ p["ww"][c] + p["bw"][c]), targets[own] % PER_CLASS
-        out[own] += logs[np.arange(len(own)), k]
-        if weight is not None:
-            d = np.exp(logs)
-            d[np.arange(len(own)), k] -= 1
-            d *= weight[own, None]
-            grads["ww"][c], grads["bw"][c] = s[own].T @ d, d.sum(axis=0)
-            ds[own] += d @ p["ww"][c].T
+    cls = targets // PER_CLASS
+    out, d = _softmax(s @ p["wc"] + p["bc"], cls)
+    # Tokens on the shortlist in the order of their classes, so that each class is a slice.
+    listed = np.flatnonzero(targets < SHORT)
+    order = listed[np.argsort(targets[listed].astype(np.int16), kind="stable")]
+    own, c, k = s[order], cls[order], targets[order] % PER_CLASS
+    edges = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
+    slices = [(i, slice(a, z)) for i, (a, z) in enumerate(zip(edges, edges[1:])) if z > a]
+    logits = np.empty((len(order), PER_CLASS), s.dtype)
+    for i, part in slices:
+        np.matmul(own[part], p["ww"][i], out=logits[part])
+    logits += p["bw"][c]
+    logs, e = _softmax(logits, k)
+    out[order] += logs
+    if weight is None:
+        return out, None, None
+    d[np.arange(len(s)), cls] -= 1
+    d *= weight[:, None]
+    grads = {"wc": s.T @ d, "bc": d.sum(axis=0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
+    ds = d @ p["wc"].T
+    e[np.arange(len(order)), k] -= 1
+    e *= weight[order, None]
+    back = np.empty_like(own)
+    for i, part in slices:
+        np.matmul(own[part].T, e[part], out=grads["ww"][i])
+        np.matmul(e[part], p["ww"][i].T, out=back[part])
+        grads["bw"][i] = e[part].sum(axis=0)
+    ds[order] += back
     return out, grads, ds
 
 
@@ -195,7 +205,7 @@ def train(flat: np.ndarray, docs: list[np.ndarray], squares: np.ndarray) -> int:
 
 def score(flat: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log-likelihood of each document, whole; of tokens off the shortlist that of their class."""
-    lanes, p = Lanes(docs), unpack(flat)
+    lanes, p = Lanes(docs, SCORED), unpack(flat)
     out = np.zeros(lanes.targets.shape, np.float32)
     h = np.zeros((len(lanes.lanes), HIDDEN), np.float32)
     for at, n, inputs, fresh, targets in _windows(lanes):

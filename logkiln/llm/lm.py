@@ -2,8 +2,10 @@
 
 1. Count: every task counts its words and deals them out by hash, packed; the sums give the number of tokens
    and of distinct ones, and the ``TABLE`` most frequent words with their counts.
-2. Learn: every task takes a pass over its own documents, from the same start; the mean of
-   all tasks' parameters, weighted by tokens, is the model. Tasks, and so what is gathered, grow with the input.
+2. Learn, in ``ROUNDS`` rounds: the documents are dealt into rounds by a hash of their text, so each is learned from once, at
+   every size. In a round every task goes through its own documents of the round from the same start; the mean of all tasks'
+   parameters and squared gradients, weighted by tokens, is the next round's start and in the end the model. Tasks, and so
+   what is gathered, grow with the input.
 3. Score: every task runs its documents through the model. Words outside the table are dealt out by hash as
    (hash, document); there each gets its count, and sums by document come back.
 
@@ -33,8 +35,8 @@ from logkiln.staging import stage
 
 #: Words with counts that every task holds.
 TABLE = 65_536
-#: A task that has fewer tokens goes through them up to four times.
-LEAST_TOKENS = 1_000_000
+#: How often the tasks' parameters are averaged.
+ROUNDS = 3
 #: Bytes of text that a task works on at once, and of text for each shuffle partition.
 _CHUNK, _PART = 16 << 20, 16 << 20
 _STOP = b" "  # the end token; no word has a blank
@@ -103,7 +105,17 @@ class Vocabulary:
         row = counted.where("kinds IS NOT NULL").agg(F.sum("n"), F.sum("kinds")).first()
         self.tokens, self.kinds = int(row[0] or 0), int(row[1] or 0)
         stop = counted.where(F.col("word") == F.lit(_STOP)).agg(F.sum("n")).first()[0] or (1 if self.tokens else 0)
-        top = counted.where(F.col("word").isNotNull() & (F.col("word") != F.lit(_STOP))).orderBy(F.desc("n"), "word").limit(TABLE - 1).collect()
+        words = counted.where(F.col("word").isNotNull() & (F.col("word") != F.lit(_STOP)))
+        # Spark takes the first rows of every partition to one place. So words that cannot be among the first are left out before: of
+        # how often counts of each bit length occur, the driver gets one number each.
+        bits = {r["bits"]: r["n"] for r in words.groupBy(F.length(F.bin("n")).alias("bits")).agg(F.count("*").alias("n")).collect()}
+        least, above = 0, 0
+        for k in sorted(bits, reverse=True):
+            above += bits[k]
+            if above >= TABLE - 1:
+                least = 1 << (k - 1)
+                break
+        top = words.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(TABLE - 1).collect()
         self.words = [_STOP] + [bytes(r["word"]) for r in top]
         self.counts = np.array([stop] + [r["n"] for r in top], np.int64)
 
@@ -130,36 +142,41 @@ def _short(ids: np.ndarray) -> np.ndarray:
 
 
 def learn(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """The mean of the parameters that all tasks learn; summed in groups, so that the driver adds up a few."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary.words, vocabulary.start()))
+    """The parameters after all rounds."""
+    flat, squares = vocabulary.start(), np.full(gru.SIZE, 1e-5, np.float32)
+    turn = F.pmod(F.xxhash64("b"), F.lit(ROUNDS))
+    for k in range(ROUNDS):
+        flat, squares = _round(texts.where(turn == k), vocabulary, flat, squares)
+    return flat
+
+
+def _round(texts: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mean of the parameters and squared gradients that all tasks learn; summed in groups, so that the driver adds up a few."""
+    shared = texts.sparkSession.sparkContext.broadcast((vocabulary.words[: gru.SHORT], flat, squares))
+    made = pa.schema([("seen", pa.int64()), ("sums", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, first = shared.value
-        numbers = {w: i for i, w in enumerate(words[: gru.SHORT])}
-        flat, squares, seen = first.copy(), np.full_like(first, 1e-5), 0
+        words, *first = shared.value
+        numbers, (flat, squares), seen = {w: i for i, w in enumerate(words)}, (x.copy() for x in first), 0
         for chunk in _chunks(batches):
-            docs = [_short(_ids(lower_words(x.as_py()), numbers)) for b in chunk for x in b.column(0)]
-            own = max(1, sum(map(len, docs)))
-            for _ in range(min(4, -(-LEAST_TOKENS // own))):  # little text is gone through again
-                gru.train(flat, docs, squares)
-            seen += own
+            seen += gru.train(flat, [_short(_ids(lower_words(x.as_py()), numbers)) for b in chunk for x in b.column(0)], squares)
         if seen:
-            yield pa.RecordBatch.from_pydict({"seen": [seen], "flat": [(flat.astype(np.float64) * seen).tobytes()]}, pa.schema([("seen", pa.int64()), ("flat", pa.binary())]))
+            yield pa.RecordBatch.from_pydict({"seen": [seen], "sums": [(np.stack([flat, squares]).astype(np.float64) * seen).tobytes()]}, made)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, flat = 0, np.zeros(gru.SIZE)
+        seen, sums = 0, np.zeros(2 * gru.SIZE)
         for b in batches:
             for n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen, flat = seen + n, flat + np.frombuffer(x)
+                seen, sums = seen + n, sums + np.frombuffer(x)
         if seen:
-            yield pa.RecordBatch.from_pydict({"seen": [seen], "flat": [flat.tobytes()]}, pa.schema([("seen", pa.int64()), ("flat", pa.binary())]))
+            yield pa.RecordBatch.from_pydict({"seen": [seen], "sums": [sums.tobytes()]}, made)
 
     groups = max(1, math.isqrt(texts.rdd.getNumPartitions()))
-    rows = texts.mapInArrow(run, "seen bigint, flat binary").repartition(groups).mapInArrow(add, "seen bigint, flat binary").collect()
+    rows = texts.mapInArrow(run, "seen bigint, sums binary").repartition(groups).mapInArrow(add, "seen bigint, sums binary").collect()
     if not rows:
-        return vocabulary.start()
-    return (sum(np.frombuffer(r["flat"]) for r in rows) / sum(r["seen"] for r in rows)).astype(np.float32)
+        return flat, squares
+    mean = sum(np.frombuffer(r["sums"]) for r in rows) / sum(r["seen"] for r in rows)
+    return tuple(mean.astype(np.float32).reshape(2, -1))
 
 
 def _value(counts: np.ndarray) -> np.ndarray:
