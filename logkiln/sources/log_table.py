@@ -17,7 +17,8 @@ def laid_out(df: DataFrame, *days: str) -> DataFrame:
     """Few files per day, large days split over tasks, each file in time order.
 
     A rebalance lets the optimiser merge small days and split large ones; sorted files give
-    row groups with narrow time bounds for a search to skip.
+    row groups with narrow time bounds for a search to skip. Spark leaves the rebalance out where adaptive execution is off
+    (as in a stream, unless its batch turns it on): then every task writes a file for every day.
     """
     return df.hint("rebalance", *days).sortWithinPartitions(*days, C.TIME_FIELD)
 
@@ -25,10 +26,12 @@ def laid_out(df: DataFrame, *days: str) -> DataFrame:
 def bloom_filters() -> dict[str, str]:
     """Writer options that give the exact-match columns Parquet bloom filters, sized to what a row group holds.
 
-    Parquet leaves them out where a dictionary holds all values, which tells as much.
+    Parquet leaves them out where a dictionary holds all values, which tells as much. It chooses among sizes of which each is half of
+    the one before: by default five, the least of 64 KB for each column of a file of ten rows; sixteen go down to the 32 bytes of the smallest filter.
     """
     exact = [f.name for f in C.FIELDS if f.storage == C.STRING]
-    return {"parquet.bloom.filter.adaptive.enabled": "true", **{f"parquet.bloom.filter.enabled#{name}": "true" for name in exact}}
+    each = {f"parquet.bloom.filter.{key}#{name}": value for name in exact for key, value in (("enabled", "true"), ("candidates.number", "16"))}
+    return {"parquet.bloom.filter.adaptive.enabled": "true", **each}
 
 
 def write_logs(df: DataFrame, path: str) -> None:

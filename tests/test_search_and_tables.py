@@ -212,3 +212,13 @@ def test_row_groups_without_a_string_are_skipped(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_filters_of_small_files_are_small(spark, tmp_path):
+    """A file of ten rows has bloom filters for ten rows, not of 32 KB and more for each column."""
+    at = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id"))
+    made = {"source_timestamp": at, "hostname": F.lit("h"), "message": F.lit("m"), "message_id": F.md5(F.col("id").cast("string"))}
+    rows = spark.range(0, 10, 1, 1).select(*[made.get(f.name, F.lit(None)).cast(f.spark_type).alias(f.name) for f in C.FIELDS])
+    L.write_logs(rows, f"{tmp_path}/logs")
+    sizes = [f.stat().st_size for f in tmp_path.glob("logs/*/*.parquet")]
+    assert sizes and sum(sizes) < 200_000

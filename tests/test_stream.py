@@ -192,3 +192,18 @@ def test_open_groups_outlive_a_restart(spark):
     logs, refused = both(read_ingested_logs(spark, f"{folder}/out"), read_quarantine(spark, f"{folder}/out"))
     assert [m for _, m in logs] == ["between", "last", "later", "restarted"]
     assert refused == [("chunk", "expired", True)]
+
+
+def test_a_batch_writes_few_files_a_day(spark):
+    """Lines of two days that many tasks hold end up in a file or two for each day, with every line there."""
+    folder = tempfile.mkdtemp(prefix="run-stream-")
+    lines = spark.range(0, 400, 1, 16).select(
+        F.lit("syslog").alias("proto"), F.lit("10.0.0.8").alias("src_ip"), F.lit(1).alias("src_port"),
+        F.lit(T0).cast("timestamp").alias("recv_ts"),
+        F.concat(F.lit("<13>2026-01-0"), (F.col("id") % 2 + 1).cast("string"), F.lit("T00:00:01Z a x: "), F.col("id").cast("string")).cast("binary").alias("payload"),
+    )
+    lines.write.parquet(f"{folder}/in")
+    start_ingest(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", interval=None).awaitTermination()
+    logs = spark.read.parquet(f"{folder}/out")
+    assert logs.count() == 400
+    assert logs.select(F.col("_metadata.file_path")).distinct().count() <= 4
