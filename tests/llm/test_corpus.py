@@ -316,6 +316,24 @@ def test_language(spark, docs, none):
     assert language.predict(more, model, keep=("lang",)).where("lang <> lang_pred").count() == 0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than are sent out at once: none is left out, and slices give what one table gives."""
+    names = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(language.AT_ONCE + 3)]
+    rows = [(i, name, f"{name} {name}{name} " * (3 + i % 5)) for i, name in enumerate(names)]
+    rows += [(900, None, None), (901, None, "12"), (902, None, names[0] * 4 + " " + names[1] * 4)]
+    table = spark.createDataFrame(rows, "doc_id bigint, lang string, text string").repartition(3)
+    model = language.learn(table)
+    assert model.rest is not None
+    got = {r.doc_id: r for r in language.predict(table, model).collect()}
+    assert [got[i].lang_pred for i in range(len(names))] == names
+    assert (got[900].lang_pred, got[901].lang_pred, got[900].score) == ("und", "und", 0)
+    monkeypatch.setattr(language, "AT_ONCE", 100)
+    whole = language.learn(table)
+    assert whole.rest is None and whole.languages == tuple(names)
+    for r in language.predict(table, whole).collect():
+        assert r.lang_pred == got[r.doc_id].lang_pred and abs(r.score - got[r.doc_id].score) < 1e-6
+
+
 # --- 7 ---------------------------------------------------------------------------------------
 
 
