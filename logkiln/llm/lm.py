@@ -23,6 +23,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -130,9 +131,8 @@ class Vocabulary:
 
 def _ids(words: list[bytes], numbers: dict[bytes, int]) -> np.ndarray:
     """Table numbers of a text's words and its end; -1 off the table."""
-    get = numbers.get
     out = np.empty(len(words) + 1, np.int32)
-    out[:-1] = [get(w, -1) for w in words]
+    out[:-1] = np.fromiter(map(numbers.get, words, repeat(-1)), np.int32, len(words))
     out[-1] = gru.END
     return out
 

@@ -316,6 +316,17 @@ def test_language(spark, docs, none):
     assert language.predict(more, model, keep=("lang",)).where("lang <> lang_pred").count() == 0
 
 
+def test_softmax_without_division():
+    """Row maxima are those of numpy at any number of rows; where only targets count, the same logarithms come without the probabilities of all."""
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 511, 512, 1300):
+        x, target = rng.normal(0, 9, (n, 33)).astype(np.float32), rng.integers(0, 33, n)
+        assert n == 0 or (gru._largest(x) == x.max(axis=1, keepdims=True)).all()
+        logs, shares = gru._softmax(x.copy(), target)
+        assert (gru._softmax(x.copy(), target, False)[0] == logs).all()
+        assert n == 0 or abs(shares.sum(axis=1) - 1).max() < 1e-5
+
+
 def test_every_language_is_learned(spark, monkeypatch):
     """More languages than are sent out at once: none is left out, and slices give what one table gives."""
     names = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(language.AT_ONCE + 3)]
