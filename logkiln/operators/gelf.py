@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from logkiln import catalog as C
 from logkiln.functions.columns import settle
-from logkiln.operators.packets import MAX_BODY, map_bodies
+from logkiln.operators.packets import MAX_BODY, bound_batches, map_bodies
 
 _KEYS = C.gelf_keys()
 _SOURCES = {s.key: (f, s) for f in C.FIELDS for s in f.gelf}
@@ -150,6 +150,7 @@ def decode_gelf_packets(df: DataFrame, payload: str = "payload", max_bytes: int
         no_body = pa.array(["no_body" if b is None else None for b in bodies], pa.string())
         return [pa.array(reasons, pa.string()), gelf, pc.coalesce(made["json_reason"], no_body), made["type_reason"]]
 
+    bound_batches(df.sparkSession)
     return map_bodies(df, _DECODED, columns, payload, max_bytes)
 
 

@@ -198,3 +198,25 @@ def test_batches_go_out_by_bytes(spark):
 
     assert sum(packets.map_bodies(Frame(), T.StructType([]), columns, "payload", packets.MAX_BODY)) == 100
     assert len(made) > 5 and max(made) <= packets.BATCH_BYTES + len(body)
+
+
+def test_batches_of_packets_are_bounded(spark):
+    """Packets reach the decoder in batches of some hundred, whatever the session allows."""
+    from logkiln.operators import packets
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        rows = spark.range(0, 3000, 1, 1).select(F.lit("plain").alias("kind"), F.lit(b"{}").alias("payload"))
+
+        def sizes(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+        found = [r.n for r in packets.inflate(rows).mapInArrow(sizes, "n bigint").collect()]
+        assert sum(found) == 3000 and max(found) <= packets.BATCH_ROWS
+    finally:
+        spark.conf.set(key, before)
