@@ -219,7 +219,11 @@ def stream_ingest_outcomes(spark, d):
     # The part is known before a row is encoded, so each row is made for its part only, and written once.
     rows, files = X.datagrams_in_parts(spark, d), 8
     for part in range(X.PARTS):
-        rows.where(F.col("part") == part).drop("part").coalesce(files).write.mode("append").parquet(f"{folder}/in")
+        own = rows.where(F.col("part") == part).drop("part")
+        # A micro-batch is to take in one part, so each has the same number of files. Only small inputs have to be dealt out for that.
+        whole = own.coalesce(files)
+        full = whole.select(F.spark_partition_id().alias("p")).distinct().count() == files
+        (whole if full else own.repartition(files)).write.mode("append").parquet(f"{folder}/in")
     start_ingest(spark, f"{folder}/in", None, f"{folder}/checkpoint", X.hosts(spark, d), interval=None, max_files=files, table=name).awaitTermination()
     return spark.table(name).groupBy("stage", "reason").agg(F.count("*").alias("n"))
 
