@@ -261,10 +261,11 @@ def chunk_key(key: tuple[str, ...]) -> Column:
     return F.concat_ws("|", *[F.hex(c) if c == "chunk_id" else F.col(c).cast("string") for c in key])
 
 
-def _arrivals(chunks: DataFrame, key: tuple[str, ...]) -> DataFrame:
+def arrivals_of(chunks: DataFrame, key: tuple[str, ...], *more: str | Column) -> DataFrame:
+    """Rows (k, t, seqno, count, src_ip, src_port, h), which tell arrivals apart, and ``more`` of classified chunk rows."""
     return chunks.where(F.col("count") >= MIN_COUNT).select(
         chunk_key(key).alias("k"), F.unix_micros("recv_ts").alias("t"), "seqno", "count", "src_ip", "src_port",
-        F.xxhash64("content").alias("h"),
+        F.xxhash64("content").alias("h"), *more,
     )
 
 
@@ -284,10 +285,22 @@ def assign_chunks(
     ``hot_rows`` arrivals are handled in blocks of ``block_seconds``, or shorter ones of about ``block_rows`` rows; there a row
     may stand for ``copies`` arrivals of one instant. ``hot`` names these ids where they are known already.
     """
+    return assign_arrivals(arrivals_of(chunks, key), lifetime_seconds, block_seconds, hot_rows, block_rows, fan_in, hot)
+
+
+def assign_arrivals(
+    arrivals: DataFrame,
+    lifetime_seconds: float = LIFETIME_SECONDS,
+    block_seconds: float = 60,
+    hot_rows: int = HOT_ROWS,
+    block_rows: int = BLOCK_ROWS,
+    fan_in: int = FAN_IN,
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """``assign_chunks`` for rows of ``arrivals_of``."""
     lifetime_us, block_us = int(lifetime_seconds * 1e6), int(block_seconds * 1e6)
     if block_us <= lifetime_us or fan_in < 2:
         raise ValueError("a block must be longer than the lifetime of a group, and maps are composed two at a time at least")
-    arrivals = _arrivals(chunks, key)
     hot = hot_ids(arrivals, hot_rows) if hot is None else hot
     ordinary = arrivals.join(hot, "k", "left_anti").select(
         "k", F.lit(0).cast("bigint").alias("scope"), F.lit(0).cast("bigint").alias("entry"), F.lit(True).alias("own"), *_ORDER,
@@ -333,54 +346,67 @@ def reassemble_chunks(chunks: DataFrame, key: tuple[str, ...] = ("chunk_id",), *
     Stage ``chunks`` as a table first where it is costly to compute: it is read for
     the ids, for the arrival facts and for the contents.
     """
-    arrivals = _arrivals(chunks, key)
+    arrivals = arrivals_of(chunks, key)
     hot = hot_ids(arrivals, options.get("hot_rows", HOT_ROWS))
-    pieces = assign_chunks(chunks, key, hot=hot, **options)
-    group = ["k", "scope", "n", "opened", "size", "present", "closed", "closed_ip", "closed_port"]
-    contents = chunks.where(F.col("count") >= MIN_COUNT).select(
-        chunk_key(key).alias("c_k"), F.unix_micros("recv_ts").alias("c_t"), F.col("seqno").alias("c_seqno"),
-        F.col("count").alias("c_count"), F.col("src_ip").alias("c_ip"), F.col("src_port").alias("c_port"),
-        F.xxhash64("content").alias("c_h"), "content",
-    )
+    pieces = assign_arrivals(arrivals, hot=hot, **options)
+    return assembled(winners(pieces, arrivals, hot), arrivals_of(chunks, key, "content"))
+
 
-    def with_contents(rows: DataFrame, contents: DataFrame, how: str) -> DataFrame:
-        same_arrival = (
-            (rows.k == contents.c_k) & (rows.t == contents.c_t) & (rows.slot == contents.c_seqno)
-            & (rows["count"] == contents.c_count) & (rows.h == contents.c_h)
-            & rows.src_ip.eqNullSafe(contents.c_ip) & rows.src_port.eqNullSafe(contents.c_port)
-        )
-        return rows.join(contents, same_arrival, how)
+#: What a row of pieces says of its group.
+_OF_GROUP = ("k", "scope", "n", "opened", "size", "present", "closed", "closed_ip", "closed_port")
 
-    def datagram(k, part) -> Column:
-        whole = datagram_of(k, part["slot"], part["count"], part["content"])
+
+def winners(pieces: DataFrame, arrivals: DataFrame, hot: DataFrame) -> DataFrame:
+    """``pieces`` with one row for equal ignored arrivals, ``copies`` of them, which are groups of their own (``one``) with their sender as closing one."""
+    ignored = pieces.where(F.col("status") == IGNORED)
+    if not hot.isEmpty():
+        ignored = _each_sender(ignored, arrivals.join(hot, "k", "left_semi")).select(*pieces.columns)
+    ignored = ignored.withColumns({"closed": F.col("t"), "closed_ip": F.col("src_ip"), "closed_port": F.col("src_port")})
+    ignored = ignored.groupBy(*[c for c in pieces.columns if c != "copies"]).agg(F.sum("copies").alias("copies"))
+    one = F.struct("slot", "count", "h")
+    groups = pieces.where(F.col("status") != IGNORED).withColumns({"copies": F.lit(1).cast("bigint"), "one": F.when(F.lit(False), one)})
+    return groups.unionByName(ignored.withColumn("one", one))
+
+
+def assembled(rows: DataFrame, contents: DataFrame) -> DataFrame:
+    """Groups of ``rows`` (of ``winners``) with their ``contents`` (of ``arrivals_of``), which are joined and grouped once.
+
+    Rows that ``nested.unfold`` has put in the place of others name the arrival that holds their bytes, and where those go.
+    """
+    unfolded = "at_k" in rows.columns
+    of = dict(zip(("k", "t", "seqno", "count", "src_ip", "src_port", "h"), ("at_k", "at_t", "at_seqno", "at_count", "at_ip", "at_port", "at_h") if unfolded else ("k", "t", "slot", "count", "src_ip", "src_port", "h")))
+    contents = contents.select(*[F.col(c).alias(f"c_{c}") for c in of], "content")
+    same = F.lit(True)
+    for c, name in of.items():
+        same = same & (rows[name].eqNullSafe(contents[f"c_{c}"]) if c in ("src_ip", "src_port") else rows[name] == contents[f"c_{c}"])
+    joined = rows.join(contents, same, "left")
+    pos, content = F.lit(0).cast("bigint"), F.coalesce("content", F.lit(b""))
+    if unfolded:
+        pos, content = F.col("pos"), F.substr(content, F.col("skip") + 1, F.octet_length(content))
+
+    def datagram(k, part, content) -> Column:
+        whole = datagram_of(k, part["slot"], part["count"], content)
         return F.struct(part["src_ip"].alias("src_ip"), part["src_port"].alias("src_port"), F.timestamp_micros(part["t"]).alias("recv_ts"), whole.alias("payload"))
 
+    def whole(parts: Column) -> Column:
+        return F.aggregate(parts, F.lit(b""), lambda done, part: F.concat(done, part["content"]))
+
     # A set, as the same datagram may have arrived twice in the same microsecond.
-    filled = F.when(F.col("slot").isNotNull(), F.struct("slot", "content", "t", "count", "src_ip", "src_port"))
+    filled = F.when(F.col("slot").isNotNull(), F.struct("slot", pos.alias("pos"), content.alias("content"), "t", "count", "src_ip", "src_port"))
     parts = F.array_sort(F.collect_set(filled))
-    whole = F.aggregate(F.col("parts"), F.lit(b""), lambda done, part: F.concat(done, part["content"]))
     done = F.col("status") == COMPLETE
-    groups = (
-        with_contents(pieces.where(F.col("status") != IGNORED), contents, "left").groupBy("status", *group).agg(parts.alias("parts"))
-        .select(
-            "status", *group, F.when(done, whole).alias("payload"),
-            F.when(~done, F.transform("parts", lambda part: datagram(F.col("k"), part))).cast(f"array<{PIECE}>").alias("pieces"),
-        )
-    )
-    arrival = {"closed": "t", "closed_ip": "src_ip", "closed_port": "src_port"}
-    senders = pieces.where(F.col("status") == IGNORED)
-    if not hot.isEmpty():
-        senders = _each_sender(senders, arrivals.join(hot, "k", "left_semi"))
-    part = {c: F.col(c) for c in ("slot", "count", "content", "src_ip", "src_port", "t")}
-    ignored = (
-        with_contents(senders, contents.dropDuplicates([c for c in contents.columns if c != "content"]), "left")
-        .withColumn("_", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
-        .select(
-            "status", *[F.col(arrival.get(c, c)).alias(c) for c in group], F.lit(None).cast("binary").alias("payload"),
-            F.array(datagram(F.col("k"), part)).cast(f"array<{PIECE}>").alias("pieces"),
-        )
+    if unfolded:
+        # Of several rows for a slot the first one stands for it.
+        slots = F.filter("parts", lambda part: part["pos"] == 0)
+        slots = F.filter(slots, lambda part, i: (i == 0) | (F.get(slots, i - 1)["slot"] != part["slot"]))
+        pieces = F.transform(slots, lambda slot: datagram(F.col("k"), slot, whole(F.filter("parts", lambda part: part["slot"] == slot["slot"]))))
+    else:
+        pieces = F.transform("parts", lambda part: datagram(F.col("k"), part, part["content"]))
+    groups = joined.groupBy("status", *_OF_GROUP, "one", "copies").agg(parts.alias("parts")).select(
+        "status", *_OF_GROUP, F.when(done, whole(F.col("parts"))).alias("payload"), F.when(~done, pieces).cast(f"array<{PIECE}>").alias("pieces"),
+        F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")),
     )
-    return groups.unionByName(ignored).select(
+    return groups.select(
         "status",
         F.unhex(F.substring("k", 1, 16)).alias("chunk_id"),
         "size",

@@ -23,7 +23,7 @@ MAX_BODY, BATCH_BYTES = 64 << 20, 4 << 20
 BATCH_ROWS = 512
 
 
-def _byte(payload: Column, pos: int) -> Column:
+def byte_at(payload: Column, pos: int) -> Column:
     return F.conv(F.hex(F.substring(payload, pos, 1)), 16, 10).cast("int")
 
 
@@ -49,8 +49,8 @@ def classify_packets(df: DataFrame, payload: str = "payload") -> DataFrame:
             "kind": kind,
             "packet_reason": reason,
             "chunk_id": F.when(header, F.substring(data, 3, 8)),
-            "seqno": F.when(header, _byte(data, 11)),
-            "count": F.when(header, _byte(data, 12)),
+            "seqno": F.when(header, byte_at(data, 11)),
+            "count": F.when(header, byte_at(data, 12)),
             "content": F.when(header, F.substring(data, HEADER_BYTES + 1, 2**31 - 1)),
         }
     )

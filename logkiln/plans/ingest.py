@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logkiln import catalog as C
 from logkiln.functions.columns import settle
 from logkiln.operators import chunks as K
+from logkiln.operators import nested as N
 from logkiln.operators.enrich import HostTable, merge_logs, resolve_hostnames
 from logkiln.operators.gelf import decode_gelf_packets
 from logkiln.operators.normalize import invalid_reason, normalize_gelf, normalize_syslog
@@ -53,51 +54,53 @@ def chunk_rows(classified: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def _nested(groups: DataFrame) -> tuple[DataFrame, Column]:
-    """Groups with what kind of packet their message is, and whether it is a chunk of another message."""
-    again = classify_packets(groups)
-    return again, F.coalesce((F.col("status") == K.COMPLETE) & (F.col("kind") == CHUNK) & (F.col("count") >= K.MIN_COUNT), F.lit(False))
+def _content(inner: DataFrame | None) -> tuple:
+    """Two equal results for equal sets of inner chunks, whatever their order."""
+    return (0, None) if inner is None else tuple(inner.agg(F.count("*"), F.sum(F.xxhash64(*N.ARRIVAL).cast("decimal(38,0)"))).first())
 
 
-def _content(rows: DataFrame) -> tuple:
-    """Two equal results for equal sets of chunk rows, whatever their order."""
-    facts = F.xxhash64("src_ip", "src_port", "recv_ts", "chunk_id", "seqno", "count", "content").cast("decimal(38,0)")
-    return tuple(rows.agg(F.count("*"), F.sum(facts)).first())
-
-
-def reassemble_nested(chunks: DataFrame, **options) -> DataFrame:
-    """``reassemble_chunks`` where messages may be chunks again, to any depth.
+def reassemble_nested(chunks: DataFrame, key: tuple[str, ...] = ("chunk_id",), **options) -> DataFrame:
+    """``reassemble_chunks`` where messages may be chunks again, to any depth; those have no row of their own then.
 
     Such a message takes part like a datagram that came when its last chunk did, beside the plain chunks of its id. Which messages
     come out may change which others do, so this goes on, for the ids concerned only, until the inner chunks are
     the same twice. Each is 12 bytes shorter than what it came in and never comes before it, so what
-    is settled up to some instant and depth stays so, and rounds end. Chunks and groups are staged tables.
+    is settled up to some instant and depth stays so, and rounds end. Rounds go over arrival facts; contents are staged with the chunks
+    and joined once, to the pieces of the groups that come out, which are staged. Of inner chunks that are equal but for their content the hashes of
+    the pieces that they are made of give the order.
     """
-    chunks = stage(chunks)
+    chunks = stage(N.with_facts(chunks, key))
     if chunks.isEmpty():
         return chunks.sparkSession.createDataFrame([], K.GROUP)
-    first = groups = stage(K.reassemble_chunks(chunks, **options))
+    facts, contents = chunks.select(*N.FACTS), chunks.select(*N.ARRIVAL, "content")
+    first = pieces = stage(K.assign_arrivals(facts, **options))
+    own = inner = N.inner_chunks(first, facts, key, contents)
     before: DataFrame | None = None
-    while True:
-        again, is_nested = _nested(groups)
-        inner = stage(chunk_rows(again.where(is_nested)))
-        if _content(inner) == (_content(before) if before is not None else (0, None)):
-            return groups
-        ids = inner.select("chunk_id").distinct()
-        touched = chunks.join(ids, "chunk_id", "left_semi").unionByName(inner)
-        groups = stage(first.join(ids, "chunk_id", "left_anti").select(*first.columns).unionByName(K.reassemble_chunks(stage(touched), **options)))
-        before = inner
+    while _content(inner) != _content(before):
+        ids = stage(inner.select("k").distinct())
+        touched = stage(facts.join(ids, "k", "left_semi").unionByName(inner.select(*N.FACTS)))
+        again = stage(K.assign_arrivals(touched, **options))
+        pieces = first.join(ids, "k", "left_anti").unionByName(again)
+        before, below = inner, N.inner_chunks(again, touched, key, contents, inner)
+        inner = own.join(ids.withColumnRenamed("k", "of"), "of", "left_anti").select(*own.columns)
+        inner = stage(inner if below is None else inner.unionByName(below))
+    if inner is not None:
+        nested = inner.select(F.col("of").alias("k"), "scope", "n", F.lit(K.COMPLETE).alias("status"))
+        pieces = pieces.join(nested, ["k", "scope", "n", "status"], "left_anti").select(*first.columns)
+        facts = facts.unionByName(inner.select(*N.FACTS))
+    rows = K.winners(pieces, facts, K.hot_ids(facts, options.get("hot_rows", K.HOT_ROWS)))
+    return stage(K.assembled(rows if inner is None else N.unfolded_rows(rows, inner), contents))
 
 
 def assemble(gelf: DataFrame, **options) -> DataFrame:
     """GELF datagrams to packets; messages that are chunks again are joined too, to any depth."""
     classified = classify_packets(gelf)
-    again, is_nested = _nested(reassemble_nested(chunk_rows(classified), **options))
+    groups = classify_packets(reassemble_nested(chunk_rows(classified), **options))
     # A message that announces itself as one chunk of one or none is refused like such a datagram.
     lone = (F.col("status") == K.COMPLETE) & (F.col("kind") == CHUNK) & (F.col("count") < K.MIN_COUNT)
-    rest = again.where(~is_nested).select(*K_COLUMNS, F.coalesce(lone, F.lit(False)).alias("lone"))
-    refused = _packets(rest.where("lone").select(F.lit("gelf").alias("proto"), "src_ip", "src_port", "recv_ts", "payload"), F.lit("chunk_count"))
-    return whole_packets(classified).unionByName(group_packets(rest.where("not lone"))).unionByName(refused)
+    groups = groups.select(*K_COLUMNS, F.coalesce(lone, F.lit(False)).alias("lone"))
+    refused = _packets(groups.where("lone").select(F.lit("gelf").alias("proto"), "src_ip", "src_port", "recv_ts", "payload"), F.lit("chunk_count"))
+    return whole_packets(classified).unionByName(group_packets(groups.where("not lone"))).unionByName(refused)
 
 
 _KEEP = ("src_ip", "recv_ts", "payload")
