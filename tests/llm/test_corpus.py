@@ -551,3 +551,19 @@ def test_marked_words(spark):
     # The beginning "vile" stands for "viles" and "vilel"; not for "vile" itself; "day" is in a good row.
     assert marked == {"vile": 2 / 6, "vile ": 4 / 6}
     assert rules._mark("vilest", marked) == marked["vile"] and rules._mark("day", marked) == 0
+
+
+def test_language_histogram_has_a_row_a_byte(spark, monkeypatch):
+    """Not a column for each of 256 bytes, which made the plans and the code that the driver holds."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    from pyspark.sql.group import GroupedData
+
+    from logkiln.llm import language
+
+    widths = []
+    for kind in (DataFrame, GroupedData):
+        monkeypatch.setattr(kind, "agg", lambda self, *exprs, agg=kind.agg: widths.append(len(exprs)) or agg(self, *exprs))
+    docs = spark.createDataFrame([("en", "the house"), ("fr", "la maison"), ("", ""), (None, "x")], "lang string, text string")
+    assert language.learn(docs).languages == ("en", "fr")
+    assert max(widths) <= 2
+    assert language.learn(docs.where("text = ''")).languages == ()
