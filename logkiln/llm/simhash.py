@@ -131,25 +131,35 @@ def near_edges(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
     return out.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _both(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """The edges (a, b) and (c, d) of a row, as two rows of one scan."""
+    return F.explode(F.array(F.struct(a.alias("u"), b.alias("v")), F.struct(c.alias("u"), d.alias("v"))))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node is either the larger end of one edge or the root, at smaller ends only."""
+    over = F.struct(F.col("u").alias("node"), F.when(F.col("u") > F.col("v"), 1).otherwise(2).alias("over"), F.lit(0).alias("under"))
+    under = F.struct(F.col("v").alias("node"), F.lit(0).alias("over"), F.lit(1).alias("under"))
+    ends = edges.select(F.explode(F.array(over, under)).alias("end")).select("end.*")
+    ends = ends.groupBy("node").agg(F.sum("over").alias("over"), F.max("under").alias("under"))
+    return not ends.where("over > 1 OR over > 0 AND under > 0").agg(F.count("*")).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with u > v to (node, root): root is the smallest node that can be reached.
 
-    Alternating large-star and small-star rounds; each is written to the shared folder. A node
-    with very many edges is reduced by partial minima, and the joins may be split by Spark.
+    Alternating large-star and small-star rounds until all that is left are stars, which no round changes; each half of one is written
+    to the shared folder, so that plans stay small. A node with very many edges is reduced by partial minima, and the joins may be split by Spark.
     """
-    edges, before = stage(edges), None
-    while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    edges, u, v, m = stage(edges), F.col("u"), F.col("v"), F.col("m")
+    while not _stars(edges):
+        both = edges.select(_both(u, v, v, u).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.min("v").alias("a")).select("u", F.least("u", "a").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stage(both.join(least, "u").where("v > u").select(v.alias("u"), m.alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = large.join(least, "u").select(_both(v, m, u, m).alias("e")).select("e.*")
         edges = stage(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+    return edges.select(u.alias("node"), v.alias("root"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:

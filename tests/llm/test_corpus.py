@@ -507,6 +507,22 @@ def test_links_of_crowded_fingerprints(spark, bucket):
     assert [root.get(f, f) for f in fps] == want
 
 
+def test_components_end_at_stars(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    edges = [tuple(map(int, rng.integers(0, 120, 2))) for _ in range(70)] + [(i + 1, i) for i in range(200, 240)]
+    edges += edges[:5] + [(v, u) for u, v in edges[5:10]] + [(300, 300)]
+    root = {n: n for e in edges for n in e}
+    for _ in root:
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    got = simhash.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted((n, r) for n, r in root.items() if n != r)
+    written = []
+    monkeypatch.setattr(simhash, "stage", lambda df, stage=simhash.stage: written.append(df) or stage(df))
+    again = simhash.components(spark.createDataFrame(got, "u bigint, v bigint")).collect()
+    assert sorted(again) == sorted(got) and len(written) == 1
+
+
 # --- 10 --------------------------------------------------------------------------------------
 
 

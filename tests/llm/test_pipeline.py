@@ -59,6 +59,16 @@ def test_near_copies_like_brute_force(spark, near_rows):
     assert sorted((r.doc_id is None, r.doc_id) for r in got.collect()) == plain_survivors(near_rows)
 
 
+def test_near_copies_that_are_all_joined(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "less " + text), (4, "other words"), (5, None)], "doc_id bigint, text string")
+    calls = []
+    monkeypatch.setattr(neardup, "components", lambda edges, of=neardup.components: calls.append(edges) or of(edges))
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, None).collect()) == [1, 4, 5]
+    # Of buckets and of their links; nothing is left to be compared.
+    assert len(calls) == 2
+
+
 def test_near_copies_in_blocks(spark, monkeypatch):
     """A chain of copies of copies, and many that only the pairwise round can join."""
     rng = np.random.default_rng(6)
