@@ -217,7 +217,7 @@ def stream_ingest_outcomes(spark, d):
     folder = f"{shared_folder(spark)}/{name}"
     T.ensure_ingest_table(spark, name, f"{folder}/table")
     # The part is known before a row is encoded, so each row is made for its part only, and written once.
-    rows, files = X.datagrams_in_parts(spark, d), 8
+    rows, files = X.datagrams_in_parts(spark, d), max(8, spark.sparkContext.defaultParallelism)
     for part in range(X.PARTS):
         own = rows.where(F.col("part") == part).drop("part")
         # A micro-batch is to take in one part, so each has the same number of files. Only small inputs have to be dealt out for that.

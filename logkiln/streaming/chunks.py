@@ -1,12 +1,16 @@
 """Reassembly of chunked messages on a stream, with the rules of the batch form.
 
-The open group of an id is a value (start, size, slots filled, timer) and a map with an entry for each filled slot. A micro-batch
-writes the slots that it fills and reads the map only when the group closes. A timer of its own gives a group up.
+Ids are dealt to ``BUCKETS`` buckets, and a bucket is what the state is kept by: calls between Spark and Python, frames and timers are
+needed once a bucket and micro-batch and not once an id. The open group of an id is an entry (start, size, slots filled, end) of a map; what a
+micro-batch adds to its slots is one entry of another. A micro-batch writes the slots that it fills and reads those of a group only
+when it closes. The timer of a bucket stands at the first end of its groups.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,7 +22,8 @@ from logkiln.operators.chunks import COMPLETE, EXPIRED, GROUP, IGNORED, LIFETIME
 from logkiln.operators.packets import CHUNK_MAGIC
 
 _NAMES = tuple(c.split()[0] for c in GROUP.split("array<")[0].split(", "))
-_SLOT = "t bigint, count int, src_ip string, src_port int, content binary"
+#: Buckets that ids are dealt to, for good: a stream goes on with as many as it began with.
+BUCKETS = 1024
 #: Where the state of such a stream must be kept.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -31,16 +36,29 @@ def _whole_number(value) -> int | None:
     return None if pd.isna(value) else int(value)
 
 
+class _Group:
+    """An open group: what is known of it, the slots that this micro-batch filled, and in how many parts earlier ones wrote theirs."""
+
+    def __init__(self, opened: int, size: int, chunk_id: bytes, seen: bytes = b"", parts: int = 0, end: int = 0):
+        self.opened, self.size, self.chunk_id, self.parts, self.end = opened, size, chunk_id, parts, end
+        self.seen, self.filled = set(seen), {}
+
+    def fill(self, seqno: int, slot: tuple) -> None:
+        self.seen.add(seqno)
+        self.filled[seqno] = slot
+
+
 class ChunkGroups(StatefulProcessor):
-    """The open group of each id; rows out for groups that close and chunks that are ignored."""
+    """The open groups of the ids of a bucket; rows out for groups that close and chunks that are ignored."""
 
     def __init__(self, lifetime_us: int):
         self.lifetime_us = lifetime_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.group = handle.getValueState("group", "opened bigint, size int, present int, chunk_id binary, timer bigint")
-        self.slots = handle.getMapState("slots", "seqno int", _SLOT)
+        self.timer = handle.getValueState("timer", "at bigint")
+        self.groups = handle.getMapState("groups", "k string", "opened bigint, size int, chunk_id binary, seen binary, parts int, end bigint")
+        self.slots = handle.getMapState("slots", "k string, part int", "filled binary")
 
     def close(self) -> None:
         pass
@@ -51,97 +69,113 @@ class ChunkGroups(StatefulProcessor):
 
     def _piece(self, chunk_id: bytes, seqno: int, slot: tuple) -> dict:
         t, count, ip, port, content = slot
-        return {"src_ip": ip, "src_port": _whole_number(port), "recv_ts": _instant(int(t)), "payload": CHUNK_MAGIC + chunk_id + bytes([seqno, count]) + bytes(content)}
+        return {"src_ip": ip, "src_port": port, "recv_ts": _instant(t), "payload": CHUNK_MAGIC + chunk_id + bytes([seqno, count]) + content}
 
-    def _expired(self, opened, size, chunk_id, slots: dict):
-        pieces = [self._piece(chunk_id, n, slots[n]) for n in sorted(slots)]
-        return self._row(EXPIRED, opened, size, len(slots), chunk_id, pieces=pieces)
+    def _expired(self, k: str, group: _Group):
+        slots = self._all_slots(k, group)
+        pieces = [self._piece(group.chunk_id, n, slots[n]) for n in sorted(slots)]
+        return self._row(EXPIRED, group.opened, group.size, len(slots), group.chunk_id, pieces=pieces)
 
     def _frame(self, rows: list) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=list(_NAMES))
         out["src_port"] = out["src_port"].astype("Int32")
         return out
 
-    def _kept(self) -> dict:
-        """The slots that earlier micro-batches filled."""
-        return {int(n[0]): tuple(slot) for n, slot in self.slots.iterator()}
-
-    def _forget(self) -> None:
-        found = self.group.get()
-        if found is not None:
-            self.handle.deleteTimer(found[4])
-        self.group.clear()
-        self.slots.clear()
+    def _open_groups(self) -> dict[str, _Group]:
+        """The groups of the bucket that earlier micro-batches left open."""
+        return {k: _Group(opened, size, bytes(chunk_id), bytes(seen), parts, end) for (k,), (opened, size, chunk_id, seen, parts, end) in self.groups.iterator()}
+
+    def _all_slots(self, k: str, group: _Group) -> dict:
+        """All slots of a group; what earlier micro-batches wrote of them is read here."""
+        slots: dict = {}
+        for part in range(group.parts):
+            slots.update(pickle.loads(bytes(self.slots.getValue((k, part))[0])))
+        return slots | group.filled
+
+    def _forget(self, k: str, group: _Group) -> None:
+        for part in range(group.parts):
+            self.slots.removeKey((k, part))
+        self.groups.removeKey((k,))
+
+    def _keep(self, k: str, group: _Group, watermark_us: int) -> None:
+        # Late groups have their lifetime from the present clock. Timers are in whole milliseconds.
+        end = (max(group.opened, watermark_us) + self.lifetime_us) // 1000 + 1
+        if group.filled:
+            self.slots.updateValue((k, group.parts), (pickle.dumps(group.filled),))
+        group.parts, group.end = group.parts + bool(group.filled), end
+        self.groups.updateValue((k,), (group.opened, group.size, group.chunk_id, bytes(sorted(group.seen)), group.parts, end))
+
+    def _set_timer(self, groups: dict[str, _Group]) -> None:
+        first, before = min((g.end for g in groups.values()), default=None), self.timer.get()
+        if before is not None and before[0] != first:
+            self.handle.deleteTimer(before[0])
+            self.timer.clear()
+        if first is not None and (before is None or before[0] != first):
+            self.handle.registerTimer(first)
+            self.timer.update((first,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # Rows of a micro-batch come in no order; arrival order decides.
-        arrived = pd.concat(list(rows)).sort_values(["t", "seqno", "count", "src_ip", "src_port", "h"], na_position="first")
+        arrived = pd.concat(list(rows)).sort_values(["k", "t", "seqno", "count", "src_ip", "src_port", "h"], na_position="first")
+        columns = [arrived[c].tolist() for c in ("k", "t", "seqno", "count", "src_ip", "src_port", "chunk_id", "content")]
         out: list = []
-        group = self.group.get()
-        if group is not None:
-            # What came more than a lifetime before the open group is no part of it.
-            older = arrived["t"] < group[0] - self.lifetime_us
-            left, filled, _ = self._work(arrived[older], None, out)
+        kept = self._open_groups()
+        watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
+        for k, chunks in groupby(zip(*columns), lambda chunk: chunk[0]):
+            chunks, group = list(chunks), kept.get(k)
+            if group is not None:
+                # What came more than a lifetime before the open group is no part of it.
+                at = next((i for i, chunk in enumerate(chunks) if chunk[1] >= group.opened - self.lifetime_us), len(chunks))
+                left = self._work(k, chunks[:at], None, out)
+                if left is not None:
+                    out.append(self._expired(k, left))
+                chunks = chunks[at:]
+                if not chunks:
+                    continue
+            left = self._work(k, chunks, group, out)
+            if left is not group and group is not None:
+                self._forget(k, group)
+                del kept[k]
             if left is not None:
-                out.append(self._expired(left[0], left[1], left[3], filled))
-            arrived = arrived[~older]
-        if len(arrived):
-            left, filled, was_kept = self._work(arrived, group, out)
-            if not was_kept and group is not None:
-                self._forget()
-            if left is not None:
-                # Late groups have their lifetime from the present clock. Timers are in whole milliseconds.
-                begun = max(left[0], timerValues.getCurrentWatermarkInMs() * 1000)
-                timer = (begun + self.lifetime_us) // 1000 + 1
-                if was_kept:
-                    self.handle.deleteTimer(group[4])
-                self.handle.registerTimer(timer)
-                self.group.update((left[0], left[1], left[2], left[3], timer))
-                for n, slot in filled.items():
-                    self.slots.updateValue((n,), slot)
+                self._keep(k, left, watermark_us)
+                kept[k] = left
+        self._set_timer(kept)
         if out:
             yield self._frame(out)
 
-    def _work(self, arrived: pd.DataFrame, group, out: list) -> tuple[tuple | None, dict, bool]:
-        """The group left open, the slots filled here, and whether it is the group that was kept."""
-        kept = group is not None
-        opened, size, present, chunk_id = (group[0], group[1], group[2], bytes(group[3])) if kept else (None, None, 0, None)
-        filled: dict = {}
-
-        def slots() -> dict:
-            return (self._kept() if kept else {}) | filled
-
-        for t, seqno, count, ip, port, new_id, content in zip(
-            *[arrived[c] for c in ("t", "seqno", "count", "src_ip", "src_port", "chunk_id", "content")]
-        ):
+    def _work(self, k: str, chunks: list, group: _Group | None, out: list) -> _Group | None:
+        """The group left open by the chunks of one id; it is ``group`` itself if that is still open."""
+        for _, t, seqno, count, ip, port, chunk_id, content in chunks:
             t, seqno, count, port = int(t), int(seqno), int(count), _whole_number(port)
-            if opened is not None and t > opened + self.lifetime_us:
-                out.append(self._expired(opened, size, chunk_id, slots()))
-                opened, kept, filled = None, False, {}
-            if opened is None:
-                opened, size, present, chunk_id, filled = t, count, 0, bytes(new_id), {}
-            if seqno < size:
-                if seqno not in filled and not (kept and self.slots.containsKey((seqno,))):
-                    present += 1
-                filled[seqno] = (t, count, ip, port, bytes(content))
-                if present == size:
-                    whole = slots()
-                    payload = b"".join(bytes(whole[n][4]) for n in range(size))
-                    out.append(self._row(COMPLETE, opened, size, size, chunk_id, (t, ip, port), payload))
-                    opened, kept, filled = None, False, {}
+            if group is not None and t > group.opened + self.lifetime_us:
+                out.append(self._expired(k, group))
+                group = None
+            if group is None:
+                group = _Group(t, count, bytes(chunk_id))
+            if seqno < group.size:
+                group.fill(seqno, (t, count, ip, port, bytes(content)))
+                if len(group.seen) == group.size:
+                    whole = self._all_slots(k, group)
+                    payload = b"".join(whole[n][4] for n in range(group.size))
+                    out.append(self._row(COMPLETE, group.opened, group.size, group.size, group.chunk_id, (t, ip, port), payload))
+                    group = None
             else:
-                pieces = [self._piece(chunk_id, seqno, (t, count, ip, port, content))]
-                out.append(self._row(IGNORED, opened, size, present, chunk_id, (t, ip, port), pieces=pieces))
-        return None if opened is None else (opened, size, present, chunk_id), filled, kept
+                pieces = [self._piece(group.chunk_id, seqno, (t, count, ip, port, bytes(content)))]
+                out.append(self._row(IGNORED, group.opened, group.size, len(group.seen), group.chunk_id, (t, ip, port), pieces=pieces))
+        return group
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        group = self.group.get()
-        if group is None:
-            return
-        row = self._expired(group[0], group[1], bytes(group[3]), self._kept())
-        self.group.clear()
-        self.slots.clear()
-        yield self._frame([row])
+        due, clock = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        groups = self._open_groups()
+        over = {k: g for k, g in groups.items() if g.end <= due or g.end < clock}
+        out = [self._expired(k, g) for k, g in over.items()]
+        for k, g in over.items():
+            self._forget(k, g)
+        # Spark takes the timer that has come itself.
+        self.timer.clear()
+        self._set_timer({k: g for k, g in groups.items() if k not in over})
+        if out:
+            yield self._frame(out)
 
 
 def with_clock(rows: DataFrame, delay: str = "1 second", settled: tuple[str, ...] = ()) -> DataFrame:
@@ -167,7 +201,7 @@ def reassemble_chunks_stream(
 
     Groups that stay open are given up once the watermark on ``recv_ts`` passes their end. Chunks behind the
     watermark are worked like others: they join the open group of their id if they came within a lifetime
-    of its start, else they make groups of their own. One task holds what one micro-batch brings for one id, so the
+    of its start, else they make groups of their own. One task holds what one micro-batch brings for a bucket of ids, so the
     source's intake limit bounds it. With ``delay`` None the rows have been through ``with_clock``.
     """
     clocked = chunks if delay is None else with_clock(chunks, delay)
@@ -175,9 +209,9 @@ def reassemble_chunks_stream(
     return (
         clocked.where(F.col("count") >= MIN_COUNT)
         .select(
-            chunk_key(key).alias("k"), "clock", F.unix_micros("recv_ts").alias("t"), "seqno", "count",
+            F.pmod(F.xxhash64(chunk_key(key)), F.lit(BUCKETS)).cast("int").alias("bucket"), chunk_key(key).alias("k"), "clock", F.unix_micros("recv_ts").alias("t"), "seqno", "count",
             "src_ip", "src_port", "chunk_id", "content", F.xxhash64("content").alias("h"),
         )
-        .groupBy("k")
+        .groupBy("bucket")
         .transformWithStateInPandas(ChunkGroups(int(lifetime_seconds * 1e6)), GROUP, "append", "EventTime")
     )

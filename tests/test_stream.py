@@ -3,12 +3,14 @@ import json
 import random
 import tempfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from logkiln import catalog as C
 from logkiln.plans.ingest import decode_datagrams, ingest
 from logkiln.sources.datagrams import read_datagrams
 from logkiln.sources.log_table import read_ingested_logs, read_quarantine
+from logkiln.streaming.chunks import ChunkGroups
 from logkiln.streaming.ingest import start_ingest
 from test_chunks import T0, chunk
 
@@ -207,3 +209,124 @@ def test_a_batch_writes_few_files_a_day(spark):
     logs = spark.read.parquet(f"{folder}/out")
     assert logs.count() == 400
     assert logs.select(F.col("_metadata.file_path")).distinct().count() <= 4
+
+
+class Kept(dict):
+    """A state of Spark's as a dict that counts calls; a value state has one entry."""
+
+    calls = 0
+
+    def get(self, key=None):
+        Kept.calls += 1
+        return super().get(key)
+
+    getValue = get
+
+    def update(self, value):
+        Kept.calls += 1
+        self[None] = value
+
+    def updateValue(self, key, value):
+        Kept.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        Kept.calls += 1
+        del self[key]
+
+    def iterator(self):
+        Kept.calls += 1
+        return list(self.items())
+
+
+class Handle:
+    """What a processor keeps its state by, without Spark."""
+
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getMapState(self, name, *schemas):
+        return self.states.setdefault(name, Kept())
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        Kept.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        Kept.calls += 1
+        self.timers.remove(at)
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def in_bucket(batches, lifetime_us=5_000_000):
+    """The rows of a bucket's micro-batches, each a watermark (ms) and chunks (k, t, seqno, count, content); the handle, and the state calls of each."""
+    groups, handle, rows, calls = ChunkGroups(lifetime_us), Handle(), [], []
+    groups.init(handle)
+    for ms, chunks in batches:
+        Kept.calls = 0
+        frame = pd.DataFrame([(k, t, n, c, "10.0.0.1", 1, k.encode(), body, hash(body)) for k, t, n, c, body in chunks], columns="k t seqno count src_ip src_port chunk_id content h".split())
+        rows += [r for out in groups.handleInputRows((0,), iter([frame]), At(ms)) for r in out.itertuples()] if chunks else []
+        while handle.timers and min(handle.timers) <= ms:
+            due = min(handle.timers)
+            rows += [r for out in groups.handleExpiredTimer((0,), At(ms), At(due)) for r in out.itertuples()]
+            handle.timers.discard(due)
+        calls.append(Kept.calls)
+    return rows, handle, calls
+
+
+def test_state_calls_do_not_grow_with_whole_messages():
+    """Many ids share a bucket, and those that are whole within a micro-batch cost no call of their own."""
+    chunks = [(f"{i:08d}", i, n, 3, b"%d-%d" % (i, n)) for i in range(2000) for n in range(3)]
+    rows, handle, calls = in_bucket([(0, chunks)])
+    assert calls[0] <= 3 and not handle.timers
+    assert sorted(r.payload for r in rows) == sorted(b"".join(b"%d-%d" % (i, n) for n in range(3)) for i in range(2000))
+
+
+def test_ids_of_a_bucket_like_one_chunk_at_a_time():
+    """Groups that go on over micro-batches, expire, are late, begin with a number past their size, or fill a slot anew."""
+    rng = random.Random(8)
+    sent = []
+    for i in range(120):
+        start, count = rng.randrange(0, 60_000_000, 1000), rng.randint(2, 5)
+        for n in range(count):
+            for _ in range(rng.choice([0, 1, 1, 1, 1, 2])):
+                seqno = n if rng.random() < 0.95 else count + 1
+                sent.append((f"{i % 90:08d}", start + rng.choice([0, 1000, 1_000_000, 4_000_000, 6_000_000]) + len(sent), seqno, count, b"%d" % rng.randrange(1 << 30)))
+    sent.sort(key=lambda c: c[1])
+    batches = [sent[at : at + 40] for at in range(0, len(sent), 40)]
+    # The clock stands at the last time of the batch before; nothing is late.
+    clocks = [0, *[b[-1][1] // 1000 for b in batches]]
+    got, handle, _ = in_bucket([*zip(clocks, batches), (10**9, [])])
+    want, groups = [], {}
+
+    def give_up(k):
+        t, size, slots = groups.pop(k)
+        want.append(("expired", k, t, tuple(slots[n] for n in sorted(slots))))
+
+    for k, t, seqno, count, body in sent:
+        if k in groups and t > groups[k][0] + 5_000_000:
+            give_up(k)
+        opened, size, slots = groups.setdefault(k, (t, count, {}))
+        if seqno >= size:
+            want.append(("ignored", k, opened, (body,)))
+            continue
+        slots[seqno] = body
+        if len(slots) == size:
+            want.append(("complete", k, opened, (b"".join(slots[n] for n in range(size)),)))
+            del groups[k]
+    for k in [*groups]:
+        give_up(k)
+    rows = [(r.status, bytes(r.chunk_id).decode(), round(r.opened_ts.timestamp() * 1e6), (r.payload,) if r.pieces is None else tuple(p["payload"][12:] for p in r.pieces)) for r in got]
+    assert sorted(rows) == sorted(want) and {s for s, *_ in want} == {"expired", "ignored", "complete"}
+    assert not any(handle.states.values()) and not handle.timers
