@@ -583,3 +583,57 @@ def test_language_histogram_has_a_row_a_byte(spark, monkeypatch):
     assert language.learn(docs).languages == ("en", "fr")
     assert max(widths) <= 2
     assert language.learn(docs.where("text = ''")).languages == ()
+
+
+def test_language_has_contexts_of_all_bytes(spark):
+    """Languages that differ in rare bytes only are told apart; texts have the code lengths of a plain tree over bytes, also in pieces and slices."""
+    from logkiln.llm import language
+
+    rng = np.random.default_rng(9)
+    words = "quick brown fox jumps over the lazy dog while 0123456789 vexed zebras".split()
+    texts = {"aa": "é", "bb": "ö", "cc": "жы"}
+    rows = [(i, " ".join(f"{w}{letter}" if j % 3 == 0 else w for j, w in enumerate(rng.choice(words, 40))), name) for i in range(20) for name, letter in texts.items()]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    model = language.learn(table.where("doc_id % 2 = 0"))
+    held = language.predict(table.where("doc_id % 2 = 1"), model, keep=("doc_id", "lang", "text"))
+    assert held.where("lang <> lang_pred").count() == 0
+
+    def grams(text):
+        data = b"   " + bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+        return [data[i - 3 : i + 1] for i in range(3, len(data))]
+
+    seen = {name: collections.Counter() for name in texts}
+    for i, text, name in rows:
+        if i % 2 == 0:
+            seen[name].update(g[d:] for g in grams(text) for d in range(4))
+    contexts = {name: collections.defaultdict(list) for name in texts}
+    for name, counts in seen.items():
+        for gram, n in counts.items():
+            contexts[name][gram[:-1]].append(n)
+
+    def plain(name, gram):
+        own = contexts[name].get(gram[:-1], [])
+        if gram in seen[name]:
+            return -math.log2(seen[name][gram] / (sum(own) + len(own)))
+        lower_ = plain(name, gram[1:]) if len(gram) > 1 else 8
+        return lower_ - (math.log2(len(own) / (sum(own) + len(own))) if own else 0)
+
+    odd = [rows[5][1], "Ünknown Wörter, 東京", "x", "ж", "\x00\x7f", "The Lazy dogé " * 9000]
+    for text, bits in zip(odd, language.texts_bits([t.encode() for t in odd], model)):
+        assert bits == pytest.approx([sum(plain(name, g) for g in grams(text)) for name in model.languages], rel=1e-5)
+
+
+def test_language_slices_by_size(spark, monkeypatch):
+    """Tables past the numbers that are sent out at once make slices of fewer languages, with the same results."""
+    from logkiln.llm import language
+
+    rows = [(i, f"{c * 3} {c}{c} word{i} {chr(200 + i)}", f"l{i}") for i, c in enumerate("abcdefgh")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    whole = {r.doc_id: r for r in language.predict(table, language.learn(table)).collect()}
+    monkeypatch.setattr(language, "NUMBERS", 100)
+    model = language.learn(table)
+    sizes = [len(part.languages) for part in model.slices()]
+    assert sum(sizes) == 8 and len(sizes) > 2
+    got = {r.doc_id: r for r in language.predict(table, model).collect()}
+    for i, _, name in rows:
+        assert got[i].lang_pred == whole[i].lang_pred == name and abs(got[i].score - whole[i].score) < 1e-6
