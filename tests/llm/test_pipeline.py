@@ -116,3 +116,15 @@ def test_count_of_dropped_lines_takes_the_place_of_another(spark):
     docs = spark.createDataFrame([(1, "a shared line of words\nx", "own"), (2, "a shared line of words\ny", "own")], "doc_id bigint, text string, n_dropped_lines string")
     got = {r.doc_id: (r.text, r.n_dropped_lines) for r in templates.drop_repeated_lines(docs).collect()}
     assert got == {1: ("a shared line of words\nx", 0), 2: ("y", 1)}
+
+
+@pytest.mark.parametrize("seed", [2012, 16221])
+def test_near_copies_at_the_limit_are_candidates(spark, seed):
+    """Pairs of similarity 0.8 to the digit that 30 bands left in no common bucket."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{x}" for x in rng.integers(0, 1 << 30, 49)]
+    text = " ".join(words)
+    words[24] = "new"
+    assert jaccard(text, " ".join(words)) == 0.8
+    docs = spark.createDataFrame([(1, text), (2, " ".join(words))], "doc_id bigint, text string")
+    assert [r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, None).collect()] == [1]
